@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import secret_scan, simhash_dedup, token_frames
+from strandlake.llm import html_extract, quality, secret_scan, simhash_dedup, token_frames, toxicity, vector_search
 from strandlake.llm.common import read_table
 
 
@@ -15,6 +15,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -23,9 +35,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_files(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash, op8_secret_scan, op10_token_frames)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_toxicity, op4_quality, op7_simhash, op8_secret_scan, op9_vector_search, op10_token_frames)}
 ORACLES: dict[str, str] = {}
