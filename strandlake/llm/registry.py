@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import html_extract, quality, secret_scan, simhash_dedup, token_frames, toxicity, vector_search
+from strandlake.llm import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    piece_coding,
+    quality,
+    secret_scan,
+    simhash_dedup,
+    token_frames,
+    toxicity,
+    vector_search,
+)
 from strandlake.llm.common import read_table
 
 
@@ -23,10 +34,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest_rows(chat_format.format_rows(rows.unionByName(probe), tokenizer_file("byte_bpe_50k.json")))
+
+
+def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_coding.code_report(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -43,5 +69,10 @@ def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_files(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_toxicity, op4_quality, op7_simhash, op8_secret_scan, op9_vector_search, op10_token_frames)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_html_extract, op2_toxicity, op3_decontaminate, op4_quality, op5_chat_format,
+        op6_piece_coding, op7_simhash, op8_secret_scan, op9_vector_search, op10_token_frames,
+    )
+}
 ORACLES: dict[str, str] = {}
