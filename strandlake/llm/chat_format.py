@@ -132,9 +132,9 @@ def digest_rows(formatted: DataFrame) -> DataFrame:
                 told = "".join(f"{role}\n{text}\n" for role, text in turns)
                 out.append(
                     dict(conv_id=r["conv_id"], n_turns=len(turns), turns_sha256=hashlib.sha256(told.encode()).hexdigest(), loss_chars=len(loss),
-                         loss_sha256=hashlib.sha256(loss.encode()).hexdigest(), formatted_chars=len(r["formatted"]), n_tokens=len(r["ids"]), n_loss_tokens=sum(r["mask"]))
+                         loss_sha256=hashlib.sha256(loss.encode()).hexdigest(), formatted_chars=len(r["formatted"]))
                 )
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_loss_tokens", pa.int64())])
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -152,6 +152,12 @@ def fit(table: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mode
     return model
 
 
+def calibrated(x: np.ndarray, model: Model) -> np.ndarray:
+    """Scores in 0..1 of rows of statistics."""
+    raw = fourier(x, model.mean, model.scale) @ model.weights
+    return np.clip(np.interp(raw, model.knots_x, model.knots_y), 0, 1)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cutoff: float = CUTOFF) -> DataFrame:
     """One row (doc_id, held_out, score, predicted) per row of ``docs``.
 
@@ -165,14 +171,20 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cut
 
     def run(batches):
         for b in batches:
-            p = np.interp(b.column(1).to_numpy(), model.knots_x, model.knots_y)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(p, 0, 1))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(calibrated(_matrix(b.column(1)), model), pa.float64())], ["doc_id", "score"])
 
-    scored = ridge_scores(table, model, ["doc_id"]).mapInArrow(run, "doc_id long, score double")
+    scored = table.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the classifier does not reject; repeated ids go only if all their texts are rejected."""
-    good = classify(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cutoff: float = CUTOFF) -> DataFrame:
+    """Rows of ``docs`` that the classifier does not reject, each judged by its own text."""
+    model = fit(cut(document_stats(docs)), labels, label_col)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            x = np.array([stats(t.as_py()) for t in b.column(at)], np.float64).reshape(-1, len(NAMES))
+            yield b.filter(pa.array(calibrated(x, model) >= cutoff, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -75,4 +75,25 @@ QUERIES = {
         op6_piece_coding, op7_simhash, op8_secret_scan, op9_vector_search, op10_token_frames,
     )
 }
-ORACLES: dict[str, str] = {}
+#: op5: what the template must give back, from the input rows alone. Control strings and backslashes cost one character more.
+_OP5 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m AS (
+  SELECT *, length(text) + length(role)
+    + list_sum(list_transform(['\', '<s>', '</s>', '[INST]', '[/INST]'], lambda c:
+        (length(text) - length(replace(text, c, ''))) // length(c) + (length(role) - length(replace(role, c, ''))) // length(c)))
+    + length('<s>[INST][/INST]</s>') AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op5_chat_format": _OP5}

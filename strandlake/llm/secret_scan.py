@@ -81,61 +81,60 @@ def digest_spans(spans) -> str:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """Rows (doc_id, owner, spans) for every row of ``docs``; ``spans`` holds what the patterns found.
+    """Rows (doc_id, owner, key, spans) for every row of ``docs``; ``spans`` holds what the patterns found.
 
-    A null text counts as empty; a null owner counts as an owner named ''.
+    ``key`` is the 64-bit hash of the text, by which spans are brought back to
+    rows. A null text counts as empty; a null owner as an owner named ''; a null
+    id as a repository named by the key.
     """
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("value_start", pa.int64()), ("value_end", pa.int64()), ("hash", pa.binary()), ("random", pa.bool_())]))
 
     def run(batches):
         for b in batches:
             out = []
-            for t in b.column(2):
+            for t in b.column(3):
                 text = t.as_py() or ""
                 spans = sorted(base_spans(text) + extra_spans(text), key=lambda s: (s[0], s[2]))
                 out.append([
                     dict(start=s[0], end=s[1], kind=s[2], value_start=s[3], value_end=s[4], hash=hashlib.sha256((v := text[s[3] : s[4]]).encode()).digest(), random=entropy(v) >= MIN_ENTROPY)
                     for s in spans
                 ])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kinds)], ["doc_id", "owner", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, kinds)], ["doc_id", "owner", "key", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, owner string, spans array<struct<{SPAN}>>")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, owner string, key long, spans array<struct<{SPAN}>>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """Rows (hash, n_repos, n_owners): distinct repositories (documents) and owners that hold a value."""
-    held = found.where(F.size("spans") > 0).select("doc_id", "owner", F.explode("spans.hash").alias("hash"))
+    held = found.where(F.size("spans") > 0).select("owner", F.coalesce("doc_id", "key").alias("repo"), F.explode("spans.hash").alias("hash"))
     owners = held.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"))
-    repos = held.groupBy("hash", "doc_id").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_repos"))
+    repos = held.groupBy("hash", "repo").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_repos"))
     return owners.join(repos, "hash")
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Rows (doc_id, key, live_spans array): spans whose value is random and held by few owners.
-
-    ``key`` numbers nothing; repeated doc_ids merge their live spans, so the
-    caller checks a span's hash against its own text.
-    """
-    held = found.where(F.size("spans") > 0).select("doc_id", F.explode("spans").alias("s"))
+    """Rows (key, live): per text the spans whose value is random and held by few owners."""
+    held = found.where(F.size("spans") > 0).select("key", F.explode("spans").alias("s")).where("s.random")
     few = ownership(found).where(F.col("n_owners") < EXAMPLE_OWNERS).select("hash")
-    live = held.where("s.random").join(few, held["s.hash"] == few["hash"])
-    return live.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s.start", "s.end", "s.kind", "s.value_start", "s.value_end", "s.hash"))).alias("live"))
+    live = held.dropDuplicates(["key", "s"]).join(few, F.col("s.hash") == few["hash"])
+    return live.groupBy("key").agg(F.collect_list(F.struct("s.start", "s.end", "s.kind", "s.value_start", "s.value_end", "s.hash")).alias("live"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: base counts and digest, all spans, and how many of them look live.
 
     Null and empty texts have no spans; repeated rows come out as often as they
-    come in; rows with a null id keep their spans with n_live 0; no rows give none.
+    come in; a null id stays null; no rows give none.
     """
     found = cut(candidates(docs, id_col, text_col, owner_col))
-    live = judged(found).select("doc_id", F.size("live").cast("long").alias("n_live"))
+    live = judged(found).select("key", F.size("live").cast("long").alias("n_live"))
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    some = found.where(F.size("spans") > 0).join(live, "doc_id", "left")
+    some = found.where(F.size("spans") > 0).join(live, "key", "left")
     none = found.where(F.size("spans") == 0).withColumn("n_live", F.lit(0).cast("long"))
     return some.unionByName(none).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
@@ -145,35 +144,40 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live-looking value replaced by ``mask``; n_chars follows the new text.
+    """``docs`` with every live-looking value replaced by ``mask``; n_chars follows a changed text.
 
     Every row stays; texts without live values are untouched.
     """
-    found = cut(candidates(docs))
-    live = judged(found)
+    live = judged(cut(candidates(docs))).withColumnRenamed("key", "__key").withColumnRenamed("live", "__live")
     columns = docs.columns
+    at_text = columns.index("text")
+    at_size = columns.index("n_chars") if "n_chars" in columns else -1
 
     def run(batches):
-        at_text, at_live = columns.index("text"), len(columns)
         for b in batches:
-            texts = []
-            for t, spans in zip(b.column(at_text), b.column(at_live)):
-                text, spans = t.as_py(), spans.as_py()
-                if text and spans:
-                    out, at = [], 0
-                    for s in sorted(spans, key=lambda s: (s["value_start"], -s["value_end"])):
-                        lo, hi = s["value_start"], s["value_end"]
-                        if lo < at or hashlib.sha256(text[lo:hi].encode()).digest() != s["hash"]:
-                            continue
-                        out += [text[at:lo], mask]
-                        at = hi
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
-            arrays = [pa.array(texts, pa.string()) if k == at_text else b.column(k) for k in range(len(columns))]
+            texts = b.column(at_text).to_pylist()
+            sizes = b.column(at_size).to_pylist() if at_size >= 0 else []
+            for k, spans in enumerate(b.column(len(columns)).to_pylist()):
+                if spans:
+                    texts[k] = masked(texts[k], spans, mask)
+                    if sizes:
+                        sizes[k] = len(texts[k])
+            arrays = list(b.columns[: len(columns)])
+            arrays[at_text] = pa.array(texts, arrays[at_text].type)
+            if at_size >= 0:
+                arrays[at_size] = pa.array(sizes, arrays[at_size].type)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    changed = docs.join(live, "doc_id", "left_semi").join(live, "doc_id").select(*columns, "live")
-    changed = changed.mapInArrow(run, docs.schema)
-    if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
-    return docs.join(live, "doc_id", "left_anti").unionByName(changed)
+    joined = docs.join(live, F.xxhash64(docs["text"]) == live["__key"], "left").select(*[docs[c] for c in columns], "__live")
+    return joined.mapInArrow(run, docs.schema)
+
+
+def masked(text: str, spans: list[dict], mask: str) -> str:
+    """``text`` with the values of ``spans`` replaced; a span whose hash isn't its value's is passed over."""
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["value_start"], -s["value_end"])):
+        lo, hi = s["value_start"], s["value_end"]
+        if lo >= at and hashlib.sha256(text[lo:hi].encode()).digest() == s["hash"]:
+            out += [text[at:lo], mask]
+            at = hi
+    return "".join([*out, text[at:]])
