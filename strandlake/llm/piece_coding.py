@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.piece_lattice import N_BEST, Segmenter
+from strandlake.llm.piece_lattice import N_BEST, segmenter
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:
@@ -21,13 +21,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches):
-        segmenter = Segmenter(model_path, n)
+        coder = segmenter(model_path, n)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 best, scores, others = [], [], []
                 for t in part.column(1):
-                    units, own, changes = segmenter.segment(t.as_py() or "")
+                    units, own, changes = coder.segment(t.as_py() or "")
                     best.append(b"".join(units))
                     scores.append(own)
                     others.append([b"".join([c.get(k, u) for k, u in enumerate(units)]) for c in changes[1:]])
@@ -42,10 +42,10 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "best") -> DataFram
     names = coded.columns
 
     def run(batches):
-        segmenter = Segmenter(model_path)
+        coder = segmenter(model_path)
         at = names.index(ids_col)
         for b in batches:
-            texts = [None if x.as_py() is None else segmenter.decode(x.as_py()) for x in b.column(at)]
+            texts = [None if x.as_py() is None else coder.decode(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "text"])
 
     schema = coded.schema.add("text", "string")
@@ -63,18 +63,18 @@ def code_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """
 
     def run(batches):
-        segmenter = Segmenter(model_path, n)
+        coder = segmenter(model_path, n)
         for b in batches:
             rows = []
             for i, t in zip(b.column(0), b.column(1)):
                 text = t.as_py() or ""
-                units, scores, changes = segmenter.segment(text)
+                units, scores, changes = coder.segment(text)
                 best = b"".join(units)
-                decoded = segmenter.decode(best)
+                decoded = coder.decode(best)
                 whole, rest = decoded == text, hashlib.sha256()
                 for c in changes[1:]:
                     rest.update(b"".join([c.get(k, u) for k, u in enumerate(units)]) if len(c) else best)
-                    whole = whole and all(b"".join([segmenter.pieces.data[x] for x in memoryview(y).cast("H")]) == b"".join([segmenter.pieces.data[x] for x in memoryview(units[k]).cast("H")]) for k, y in c.items())
+                    whole = whole and all(b"".join([coder.pieces.data[x] for x in memoryview(y).cast("H")]) == b"".join([coder.pieces.data[x] for x in memoryview(units[k]).cast("H")]) for k, y in c.items())
                 rows.append(
                     dict(doc_id=i.as_py(), n_pieces=len(best) // 2, ids_sha256=hashlib.sha256(best).hexdigest(), best_score=scores[0], scores=",".join(map(str, scores)),
                          others_sha256=rest.hexdigest(), n_best=len(scores), decoded_chars=len(decoded), decoded_sha256=hashlib.sha256(decoded.encode()).hexdigest(), round_trip=whole)

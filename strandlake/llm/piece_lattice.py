@@ -18,6 +18,7 @@ import heapq
 import math
 import re
 import struct
+from functools import lru_cache
 from itertools import product
 
 UNIT = re.compile(r"\n| *[^ \n]+| +")
@@ -187,3 +188,9 @@ class Segmenter:
         table = self.pieces.data
         raw = b"".join([table[i] for i in memoryview(data).cast("H")]) if data else b" "
         return raw.decode("utf-8", "surrogatepass")[1:]
+
+
+@lru_cache(maxsize=2)
+def segmenter(path: str, n: int = N_BEST) -> Segmenter:
+    """One segmenter a Python worker, kept from task to task."""
+    return Segmenter(path, n)
