@@ -26,7 +26,7 @@ SHIFT = 2.7
 SCALE = 1000
 MISSING = object()
 #: Units kept in each of two generations.
-UNIT_STORE = 350_000
+UNIT_STORE = 150_000
 #: N of the N best.
 N_BEST = 4
 #: Longer units are cut into runs of this many characters, so one endless word has bounded cost.
