@@ -13,6 +13,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,11 @@ CHECKSUM_FLAG = 0x80
 
 END_ID = 2
 #: Words kept per Python worker; the store is emptied when it is full.
-WORD_STORE = 400_000
+WORD_STORE = 600_000
+#: Documents encoded together.
+ENCODE_DOCS = 128
+#: ASCII marks that the tokenizer splits from letters before them.
+MARKS = ".,;:!?#$%&*|-+=/)]}"
 
 
 class WordEncoder:
@@ -40,30 +45,48 @@ class WordEncoder:
 
     ``word_bpe_49k.json`` drops white space, splits at it before any merge, and
     its special strings hold none, so a text's ids are those of its pieces in a
-    row. Ids of pieces are kept as little-endian bytes.
+    row. It also splits letters from marks and lower-cases, so a piece of ASCII
+    letters and trailing marks is the lower-cased letters and then the marks.
+    Ids are kept as little-endian bytes, of pieces and of such cores.
     """
 
     def __init__(self, path: str, store: int = WORD_STORE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.store, self.size = Tokenizer.from_file(path), store, 0
+        self.tokenizer, self.store = Tokenizer.from_file(path), store
         self.known: dict[str, bytes] = {}
-        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-
-    def encode(self, text: str) -> bytes:
-        """Ids of ``text`` as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if self.size > self.store:
-                known.clear()
-                self.size, new = 0, list(set(words))
-            self.size += sum(1 + len(w) // 64 for w in new)
-            for w, e in zip(new, self.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def _learn(self, missing: set[str]) -> None:
+        parts = {}
+        for w in missing:
+            core = w.rstrip(MARKS)
+            parts[w] = (core.lower(), w[len(core) :]) if core and core.isascii() and core.isalpha() else (w, "")
+        if len(self.cores) > self.store:
+            self.cores = {"": b""}
+        new = list({x for p in parts.values() for x in p if x not in self.cores})
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.cores[x] = np.array(e.ids, "<u4").tobytes()
+        for w, (core, tail) in parts.items():
+            self.known[w] = self.cores[core] + self.cores[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > self.store:
+            self.known.clear()
+        missing = set().union(*words).difference(self.known)
+        if missing:
+            self._learn(missing)
+        of = self.known.__getitem__
+        return [b"".join(map(of, w)) for w in words]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker, kept from task to task."""
+    return WordEncoder(path)
 
 
 def checksum(data: bytes) -> int:
@@ -154,7 +177,7 @@ def write_frames(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
     def run(batches):
         ctx = TaskContext.get()
         part, writer, n_tokens = ctx.partitionId(), None, 0
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         end = struct.pack("<I", END_ID)
         store, folder = open_store(out)
         store.create_dir(folder, recursive=True)
@@ -162,10 +185,12 @@ def write_frames(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
         with store.open_output_stream(trial) as sink:
             writer = FrameWriter(sink)
             for b in batches:
-                for i, t in zip(b.column(0), b.column(1)):
-                    data = encoder.encode(t.as_py() or "") + end
-                    n_tokens += len(data) // 4
-                    writer.add(i.as_py(), data)
+                for at in range(0, b.num_rows, ENCODE_DOCS):
+                    own = b.slice(at, ENCODE_DOCS)
+                    for i, data in zip(own.column(0).to_pylist(), words.encode([t or "" for t in own.column(1).to_pylist()])):
+                        data += end
+                        n_tokens += len(data) // 4
+                        writer.add(i, data)
             writer.close()
         store.move(trial, path)
         yield pa.RecordBatch.from_arrays(
