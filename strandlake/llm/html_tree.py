@@ -25,6 +25,8 @@ BLOCK = frozenset(
 )
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+#: The end tag of these leaves blocks opened inside them open.
+FORMATTING = frozenset("a b big code em font i nobr s small span strike strong tt u".split())
 FENCE = frozenset("ul ol dl table div section article main body html aside nav".split())
 
 
@@ -46,7 +48,7 @@ class Element:
 
 
 def parse(page: str) -> Element:
-    """The tree of ``page``. Open elements are closed at the end; stray end tags are dropped."""
+    """The tree of ``page``. Open elements are closed at the end; a stray </p> is an empty paragraph, other stray end tags are dropped."""
     root = Element("#root")
     stack = [root]
     at, size = 0, len(page)
@@ -66,10 +68,18 @@ def parse(page: str) -> Element:
         if m["close"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    if tag in FORMATTING and any(e.tag in BLOCK for e in stack[k + 1 :]):
+                        del stack[k]
+                    else:
+                        del stack[k:]
                     break
-                if tag in ("p", "li", "b", "i", "em", "strong", "span", "a") and stack[k].tag in FENCE:
+                if (tag in FORMATTING or tag in ("p", "li")) and stack[k].tag in FENCE:
+                    k = 0
                     break
+            else:
+                k = 0
+            if tag == "p" and not k:
+                stack[-1].children.append(Element("p"))
             continue
         attrs = m["attrs"] if m["attrs"] is not None else m["loose"]
         ends = SELF_CLOSING.get(tag, ()) or (("p",) if tag in ENDS_P else ())

@@ -7,6 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandlake.llm.piece_lattice import N_BEST, segmenter
 
@@ -48,7 +49,7 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "best") -> DataFram
             texts = [None if x.as_py() is None else coder.decode(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "text"])
 
-    schema = coded.schema.add("text", "string")
+    schema = StructType([*coded.schema.fields, StructField("text", StringType())])
     return coded.mapInArrow(run, schema)
 
 

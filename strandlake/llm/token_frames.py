@@ -73,14 +73,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.store:
             self.known.clear()
-        missing = set().union(*words).difference(self.known)
-        if missing:
-            self._learn(missing)
-        of = self.known.__getitem__
-        return [b"".join(map(of, w)) for w in words]
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        ids = [list(map(self.known.get, w)) for w in words]
+        short = [k for k, own in enumerate(ids) if None in own]
+        if short:
+            self._learn({w for k in short for w, i in zip(words[k], ids[k]) if i is None})
+            for k in short:
+                ids[k] = map(self.known.__getitem__, words[k])
+        return [b"".join(own) for own in ids]
 
 
 @lru_cache(maxsize=2)
