@@ -50,10 +50,10 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows (sample, seq_id, seq, qual, file) of four-line records.
 
-    Record borders depend on the line number, so a file is one task; split large
-    files before reading. Records leave in Arrow batches.
+    Record borders depend on the line number, so a file is one task and is read
+    whole: split files of over a gigabyte before reading. Records leave in Arrow batches.
     """
-    lines = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def run(batches):
         names = ["seq_id", "seq", "qual", "file"]
