@@ -15,6 +15,10 @@ import numpy as np
 
 ROUNDS = 100
 SMOOTH = 1.0
+#: Share of its evidence that a voter's silence keeps: silence is mostly abstention.
+SILENCE = 0.25
+#: Correlations below this are taken for noise; only what is above it counts as repetition.
+REPEATS = 0.3
 
 
 @dataclass
@@ -27,7 +31,7 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(class 1 | votes) of rows of 0/1 votes."""
         on, off = np.log(self.fire), np.log1p(-self.fire)
-        gain = (votes @ ((on[1] - on[0]) * self.weight)) + ((1 - votes) @ ((off[1] - off[0]) * self.weight))
+        gain = (votes @ ((on[1] - on[0]) * self.weight)) + ((1 - votes) @ ((off[1] - off[0]) * self.weight * SILENCE))
         logit = np.log(self.prior / (1 - self.prior)) + gain
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
@@ -38,7 +42,7 @@ def unpack(patterns: np.ndarray, voters: int) -> np.ndarray:
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, voters: int, prior: float) -> LabelModel:
-    """Fits on distinct vote patterns and their counts; ``prior`` starts the share of class 1."""
+    """Fits on distinct vote patterns and their counts; ``prior`` is the share of class 1 and stays."""
     votes, n = unpack(patterns, voters), counts.astype(np.float64)
     model = LabelModel(min(max(prior, 1e-3), 0.5), np.zeros((2, voters)), np.ones(voters), np.eye(voters))
     post = np.where(votes.sum(axis=1) > 0, 0.9, 0.02)
@@ -46,14 +50,13 @@ def fit(patterns: np.ndarray, counts: np.ndarray, voters: int, prior: float) ->
         for _ in range(ROUNDS):
             for c, p in ((0, 1 - post), (1, post)):
                 model.fire[c] = np.clip((votes.T @ (n * p) + SMOOTH * (0.001, 0.1)[c]) / ((n * p).sum() + SMOOTH), 1e-6, 1 - 1e-6)
-            model.prior = float(np.clip((n * post).sum() / max(n.sum(), 1), 1e-4, 0.5))
             new = model.posterior(votes)
             if np.abs(new - post).max(initial=0) < 1e-9:
                 break
             post = new
         if not again:
             model.correlation = _residual(votes, n, post, model.fire)
-            model.weight = 1 / (1 + np.clip(model.correlation - np.eye(voters), 0, None).sum(axis=1))
+            model.weight = 1 / (1 + np.clip(model.correlation - np.eye(voters) - REPEATS, 0, None).sum(axis=1))
     return model
 
 

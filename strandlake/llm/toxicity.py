@@ -8,6 +8,7 @@ word beginnings of the induced vocabulary is trained on them.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable
@@ -49,9 +50,11 @@ VOCABULARY = 4000
 TRAIN_ROWS = 20_000
 #: A word or beginning is induced when this many distinct groups of alike texts hold it and this share of them is toxic.
 MIN_GROUPS = 3
-MIN_SHARE = 0.9
+#: ... and when chance alone gives so many toxic groups with less than this probability.
+MAX_CHANCE = 1e-5
+MIN_SHARE = 0.85
 MIN_WORDS = 3
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 L2 = 1e-3
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,7 +119,14 @@ def induce(docs: DataFrame, labels: DataFrame, label_col: str) -> tuple[list[str
     strong = strong.where(~F.col("token").endswith("*") | (F.col("words") >= MIN_WORDS))
     top = strong.orderBy(F.desc("toxic"), "token").limit(VOCABULARY).collect()
     total = sum(share.values())
-    return [r.token for r in top], share.get(1, 0) / total if total else 0.05
+    base = min(share.get(1, 0), FIT_ROWS) / max(1, sum(min(n, FIT_ROWS) for n in share.values()))
+    kept = [r.token for r in top if chance(r.toxic, r.toxic + r.clean, base) < MAX_CHANCE]
+    return kept, share.get(1, 0) / total if total else 0.05
+
+
+def chance(toxic: int, n: int, base: float) -> float:
+    """P(at least ``toxic`` of ``n`` groups are toxic) when each is with probability ``base``."""
+    return sum(math.comb(n, k) * base**k * (1 - base) ** (n - k) for k in range(toxic, n + 1))
 
 
 class Reader:
