@@ -24,9 +24,11 @@ from itertools import product
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 SHIFT = 2.7
 SCALE = 1000
-MISSING = object()
+#: Marks at the end of a unit that are solved apart where no piece joins them to the letter before.
+MARKS = ".,;:!?"
 #: Units kept in each of two generations.
-UNIT_STORE = 150_000
+UNIT_STORE = 220_000
+NEVER = 1 << 60
 #: N of the N best.
 N_BEST = 4
 #: Longer units are cut into runs of this many characters, so one endless word has bounded cost.
@@ -44,8 +46,10 @@ class Pieces:
         self.floor = -round(SCALE * math.log(n + SHIFT))
         self.byte_ids = [0] * 256
         self.data: list[bytes] = [b""] * n
-        #: Every prefix of a piece; a whole piece has (log-probability, id).
-        self.table: dict[str, tuple[int, int] | None] = {}
+        #: Tree of the pieces by character; a node is [children, log-probability or None, id].
+        self.tree: dict[str, list] = {}
+        #: Pairs of a letter and what follows it inside some piece.
+        self.inside: set[str] = set()
         for i in range(n):
             text = model.id_to_piece(i)
             if model.is_byte(i):
@@ -56,27 +60,74 @@ class Pieces:
                 if " " in text.lstrip(" ") or "\n" in text or not text.strip(" ") == text.lstrip(" "):
                     raise ValueError("a piece spans units")
                 self.data[i] = text.encode()
-                for k in range(1, len(text)):
-                    self.table.setdefault(text[:k], None)
-                self.table[text] = (-round(SCALE * math.log(min(max(order, 0.0), n) + SHIFT)), i)
+                below, node = self.tree, None
+                for c in text:
+                    node = below.setdefault(c, [{}, None, 0])
+                    below = node[0]
+                node[1:] = -round(SCALE * math.log(min(max(order, 0.0), n) + SHIFT)), i
+                self.inside.update(text[k : k + 2] for k in range(len(text) - 1))
+
+    def spelled(self, c: str) -> tuple[int, tuple[int, ...]]:
+        """Log-probability and ids of a character in byte pieces."""
+        data = c.encode("utf-8", "surrogatepass")
+        return self.floor * len(data), tuple(self.byte_ids[x] for x in data)
 
     def edges(self, unit: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """Per start the edges (end, log-probability, ids), shortest first."""
-        table, size, out = self.table, len(unit), []
+        size, out = len(unit), []
         for i in range(size):
-            own = []
-            for j in range(i + 1, size + 1):
-                got = table.get(unit[i:j], MISSING)
-                if got is MISSING:
-                    break
-                if got is not None:
-                    own.append((j, got[0], (got[1],)))
+            own, below, j = [], self.tree, i
+            while j < size and (node := below.get(unit[j])) is not None:
+                below, j = node[0], j + 1
+                if node[1] is not None:
+                    own.append((j, node[1], (node[2],)))
             if not own or own[0][0] != i + 1:
-                data = unit[i].encode("utf-8", "surrogatepass")
-                own.insert(0, (i + 1, self.floor * len(data), tuple(self.byte_ids[x] for x in data)))
+                own.insert(0, (i + 1, *self.spelled(unit[i])))
             out.append(own)
         return out
 
+    def best(self, unit: str) -> tuple[bytes, int, int]:
+        """Best path of a unit (ids as little-endian unsigned 16-bit integers, score, margin to the second best).
+
+        The same forward pass as ``viterbi``, without the lists of edges.
+        """
+        size, tree = len(unit), self.tree
+        low = -NEVER
+        best, second, back = [low] * (size + 1), [low] * (size + 1), [None] * (size + 1)
+        best[0] = 0
+        for i in range(size):
+            at, below, j = best[i], tree, i
+            node = below.get(unit[i])
+            if node is None or node[1] is None:
+                s, ids = self.spelled(unit[i])
+                v = at + s
+                if v > best[i + 1]:
+                    second[i + 1], best[i + 1], back[i + 1] = best[i + 1], v, (i, ids)
+                elif v > second[i + 1]:
+                    second[i + 1] = v
+            while node is not None:
+                j += 1
+                s = node[1]
+                if s is not None:
+                    v = at + s
+                    if v > best[j]:
+                        second[j], best[j], back[j] = best[j], v, (i, node[2])
+                    elif v > second[j]:
+                        second[j] = v
+                if j == size:
+                    break
+                node = node[0].get(unit[j])
+        margin, ids, j = NEVER, [], size
+        while j:
+            margin = min(margin, best[j] - second[j])
+            j, own = back[j]
+            if own.__class__ is tuple:
+                ids.extend(reversed(own))
+            else:
+                ids.append(own)
+        ids.reverse()
+        return struct.pack(f"<{len(ids)}H", *ids), best[size], margin if margin < NEVER // 2 else NEVER
+
 
 def viterbi(edges) -> tuple[list[int], list[int], tuple[int, ...]]:
     """Best score up to every node, the margin to the second best whole path, and the best path's ids."""
@@ -140,11 +191,19 @@ class Segmenter:
         return units
 
     def solve(self, unit: str) -> tuple[bytes, int, int]:
-        """(ids as little-endian unsigned 16-bit integers, score, margin to the second best)."""
+        """(ids as little-endian unsigned 16-bit integers, score, margin to the second best).
+
+        A border that no piece crosses makes both sides independent: scores add,
+        and the margin is the lesser one.
+        """
         got = self.old.get(unit)
         if got is None:
-            best, (margin,), ids = viterbi(self.pieces.edges(unit))
-            got = (struct.pack(f"<{len(ids)}H", *ids), best[-1], margin)
+            core = unit.rstrip(MARKS)
+            if 1 < len(core) < len(unit) and core[-1].isalpha() and unit[len(core) - 1 : len(core) + 1] not in self.pieces.inside:
+                x, y = (self.new.get(u) or self.solve(u) for u in (core, unit[len(core) :]))
+                got = (x[0] + y[0], x[1] + y[1], min(x[2], y[2]))
+            else:
+                got = self.pieces.best(unit)
         if len(self.new) >= self.store:
             self.old, self.new = self.new, {}
         self.new[unit] = got
@@ -166,17 +225,17 @@ class Segmenter:
         margins, for each of those alone gives as many paths that are no worse.
         """
         units = self.units(text)
-        new, solve = self.new, self.solve
-        got = []
-        for u in units:
-            x = new.get(u)
-            if x is None:
-                x = solve(u)
-                new = self.new
-            got.append(x)
+        got = list(map(self.new.get, units))
+        if None in got:
+            got = [x or self.new.get(u) or self.solve(u) for u, x in zip(units, got)]
         score = sum([x[1] for x in got])
-        few = heapq.nsmallest(self.n - 1, zip([x[2] for x in got], range(len(got))))
-        few = [k for m, k in few if m < 1 << 60]
+        margins = [x[2] for x in got]
+        few = []
+        for _ in range(min(self.n - 1, len(margins))):
+            k = margins.index(min(margins))
+            if margins[k] < NEVER:
+                few.append(k)
+            margins[k] = NEVER
         lists = [[(s - got[k][1], k, ids) for s, ids in self.alternatives(units[k])] for k in few]
         combos = sorted(product(*(range(len(x)) for x in lists)), key=lambda c: (-sum(x[i][0] for x, i in zip(lists, c)), c))[: self.n]
         scores = [score + sum(x[i][0] for x, i in zip(lists, c)) for c in combos]
