@@ -15,7 +15,7 @@ import numpy as np
 
 ROUNDS = 100
 SMOOTH = 1.0
-#: Share of its evidence that a voter's silence keeps: silence is mostly abstention.
+#: Share of its evidence that a voter's silence keeps in the posterior labels: silence is mostly abstention.
 SILENCE = 0.25
 #: Correlations below this are taken for noise; only what is above it counts as repetition.
 REPEATS = 0.3
@@ -28,10 +28,10 @@ class LabelModel:
     weight: np.ndarray  # voters: share of evidence after correlations
     correlation: np.ndarray  # voters x voters, given the class
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, silence: float = SILENCE) -> np.ndarray:
         """P(class 1 | votes) of rows of 0/1 votes."""
         on, off = np.log(self.fire), np.log1p(-self.fire)
-        gain = (votes @ ((on[1] - on[0]) * self.weight)) + ((1 - votes) @ ((off[1] - off[0]) * self.weight * SILENCE))
+        gain = (votes @ ((on[1] - on[0]) * self.weight)) + ((1 - votes) @ ((off[1] - off[0]) * self.weight * silence))
         logit = np.log(self.prior / (1 - self.prior)) + gain
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
@@ -50,7 +50,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, voters: int, prior: float) ->
         for _ in range(ROUNDS):
             for c, p in ((0, 1 - post), (1, post)):
                 model.fire[c] = np.clip((votes.T @ (n * p) + SMOOTH * (0.001, 0.1)[c]) / ((n * p).sum() + SMOOTH), 1e-6, 1 - 1e-6)
-            new = model.posterior(votes)
+            new = model.posterior(votes, 1.0)
             if np.abs(new - post).max(initial=0) < 1e-9:
                 break
             post = new

@@ -45,7 +45,7 @@ def test_wand_retrieves_all_above_the_threshold():
 
 def test_documents_match_brute_force(spark):
     rng = random.Random(9)
-    items = [(i, " ".join(words(rng.randint(12, 50), rng, 900)) + ". " + " ".join(words(rng.randint(2, 12), rng, 900)) + ".") for i in range(40)]
+    items = [(i, " ".join(words(rng.randint(12, 50), rng, 900)) + ". " + " ".join(f"x{i}y{k}" for k in range(rng.randint(2, 12))) + ".") for i in range(40)]
     items += [(100, None), (101, ""), (102, "..."), (7, items[7][1]), (103, "short one"), (104, "two words. yes")]
     rows = [(1000 + d, " ".join(words(rng.randint(0, 600), rng, 900)), "s") for d in range(60)]
     for d in range(40):
