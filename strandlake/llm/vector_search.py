@@ -1,9 +1,10 @@
 """Operator 9, approximate nearest neighbours by anisotropic quantisation.
 
-Codebooks are fitted on a bounded sample; every vector is encoded. Queries meet
-all candidates in blocks: each block's four-bit codes are scanned by table
-lookups, the best RERANK of a block are scored exactly, and the exact scores of
-the blocks are merged per query.
+Codebooks are fitted on a bounded sample; every vector is encoded. A chunk of
+queries meets the candidates in blocks that stream through a task: a block's
+four-bit codes are scanned by table lookups, its best RERANK are scored exactly
+and merged into the best so far. Candidates are dealt to SHARDS tasks a chunk,
+so what the tasks give back grows with the queries, not with their square.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from strandlake.llm import anisotropic as aq
 from strandlake.llm.common import cut
 
-#: Neighbours of a query, rows that fit the codebooks, rows a block, queries a chunk, exact scores a query and block.
+#: Neighbours of a query, rows that fit the codebooks, rows a block, queries a chunk, shards of the candidates,
+#: exact scores a query and block, queries scanned at once.
 NEIGHBOURS = 20
 FIT_ROWS = 4096
 BLOCK = 1024
-CHUNK = 2048
+CHUNK = 4096
+SHARDS = 16
 RERANK = 64
 SCAN = 64
 
@@ -54,7 +57,6 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     n = all_rows.count()
     sample = all_rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()
     books = aq.fit(np.array([r.v for r in sample], np.float64)) if sample else np.zeros((2, aq.ENTRIES, aq.WIDTH))
-    blocks = max(1, math.ceil(n / BLOCK))
     chunks = max(1, math.ceil(n / every / CHUNK))
     eta = aq.eta_of(len(books) * aq.WIDTH)
 
@@ -64,36 +66,79 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
 
     coded = all_rows.mapInArrow(encode, "vec_id long, v array<double>, codes binary")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(SHARDS)).cast("int").alias("shard")
     chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")
     numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    stored = coded.select("*", block).select("*", numbers(chunks).alias("chunk"))
-    asked = all_rows.where(F.col("vec_id") % every == 0).select("*", chunk).select("*", numbers(blocks).alias("block"))
-
-    def meet(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = []
-        scores: list[np.ndarray] = []
-        if stored.num_rows and asked.num_rows:
-            ids = stored.column("vec_id").to_numpy()
-            x = _rows(stored.column("v").combine_chunks())
-            packed = np.frombuffer(b"".join(stored.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            asking = asked.column("vec_id").to_numpy()
-            q = _rows(asked.column("v").combine_chunks())
-            keep = min(max(RERANK, neighbours + 1), len(ids))
-            for k in range(0, len(q), SCAN):
-                near = aq.scan(packed, aq.tables(q[k : k + SCAN], books))
-                best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-                exact = (x[best] * q[k : k + SCAN, None]).sum(axis=2)
-                exact[ids[best] == asking[k : k + SCAN, None]] = -np.inf
-                order = np.lexsort((ids[best], -exact), axis=1)[:, :neighbours]
-                at = np.arange(len(best))[:, None]
-                own = np.broadcast_to(asking[k : k + SCAN, None], order.shape)
-                ok = np.isfinite(exact[at, order])
-                found.append(np.stack([own[ok], ids[best][at, order][ok]]))
-                scores.append(exact[at, order][ok])
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"query_id": pairs[0], "vec_id": pairs[1], "score": np.concatenate(scores) if scores else np.zeros(0)})
-
-    met = stored.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    stored = coded.select("*", shard).select(numbers(chunks).alias("chunk"), "shard", F.lit(1).alias("kind"), "vec_id", "v", "codes")
+    asked = all_rows.where(F.col("vec_id") % every == 0).select("*", chunk)
+    asked = asked.select("chunk", numbers(SHARDS).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"))
+
+    def meet(batches):
+        key, group = None, None
+        for b in batches:
+            of = np.stack([b.column(k).to_numpy() for k in range(3)]) if b.num_rows else np.zeros((3, 0), int)
+            ends = [*(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            at = 0
+            for end in ends:
+                if end > at:
+                    if (new := tuple(of[:2, at].tolist())) != key:
+                        if group is not None:
+                            yield group.found()
+                        key, group = new, Nearest(books, neighbours)
+                    part = b.slice(at, end - at)
+                    ids, x = part.column(3).to_numpy(), _rows(part.column(4))
+                    if of[2, at] == 0:
+                        group.ask(ids, x)
+                    else:
+                        for k in range(0, len(ids), BLOCK):
+                            group.offer(ids[k : k + BLOCK], x[k : k + BLOCK], part.column(5).slice(k, BLOCK).to_pylist())
+                at = end
+        if group is not None:
+            yield group.found()
+
+    dealt = stored.unionByName(asked).repartition("chunk", "shard").sortWithinPartitions("chunk", "shard", "kind", "vec_id")
+    met = dealt.mapInArrow(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+
+
+class Nearest:
+    """The best candidates so far of a chunk of queries; candidates come in blocks."""
+
+    def __init__(self, books: np.ndarray, neighbours: int):
+        self.books, self.neighbours = books, neighbours
+        self.asking: list[np.ndarray] = []
+        self.queries: list[np.ndarray] = []
+        self.best_ids = self.best = None
+
+    def ask(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.asking.append(ids)
+        self.queries.append(x)
+
+    def _settle(self) -> None:
+        if self.best is None:
+            self.ids = np.concatenate(self.asking) if self.asking else np.zeros(0, np.int64)
+            self.x = np.concatenate(self.queries) if self.queries else np.zeros((0, 1))
+            self.best = np.full((len(self.ids), self.neighbours), -np.inf)
+            self.best_ids = np.full(self.best.shape, np.iinfo(np.int64).max)
+
+    def offer(self, ids: np.ndarray, x: np.ndarray, codes: list[bytes]) -> None:
+        self._settle()
+        packed = np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1)
+        keep = min(max(RERANK, self.neighbours + 1), len(ids))
+        for k in range(0, len(self.ids), SCAN):
+            q, own = self.x[k : k + SCAN], self.ids[k : k + SCAN, None]
+            near = aq.scan(packed, aq.tables(q, self.books))
+            top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+            exact = (x[top] * q[:, None]).sum(axis=2)
+            exact[ids[top] == own] = -np.inf
+            scores = np.hstack([self.best[k : k + SCAN], exact])
+            names = np.hstack([self.best_ids[k : k + SCAN], ids[top]])
+            order = np.lexsort((names, -scores), axis=1)[:, : self.neighbours]
+            at = np.arange(len(order))[:, None]
+            self.best[k : k + SCAN], self.best_ids[k : k + SCAN] = scores[at, order], names[at, order]
+
+    def found(self) -> pa.RecordBatch:
+        self._settle()
+        row, col = np.nonzero(np.isfinite(self.best))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.best_ids[row, col]), pa.array(self.best[row, col])], ["query_id", "vec_id", "score"])

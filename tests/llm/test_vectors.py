@@ -30,6 +30,7 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     x[500:700] = x[500] + rng.normal(0, 1e-3, (200, 32))  # a crowd of near copies
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     monkeypatch.setattr(vs, "BLOCK", 200)
+    monkeypatch.setattr(vs, "SHARDS", 3)
     monkeypatch.setattr(vs, "CHUNK", 30)
     got = vs.search(table(spark, rows)).collect()
     want = brute(rows)
