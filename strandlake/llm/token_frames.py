@@ -40,13 +40,23 @@ ENCODE_DOCS = 128
 MARKS = ".,;:!?#$%&*|-+=/)]}"
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """Whole-text ids from ids of the pieces between spaces and line feeds.
 
     ``word_bpe_49k.json`` drops white space, splits at it before any merge, and
     its special strings hold none, so a text's ids are those of its pieces in a
-    row. It also splits letters from marks and lower-cases, so a piece of ASCII
-    letters and trailing marks is the lower-cased letters and then the marks.
+    row. It also splits letters from marks and lower-cases, so a piece of Latin-1
+    letters and trailing marks is the lower-cased letters and then the marks, and
+    the letters are one pretoken, given to the model as byte letters.
     Ids are kept as little-endian bytes, of pieces and of such cores.
     """
 
@@ -55,21 +65,40 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.store = Tokenizer.from_file(path), store
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {"": b""}
 
+    def _core(self, core: str) -> bytes:
+        """Ids of a lower-case core of Latin-1 letters: one pretoken, so the model alone is asked."""
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(core)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, missing: set[str]) -> None:
-        parts = {}
-        for w in missing:
-            core = w.rstrip(MARKS)
-            parts[w] = (core.lower(), w[len(core) :]) if core and core.isascii() and core.isalpha() else (w, "")
         if len(self.cores) > self.store:
             self.cores = {"": b""}
-        new = list({x for p in parts.values() for x in p if x not in self.cores})
+        cores, known, rest = self.cores, self.known, {}
+        for w in missing:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                low = core.lower()
+                ids = cores.get(low)
+                if ids is None:
+                    ids = cores[low] = self._core(low)
+                tail = w[len(core) :]
+                if tail in cores:
+                    known[w] = ids + cores[tail]
+                else:
+                    rest[w] = (ids, tail)
+            else:
+                rest[w] = (b"", w)
+        new = list({tail for _, tail in rest.values() if tail not in cores})
         for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cores[x] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.cores[core] + self.cores[tail]
+            cores[x] = np.array(e.ids, "<u4").tobytes()
+        for w, (ids, tail) in rest.items():
+            known[w] = ids + cores[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
