@@ -14,11 +14,11 @@ feed) whose segmentations are independent; units are solved once and kept.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import struct
-from functools import lru_cache
+from array import array
+from functools import lru_cache, partial
 from itertools import product
 
 UNIT = re.compile(r"\n| *[^ \n]+| +")
@@ -29,10 +29,12 @@ MARKS = ".,;:!?"
 #: Units kept in each of two generations.
 UNIT_STORE = 220_000
 NEVER = 1 << 60
+#: Stands for the id where a character is spelled in bytes.
+SPELLED = 0xFFFF
 #: N of the N best.
 N_BEST = 4
-#: Longer units are cut into runs of this many characters, so one endless word has bounded cost.
-LONGEST_UNIT = 2000
+#: Longer units are solved whole like any other, but not kept in the stores, whose bytes stay bounded.
+LONGEST_KEPT = 2000
 
 
 class Pieces:
@@ -43,6 +45,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        if n > SPELLED:
+            raise ValueError("ids don't fit 16 bits")
         self.floor = -round(SCALE * math.log(n + SHIFT))
         self.byte_ids = [0] * 256
         self.data: list[bytes] = [b""] * n
@@ -72,19 +76,20 @@ class Pieces:
         data = c.encode("utf-8", "surrogatepass")
         return self.floor * len(data), tuple(self.byte_ids[x] for x in data)
 
+    def edges_from(self, unit: str, i: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        """Edges (end, log-probability, ids) that start at ``i``, shortest first."""
+        own, below, j, size = [], self.tree, i, len(unit)
+        while j < size and (node := below.get(unit[j])) is not None:
+            below, j = node[0], j + 1
+            if node[1] is not None:
+                own.append((j, node[1], (node[2],)))
+        if not own or own[0][0] != i + 1:
+            own.insert(0, (i + 1, *self.spelled(unit[i])))
+        return own
+
     def edges(self, unit: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """Per start the edges (end, log-probability, ids), shortest first."""
-        size, out = len(unit), []
-        for i in range(size):
-            own, below, j = [], self.tree, i
-            while j < size and (node := below.get(unit[j])) is not None:
-                below, j = node[0], j + 1
-                if node[1] is not None:
-                    own.append((j, node[1], (node[2],)))
-            if not own or own[0][0] != i + 1:
-                own.insert(0, (i + 1, *self.spelled(unit[i])))
-            out.append(own)
-        return out
+        return [self.edges_from(unit, i) for i in range(len(unit))]
 
     def best(self, unit: str) -> tuple[bytes, int, int]:
         """Best path of a unit (ids as little-endian unsigned 16-bit integers, score, margin to the second best).
@@ -93,16 +98,17 @@ class Pieces:
         """
         size, tree = len(unit), self.tree
         low = -NEVER
-        best, second, back = [low] * (size + 1), [low] * (size + 1), [None] * (size + 1)
+        row = list if size <= LONGEST_KEPT else partial(array, "q")
+        best, second, back = (row([low]) * (size + 1) for _ in range(3))
         best[0] = 0
+        # ``back`` holds start * 2^16 + id.
         for i in range(size):
-            at, below, j = best[i], tree, i
+            at, below, j, start = best[i], tree, i, i << 16
             node = below.get(unit[i])
             if node is None or node[1] is None:
-                s, ids = self.spelled(unit[i])
-                v = at + s
+                v = at + self.spelled(unit[i])[0]
                 if v > best[i + 1]:
-                    second[i + 1], best[i + 1], back[i + 1] = best[i + 1], v, (i, ids)
+                    second[i + 1], best[i + 1], back[i + 1] = best[i + 1], v, start | SPELLED
                 elif v > second[i + 1]:
                     second[i + 1] = v
             while node is not None:
@@ -111,18 +117,18 @@ class Pieces:
                 if s is not None:
                     v = at + s
                     if v > best[j]:
-                        second[j], best[j], back[j] = best[j], v, (i, node[2])
+                        second[j], best[j], back[j] = best[j], v, start | node[2]
                     elif v > second[j]:
                         second[j] = v
                 if j == size:
                     break
                 node = node[0].get(unit[j])
-        margin, ids, j = NEVER, [], size
+        margin, ids, j = NEVER, array("H"), size
         while j:
             margin = min(margin, best[j] - second[j])
-            j, own = back[j]
-            if own.__class__ is tuple:
-                ids.extend(reversed(own))
+            j, own = back[j] >> 16, back[j] & 0xFFFF
+            if own == SPELLED:
+                ids.extend(reversed(self.spelled(unit[j])[1]))
             else:
                 ids.append(own)
         ids.reverse()
@@ -156,25 +162,53 @@ def n_best(edges, n: int) -> list[tuple[int, tuple[int, ...]]]:
     """The ``n`` best (score, ids) of a unit by backward A-star; forward Viterbi scores are the exact heuristic.
 
     Ties are ordered by the lengths of the pieces from the end, longest first.
+    The open ends of paths are kept in that order and carry links to what follows
+    them. Each has a completion of just its score and no two share one, so no more
+    than the paths still sought need stay open.
     """
-    size = len(edges)
-    best = viterbi(edges)[0]
-    into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
+    size, reach = len(edges), 0
+    best = array("q", [-NEVER]) * (size + 1)
+    best[0] = 0
     for i, own in enumerate(edges):
-        for j, s, ids in own:
-            into[j].append((i, s, ids))
-    heap = [(-best[size], (), size, 0, ())]
+        at = best[i]
+        for j, s, _ in own:
+            if at + s > best[j]:
+                best[j] = at + s
+        reach = max(reach, own[-1][0] - i)
+    front = [(best[size], size, 0, None)]
     found = []
-    while heap and len(found) < n:
-        f, path, j, tail, ids = heapq.heappop(heap)
+    while front and len(found) < n:
+        k = max(range(len(front)), key=lambda x: front[x][0])
+        f, j, tail, after = front.pop(k)
         if j == 0:
-            found.append((-f, tuple(x for own in reversed(ids) for x in own)))
+            ids = []
+            while after is not None:
+                own, after = after
+                ids.extend(own)
+            found.append((f, tuple(ids)))
             continue
-        for i, s, own in into[j]:
-            heapq.heappush(heap, (-(best[i] + s + tail), (*path, i - j), i, tail + s, (*ids, own)))
+        front[k:k] = [(best[i] + s + tail, i, tail + s, (ids, after)) for i in range(max(0, j - reach), j) for end, s, ids in edges[i] if end == j]
+        if len(front) > n - len(found):
+            kept = sorted(range(len(front)), key=lambda x: -front[x][0])[: n - len(found)]
+            front = [front[x] for x in sorted(kept)]
     return found
 
 
+class Lattice:
+    """Edges of a long unit, found when they are asked for."""
+
+    def __init__(self, pieces: Pieces, unit: str):
+        self.pieces, self.unit = pieces, unit
+
+    def __len__(self) -> int:
+        return len(self.unit)
+
+    def __getitem__(self, i: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        if i >= len(self.unit):
+            raise IndexError(i)
+        return self.pieces.edges_from(self.unit, i)
+
+
 class Segmenter:
     """N best segmentations of whole texts; solved units are kept in two bounded generations."""
 
@@ -185,10 +219,7 @@ class Segmenter:
         self.lists: dict[str, list] = {}
 
     def units(self, text: str) -> list[str]:
-        units = UNIT.findall(" " + text)
-        if len(text) > LONGEST_UNIT and max(map(len, units)) > LONGEST_UNIT:
-            units = [u[k : k + LONGEST_UNIT] for u in units for k in range(0, len(u), LONGEST_UNIT)]
-        return units
+        return UNIT.findall(" " + text)
 
     def solve(self, unit: str) -> tuple[bytes, int, int]:
         """(ids as little-endian unsigned 16-bit integers, score, margin to the second best).
@@ -204,20 +235,27 @@ class Segmenter:
                 got = (x[0] + y[0], x[1] + y[1], min(x[2], y[2]))
             else:
                 got = self.pieces.best(unit)
+        if len(unit) > LONGEST_KEPT:
+            return got
         if len(self.new) >= self.store:
             self.old, self.new = self.new, {}
         self.new[unit] = got
         return got
 
     def alternatives(self, unit: str) -> list[tuple[int, bytes]]:
+        if len(unit) > LONGEST_KEPT:
+            return self._packed(n_best(Lattice(self.pieces, unit), self.n))
         got = self.lists.get(unit)
         if got is None:
             if len(self.lists) >= self.store // 10:
                 self.lists.clear()
-            found = n_best(self.pieces.edges(unit), self.n)
-            got = self.lists[unit] = [(s, struct.pack(f"<{len(ids)}H", *ids)) for s, ids in found]
+            got = self.lists[unit] = self._packed(n_best(self.pieces.edges(unit), self.n))
         return got
 
+    @staticmethod
+    def _packed(found: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, bytes]]:
+        return [(s, struct.pack(f"<{len(ids)}H", *ids)) for s, ids in found]
+
     def segment(self, text: str) -> tuple[list[bytes], list[int], list[dict[int, bytes]]]:
         """Ids of the units on the best path, the N best scores, and for each of these what differs from the best.
 

@@ -67,3 +67,43 @@ def test_stores_do_not_change_results():
     small, large = pl.Segmenter(PATH, store=5), pl.Segmenter(PATH)
     for t in itertools.chain(texts, texts):
         assert small.segment(t) == large.segment(t)
+
+
+def k_best(pieces, text, n):
+    """Scores of the N best of a whole text, every start and end tried: lists of the N best up to each node."""
+    known = {d.decode(): i for i, d in enumerate(pieces.data) if i not in pieces.byte_ids and d}
+    longest, up_to = max(map(len, known)), [[0]]
+    scores = {}
+    for i, own in enumerate(pieces.edges(text)):
+        for end, s, _ in own:
+            scores[i, end] = s
+            assert end == i + 1 or text[i:end] in known
+    for j in range(1, len(text) + 1):
+        every = [v + scores[i, j] for i in range(max(0, j - longest), j) if (i, j) in scores for v in up_to[i]]
+        up_to.append(sorted(every, reverse=True)[:n])
+    return up_to[-1]
+
+
+def test_long_units_are_solved_whole():
+    rng = random.Random(6)
+    s = pl.Segmenter(PATH)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4100)), "".join(rng.choice("梦语言中文的是在") for _ in range(2500)), "x" * 4001, "ab" * 1500 + "!" * 2100]
+    for text in [*texts, "then " + texts[0] + " and\n" + texts[1] + " end"]:
+        units, scores, changes = s.segment(text)
+        assert scores == k_best(s.pieces, " " + text, 4)
+        for score, c in zip(scores, changes):
+            ids = b"".join(c.get(k, u) for k, u in enumerate(units))
+            assert s.decode(ids) == text
+            worth = {i: v for i, v in weights(s.pieces)}
+            assert sum(worth[i] for (i,) in struct.iter_unpack("<H", ids)) == score
+    assert max(map(len, s.new)) <= pl.LONGEST_KEPT
+
+
+def weights(pieces):
+    yield from ((i, pieces.floor) for i in pieces.byte_ids)
+    work = list(pieces.tree.values())
+    while work:
+        below, value, i = work.pop()
+        work.extend(below.values())
+        if value is not None:
+            yield i, value
