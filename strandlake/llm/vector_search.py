@@ -2,9 +2,11 @@
 
 Codebooks are fitted on a bounded sample; every vector is encoded. A chunk of
 queries meets the candidates in blocks that stream through a task: a block's
-four-bit codes are scanned by table lookups, its best RERANK are scored exactly
-and merged into the best so far. Candidates are dealt to SHARDS tasks a chunk,
-so what the tasks give back grows with the queries, not with their square.
+four-bit codes are scanned by table lookups, and all that are within their
+quantisation error of a query's nearest are scored exactly and merged into the
+best so far. No nearer candidate is lost, however many tie in a crowd of copies.
+Candidates are dealt to SHARDS tasks a chunk, so what the tasks give back grows
+with the queries, not with their square.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from strandlake.llm import anisotropic as aq
 from strandlake.llm.common import cut
 
 #: Neighbours of a query, rows that fit the codebooks, rows a block, queries a chunk, shards of the candidates,
-#: exact scores a query and block, queries scanned at once.
+#: queries scanned at once, products made at once.
 NEIGHBOURS = 20
 FIT_ROWS = 4096
 BLOCK = 1024
 CHUNK = 4096
 SHARDS = 16
-RERANK = 64
 SCAN = 64
+PRODUCTS = 1 << 21
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -102,6 +104,18 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
 
+def _within(near: np.ndarray, error: np.ndarray, may: np.ndarray, worst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``may`` can be among the ``n`` largest (queries x rows), and the least score of these.
+
+    Scores are within ``error`` of ``near``; ``worst`` is a score that n others reach already.
+    """
+    if near.shape[1] > n:
+        sure = np.where(may, near - error, -np.inf)
+        sure[np.isnan(sure)] = -np.inf
+        worst = np.maximum(worst, np.partition(sure, -n, axis=1)[:, -n, None])
+    return may & ~(near + error < worst), worst
+
+
 class Nearest:
     """The best candidates so far of a chunk of queries; candidates come in blocks."""
 
@@ -125,18 +139,29 @@ class Nearest:
     def offer(self, ids: np.ndarray, x: np.ndarray, codes: list[bytes]) -> None:
         self._settle()
         packed = np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1)
-        keep = min(max(RERANK, self.neighbours + 1), len(ids))
+        size = np.linalg.norm(x, axis=1)
+        error = aq.error(x, packed, self.books)
+        n = self.neighbours
         for k in range(0, len(self.ids), SCAN):
             q, own = self.x[k : k + SCAN], self.ids[k : k + SCAN, None]
+            norm = np.linalg.norm(q, axis=1)[:, None]
+            may = ids != own
+            worst = self.best[k : k + SCAN, -1:]
             near = aq.scan(packed, aq.tables(q, self.books))
-            top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-            exact = (x[top] * q[:, None]).sum(axis=2)
-            exact[ids[top] == own] = -np.inf
-            scores = np.hstack([self.best[k : k + SCAN], exact])
-            names = np.hstack([self.best_ids[k : k + SCAN], ids[top]])
-            order = np.lexsort((names, -scores), axis=1)[:, : self.neighbours]
-            at = np.arange(len(order))[:, None]
-            self.best[k : k + SCAN], self.best_ids[k : k + SCAN] = scores[at, order], names[at, order]
+            may, worst = _within(near, norm * error, may, worst, n)
+            cols = np.flatnonzero(may.any(axis=0))
+            rounding = (x.shape[1] + 2) * 4e-16 * norm * size[cols]
+            may, _ = _within(q @ x[cols].T, rounding, may[:, cols], worst, n)
+            row, col = np.nonzero(may)
+            col = cols[col]
+            step = max(1, PRODUCTS // x.shape[1])
+            exact = [(x[col[i : i + step]] * q[row[i : i + step]]).sum(axis=1) for i in range(0, len(row), step)]
+            row = np.concatenate([np.repeat(np.arange(len(q)), n), row])
+            names = np.concatenate([self.best_ids[k : k + SCAN].ravel(), ids[col]])
+            scores = np.concatenate([self.best[k : k + SCAN].ravel(), *exact])
+            order = np.lexsort((names, -scores, row))
+            order = order[np.searchsorted(row[order], np.arange(len(q)))[:, None] + np.arange(n)]
+            self.best[k : k + SCAN], self.best_ids[k : k + SCAN] = scores[order], names[order]
 
     def found(self) -> pa.RecordBatch:
         self._settle()

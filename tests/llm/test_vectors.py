@@ -45,6 +45,31 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     assert all([(-s, i) for i, s in v] == sorted((-s, i) for i, s in v) for v in found.values())
 
 
+def test_crowds_of_copies_and_near_copies():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6 * vs.BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x))
+    for noise in (0.0, 1e-3):
+        crowd = rng.permutation(len(x))[: len(x) // 3]
+        x[crowd] = x[crowd[0]] + rng.normal(0, 1, (len(crowd), 64)) * noise
+        books = aq.fit(x[: vs.FIT_ROWS])
+        codes = [c.tobytes() for c in aq.pack(aq.assign(x, books, aq.eta_of(64)))]
+        near = vs.Nearest(books, vs.NEIGHBOURS)
+        asked = ids[::20]
+        near.ask(asked, x[asked])
+        # Blocks from the last to the first: later blocks hold the smaller ids.
+        for k in reversed(range(0, len(x), vs.BLOCK)):
+            near.offer(ids[k : k + vs.BLOCK], x[k : k + vs.BLOCK], codes[k : k + vs.BLOCK])
+        got: dict = {}
+        for r in near.found().to_pylist():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        for q in asked.tolist():
+            scores = (x * x[q]).sum(axis=1)
+            scores[q] = -np.inf
+            assert got[q] == [(i, scores[i]) for i in np.lexsort((ids, -scores))[: vs.NEIGHBOURS].tolist()]
+
+
 def test_awkward_vectors(spark):
     rows = [(0, [1, 0, 0]), (20, [0, 1, 0]), (40, [0, 0, 0]), (60, None), (80, [1, None, 0]), (100, [float("nan"), 0, 1]), (120, [float("inf"), 0, 1]), (140, [1, 2]), (160, []), (None, [1, 1, 1])]
     rows += [(1, [1, 1, 0]), (2, [1, 1, 0]), (3, [1, 1, 0]), (3, [1, 1, 0]), (-20, [2, 0, 0]), (5, [-1, -1, -1])]
