@@ -1,7 +1,8 @@
 """Operator 1, HTML extraction by site template removal.
 
 Every element subtree is hashed, the hashes are counted per host over all
-pages, and subtrees that recur across many pages of their host are deleted.
+pages of different texts, and subtrees that recur across many of these are
+deleted, unless they hold nearly all of what a page says.
 What the counts can't see on hosts of few pages is deleted by what the markup
 says it is (navigation, footers, forms, adverts, notices, comments).
 
@@ -15,15 +16,21 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from strandlake.llm.common import cut
 from strandlake.llm.html_tree import BLOCK, UNSEEN, Element, blocks, measure, parse
 
-#: A subtree is template when it is on this many pages of a host, and on this share of them.
+#: A subtree is template when it is on this many pages of a host, and on this share of them or on MANY_PAGES;
+#: pages of one text count once, except for link lists.
 MIN_PAGES = 3
 MIN_SHARE = 0.1
+MANY_PAGES = 100
+#: A subtree with this share of a page's text outside links and furniture isn't deleted.
+NEARLY_ALL = 0.9
 
 # Elements and class, id or role words of page furniture.
 FURNITURE_TAGS = frozenset("nav footer aside form dialog menu input label".split())
@@ -63,8 +70,8 @@ def article_of(root: Element) -> list[Element]:
     return found["article"] or found["main"]
 
 
-def subtree_digests(page: str | None) -> set[int]:
-    """Digests of all element subtrees of a page that hold text."""
+def subtree_digests(page: str | None) -> tuple[int, set[int]]:
+    """Digest of a page's text, and digests of all its element subtrees that hold text; those of link lists are inverted."""
     root = parse(page or "")
     measure(root)
     seen, work = set(), [root]
@@ -72,9 +79,26 @@ def subtree_digests(page: str | None) -> set[int]:
         e = work.pop()
         for c in e.children:
             if c.__class__ is Element and c.chars:
-                seen.add(c.digest)
+                seen.add(~c.digest if c.linked * 2 > c.chars else c.digest)
                 work.append(c)
-    return seen
+    text = "\n".join(blocks(root, lambda e: False))
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1, seen
+
+
+def plain_chars(root: Element) -> dict[int, int]:
+    """Characters of every element by its ``id``, without links and furniture."""
+    plain: dict[int, int] = {}
+    work = [(root, False)]
+    while work:
+        e, ready = work.pop()
+        if e.tag == "a" or e.hidden or e.tag in UNSEEN or is_furniture(e, False):
+            plain[id(e)] = 0
+        elif ready:
+            plain[id(e)] = sum(plain[id(c)] if c.__class__ is Element else len(" ".join(c.split())) for c in e.children)
+        else:
+            work.append((e, True))
+            work.extend((c, False) for c in e.children if c.__class__ is Element)
+    return plain
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int]) -> tuple[str, int]:
@@ -93,6 +117,8 @@ def main_text(page: str | None, template: frozenset[int] | set[int]) -> tuple[st
                 continue
             path.extend((c, (*above, e)) for c in e.children if c.__class__ is Element)
     deleted = 0
+    plain = {} if articles else plain_chars(root)
+    nearly_all = max(1, NEARLY_ALL * plain.get(id(root), 0))
 
     def cut_template(e: Element, inside: bool) -> None:
         nonlocal deleted
@@ -103,6 +129,10 @@ def main_text(page: str | None, template: frozenset[int] | set[int]) -> tuple[st
             for c in n.children:
                 if c.__class__ is Element:
                     sheltered = within or id(c) in protected
+                    if not sheltered and c.digest in template and plain.get(id(c), 0) >= nearly_all:
+                        work.append((c, True))
+                        kept.append(c)
+                        continue
                     if c.digest in template and c.chars and id(c) not in holders and (not sheltered or within and c.linked * 2 > c.chars):
                         deleted += 1
                         kept.append("\n" if c.tag not in BLOCK else Element("hr"))
@@ -120,25 +150,35 @@ def main_text(page: str | None, template: frozenset[int] | set[int]) -> tuple[st
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (host, digests): subtrees on at least MIN_PAGES pages and MIN_SHARE of the pages of their host.
+    """Rows (host, digests): subtrees on at least MIN_PAGES pages and MIN_SHARE of the pages of their host, or on MANY_PAGES.
 
-    A host has at most 1 / MIN_SHARE times its mean subtrees a page of them, so the list is bounded.
+    Pages of one text count once, so that copies of a page aren't taken for its template; for link lists each counts.
     """
+    rows = with_digests(pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")), keep_html=False)
+    contents = rows.groupBy("host", "page").agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("own"), F.count("*").alias("copies"))
+    each = contents.select("host", "copies", F.explode("own").alias("digest"))
+    n = F.sum(F.when(F.col("digest") < 0, F.col("copies")).otherwise(1)).alias("n")
+    seen = each.groupBy("host", "digest").agg(n).where(F.col("n") >= MIN_PAGES)
+    sizes = contents.groupBy("host").agg(F.count("*").alias("texts"), F.sum("copies").alias("pages"))
+    share = F.when(F.col("digest") < 0, F.col("pages")).otherwise(F.col("texts")) * MIN_SHARE
+    often = seen.join(sizes, "host").where(F.col("n") >= F.least(share, F.lit(MANY_PAGES)))
+    return often.groupBy("host").agg(F.collect_list("digest").alias("digests"))
+
+
+def with_digests(rows: DataFrame, keep_html: bool) -> DataFrame:
+    """``rows`` with ``page``, the digest of the text of ``html``, and ``own``, the sorted digests of its subtrees."""
+    names = [c for c in rows.columns if keep_html or c != "html"]
+    at = rows.columns.index("html")
 
     def run(batches):
         for b in batches:
-            hosts, digests = [], []
-            for h, page in zip(b.column(0), b.column(1)):
-                own = subtree_digests(page.as_py())
-                hosts += [h.as_py()] * len(own)
-                digests += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], ["host", "digest"])
-
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    seen = rows.mapInArrow(run, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    often = seen.join(sizes, "host").where(F.col("n") >= F.col("pages") * MIN_SHARE)
-    return often.groupBy("host").agg(F.collect_list("digest").alias("digests"))
+            found = [subtree_digests(x.as_py()) for x in b.column(at)]
+            kept = [b.column(rows_at[c]) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in found], pa.int64()), pa.array([sorted(x) for _, x in found], pa.list_(pa.int64()))], [*names, "page", "own"])
+
+    rows_at = {c: k for k, c in enumerate(rows.columns)}
+    schema = StructType([*(rows.schema[c] for c in names), StructField("page", LongType()), StructField("own", ArrayType(LongType()))])
+    return rows.mapInArrow(run, schema)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -154,7 +194,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             texts, cuts = [], []
             for page, digests in zip(b.column(2), b.column(3)):
-                text, n = main_text(page.as_py(), set(digests.as_py() or ()))
+                text, n = main_text(page.as_py(), {~d if d < 0 else d for d in digests.as_py() or ()})
                 texts.append(text.encode("utf-8", "replace").decode())
                 cuts.append(n)
             yield pa.RecordBatch.from_arrays(
@@ -163,5 +203,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             )
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host"))
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "digests")
+    # Only a page's own template subtrees reach Python; a host's list may be long.
+    joined = with_digests(rows, keep_html=True).join(found, "host", "left").select("page_id", "url", "html", F.array_intersect("own", "digests").alias("digests"))
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")

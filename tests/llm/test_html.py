@@ -54,3 +54,20 @@ def test_recurring_subtrees_go_per_host(spark):
 def test_shared_article_text_stays(spark):
     rows = [(i, "https://a.example/", "<div>top</div><article><p>The same text.</p><p><a href=y>More links</a></p></article>") for i in range(20)]
     assert {r.text for r in he.extract(pages(spark, rows)).collect()} == {"The same text."}
+
+
+def test_copies_of_whole_pages_stay(spark):
+    story = "<div><p>The first part of the story.</p><p>The second part, longer than the first one.</p></div>"
+    page = lambda i: f"<html><head><title>{i}</title></head><body><div><a href=/>Home</a> <a href=/x>More</a></div>{story}<footer>Printed {i}</footer></body></html>"
+    rows = [(i, f"https://a.example/{i}", page(0)) for i in range(3)] + [(10 + i, f"https://b.example/{i}", page(i)) for i in range(5)]
+    rows += [(100 + i, f"https://{'ab'[i % 2]}.example/o/{i}", f"<p>Other text {i}.</p>") for i in range(20)]
+    got = {r.page_id: r.text for r in he.extract(pages(spark, rows)).collect()}
+    told = "The first part of the story.\nThe second part, longer than the first one."
+    assert all(got[i].endswith(told) for i in (0, 1, 2, *range(10, 15)))
+    assert {got[i] for i in range(10, 15)} == {told}
+
+
+def test_section_templates_go_on_large_hosts(spark):
+    part = lambda i: "<div><span>Section of gardens</span></div>" if i < 150 else ""
+    rows = [(i, f"https://a.example/{i}", f"{part(i)}<p>text {i} of its own</p>") for i in range(2000)]
+    assert {r.page_id: r.text for r in he.extract(pages(spark, rows)).collect()} == {i: f"text {i} of its own" for i in range(2000)}
