@@ -277,9 +277,19 @@ def shuffle(spark, sf_dir):
 # --- matrices ---
 
 
+def all_samples(spark: SparkSession, sf_dir: str) -> list[str]:
+    """SAMPLES and whatever other sources the documents have; a null source is named ``null``."""
+    found = [r.source for r in documents(spark, sf_dir).select("source").distinct().limit(ml.MAX_SAMPLES + 1).collect()]
+    if len(found) > ml.MAX_SAMPLES:
+        raise ValueError(f"more than {ml.MAX_SAMPLES} samples")
+    if None in found and "null" in found:
+        raise ValueError("a source is named null and another is null")
+    return [*SAMPLES, *sorted({"null" if s is None else s for s in found} - set(SAMPLES))]
+
+
 @query
 def collate_wide(spark, sf_dir):
-    return matrix.wide(by_sample(spark, sf_dir), SAMPLES)
+    return matrix.wide(by_sample(spark, sf_dir).na.fill("null", ["sample"]), all_samples(spark, sf_dir))
 
 
 @query

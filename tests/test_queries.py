@@ -50,3 +50,16 @@ def test_the_rest_works_without_the_subpackage(monkeypatch):
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "strandlake.llm", None)
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
+
+
+def test_collate_wide_keeps_every_source(spark, tmp_path):
+    rows = [(1, "ACGTAC", "src0"), (2, "ACGT", "else.where"), (3, "ACG", None), (4, "", "empty")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["collate_wide"](spark, str(tmp_path))
+    assert got.columns == ["kmer_id", *(f"src{i}" for i in range(20)), "else.where", "empty", "null"]
+    table = got.toPandas()
+    assert [int(table[c].sum()) for c in ("src0", "src1", "else.where", "empty", "null")] == [4, 0, 2, 0, 1]
+
+
+def test_collate_wide_matches_sql(spark, oracle):
+    test_query_matches_sql(spark, oracle, "collate_wide")
