@@ -11,6 +11,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from strandlake.llm.piece_lattice import N_BEST, segmenter
 
+#: Texts segmented together.
+SLICE = 64
+
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:
     """Rows (doc_id, best binary, scores array<long>, others array<binary>) for every row of ``docs``.
@@ -24,11 +27,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         coder = segmenter(model_path, n)
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
                 best, scores, others = [], [], []
-                for t in part.column(1):
-                    units, own, changes = coder.segment(t.as_py() or "")
+                for units, own, changes in coder.segment_all([t.as_py() or "" for t in part.column(1)]):
                     best.append(b"".join(units))
                     scores.append(own)
                     others.append([b"".join([c.get(k, u) for k, u in enumerate(units)]) for c in changes[1:]])
@@ -65,22 +67,24 @@ def code_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         coder = segmenter(model_path, n)
+        data = coder.pieces.data
+        spelt = lambda ids: b"".join([data[x] for x in memoryview(ids).cast("H")])
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0), b.column(1)):
-                text = t.as_py() or ""
-                units, scores, changes = coder.segment(text)
-                best = b"".join(units)
-                decoded = coder.decode(best)
-                whole, rest = decoded == text, hashlib.sha256()
-                for c in changes[1:]:
-                    rest.update(b"".join([c.get(k, u) for k, u in enumerate(units)]) if len(c) else best)
-                    whole = whole and all(b"".join([coder.pieces.data[x] for x in memoryview(y).cast("H")]) == b"".join([coder.pieces.data[x] for x in memoryview(units[k]).cast("H")]) for k, y in c.items())
-                rows.append(
-                    dict(doc_id=i.as_py(), n_pieces=len(best) // 2, ids_sha256=hashlib.sha256(best).hexdigest(), best_score=scores[0], scores=",".join(map(str, scores)),
-                         others_sha256=rest.hexdigest(), n_best=len(scores), decoded_chars=len(decoded), decoded_sha256=hashlib.sha256(decoded.encode()).hexdigest(), round_trip=whole)
-                )
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            for at in range(0, b.num_rows, SLICE):
+                part, rows = b.slice(at, SLICE), []
+                texts = [t.as_py() or "" for t in part.column(1)]
+                for i, text, (units, scores, changes) in zip(part.column(0), texts, coder.segment_all(texts)):
+                    best = b"".join(units)
+                    decoded = coder.decode(best)
+                    whole, rest = decoded == text, hashlib.sha256()
+                    for c in changes[1:]:
+                        rest.update(b"".join([c.get(k, u) for k, u in enumerate(units)]) if len(c) else best)
+                        whole = whole and all(spelt(y) == spelt(units[k]) for k, y in c.items())
+                    rows.append(
+                        dict(doc_id=i.as_py(), n_pieces=len(best) // 2, ids_sha256=hashlib.sha256(best).hexdigest(), best_score=scores[0], scores=",".join(map(str, scores)),
+                             others_sha256=rest.hexdigest(), n_best=len(scores), decoded_chars=len(decoded), decoded_sha256=hashlib.sha256(decoded.encode()).hexdigest(), round_trip=whole)
+                    )
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = {"doc_id": pa.int64(), "n_pieces": pa.int64(), "ids_sha256": pa.string(), "best_score": pa.int64(), "scores": pa.string(), "others_sha256": pa.string(), "n_best": pa.int64(), "decoded_chars": pa.int64(), "decoded_sha256": pa.string(), "round_trip": pa.bool_()}
     schema = pa.schema(list(kinds.items()))

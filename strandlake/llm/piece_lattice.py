@@ -10,6 +10,7 @@ the text is spelled in bytes, so decoding gives back every text exactly. No
 piece holds a space after another character, and none a line feed, so the
 lattice falls apart into units (a word with the spaces before it, or a line
 feed) whose segmentations are independent; units are solved once and kept.
+The forward pass runs over many new units at once, one array step a lattice edge.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ import math
 import re
 import struct
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
-from itertools import product
+from itertools import islice
+
+import numpy as np
 
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 SHIFT = 2.7
 SCALE = 1000
-#: Marks at the end of a unit that are solved apart where no piece joins them to the letter before.
-MARKS = ".,;:!?"
-#: Units kept in each of two generations.
-UNIT_STORE = 220_000
+#: Units kept in each of two generations, and the longest units (in characters) that are solved many at once.
+UNIT_STORE = 40_000
+TOGETHER = 32
+#: Units of one forward pass.
+UNITS_AT_ONCE = 1024
 NEVER = 1 << 60
 #: Stands for the id where a character is spelled in bytes.
 SPELLED = 0xFFFF
@@ -35,6 +40,8 @@ SPELLED = 0xFFFF
 N_BEST = 4
 #: Longer units are solved whole like any other, but not kept in the stores, whose bytes stay bounded.
 LONGEST_KEPT = 2000
+#: A solved unit is one string of bytes: ids as little-endian unsigned 16-bit integers, then score and margin.
+TAIL = struct.Struct("<qq")
 
 
 class Pieces:
@@ -52,8 +59,6 @@ class Pieces:
         self.data: list[bytes] = [b""] * n
         #: Tree of the pieces by character; a node is [children, log-probability or None, id].
         self.tree: dict[str, list] = {}
-        #: Pairs of a letter and what follows it inside some piece.
-        self.inside: set[str] = set()
         for i in range(n):
             text = model.id_to_piece(i)
             if model.is_byte(i):
@@ -69,7 +74,8 @@ class Pieces:
                     node = below.setdefault(c, [{}, None, 0])
                     below = node[0]
                 node[1:] = -round(SCALE * math.log(min(max(order, 0.0), n) + SHIFT)), i
-                self.inside.update(text[k : k + 2] for k in range(len(text) - 1))
+
+        self.steps = Steps(self.tree)
 
     def spelled(self, c: str) -> tuple[int, tuple[int, ...]]:
         """Log-probability and ids of a character in byte pieces."""
@@ -91,8 +97,8 @@ class Pieces:
         """Per start the edges (end, log-probability, ids), shortest first."""
         return [self.edges_from(unit, i) for i in range(len(unit))]
 
-    def best(self, unit: str) -> tuple[bytes, int, int]:
-        """Best path of a unit (ids as little-endian unsigned 16-bit integers, score, margin to the second best).
+    def best(self, unit: str) -> bytes:
+        """Best path of a unit: its ids, then score and margin to the second best as a TAIL.
 
         The same forward pass as ``viterbi``, without the lists of edges.
         """
@@ -132,7 +138,115 @@ class Pieces:
             else:
                 ids.append(own)
         ids.reverse()
-        return struct.pack(f"<{len(ids)}H", *ids), best[size], margin if margin < NEVER // 2 else NEVER
+        return struct.pack(f"<{len(ids)}H", *ids) + TAIL.pack(best[size], margin if margin < NEVER // 2 else NEVER)
+
+
+class Steps:
+    """The tree of pieces as arrays: from a node (0 the root) and a character to the next node, its score and its id."""
+
+    def __init__(self, tree: dict[str, list]):
+        letters: dict[str, int] = {}
+        keys, score, ids, work, self.deepest = [], [-NEVER], [0], [(0, 1, tree)], 0
+        while work:
+            node, depth, below = work.pop()
+            for c, (children, own, own_id) in below.items():
+                keys.append((node, letters.setdefault(c, len(letters) + 1), len(score)))
+                work.append((len(score), depth + 1, children))
+                score.append(-NEVER if own is None else own)
+                ids.append(own_id)
+                self.deepest = max(self.deepest, depth)
+        self.score, self.ids = np.array(score, np.int64), np.array(ids, np.int64)
+        #: Number of each character that pieces hold, by code point; 0 for all others.
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)
+        for c, k in letters.items():
+            self.letter[ord(c)] = k
+        self.width = len(letters) + 1
+        at = np.array([n * self.width + c for n, c, _ in keys], np.int64)
+        # Open addressing at a load of a quarter at most; ``probes`` steps find any key that is there.
+        self.bits = max(4, (4 * len(at) - 1).bit_length())
+        self.key, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, left, self.probes = self._slots(at), np.arange(len(at)), 0
+        while len(left):
+            own = (slot[left] + self.probes) & (len(self.key) - 1)
+            free = self.key[own] < 0
+            _, first = np.unique(own[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.key[own[won]], self.to[own[won]] = at[left[won]], [keys[i][2] for i in left[won]]
+            left = np.delete(left, won)
+            self.probes += 1
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The node after ``node`` by ``letter``, 0 where no piece goes on."""
+        key = node * self.width + letter
+        slot, found, left = self._slots(key), np.zeros(len(key), np.int64), np.arange(len(key))
+        for k in range(self.probes):
+            at = (slot[left] + k) & (len(self.key) - 1)
+            own = self.key[at]
+            hit = own == key[left]
+            found[left[hit]] = self.to[at[hit]]
+            left = left[~hit & (own >= 0)]
+            if not len(left):
+                break
+        return found
+
+
+def best_of_many(pieces: Pieces, units: list[str]) -> list[bytes]:
+    """What ``Pieces.best`` gives for each of ``units`` (no longer than TOGETHER), by one forward pass over all."""
+    steps, n = pieces.steps, len(units)
+    sizes = np.fromiter(map(len, units), np.int64, n)
+    longest = int(sizes.max())
+    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.arange(longest)[None, :] < sizes[:, None]
+    text = np.zeros((n, longest), np.int64)
+    text[inside] = points
+    letter = np.where(text < len(steps.letter), steps.letter[np.minimum(text, len(steps.letter) - 1)], 0)
+    # Scores and ids of edges by length, start and unit. A character without a piece of its own is spelled.
+    deepest = max(1, min(steps.deepest, longest))
+    score, ids = np.full((deepest, longest, n), -NEVER, np.int64), np.zeros((deepest, longest, n), np.uint16)
+    unit, start = np.nonzero(inside)
+    node = np.zeros(len(unit), np.int64)
+    for k in range(deepest):
+        alive = start + k < sizes[unit]
+        unit, start, node = unit[alive], start[alive], node[alive]
+        node = steps.next(node, letter[unit, start + k])
+        on = node > 0
+        unit, start, node = unit[on], start[on], node[on]
+        score[k, start, unit], ids[k, start, unit] = steps.score[node], steps.ids[node]
+    lone = inside.T & (score[0] == -NEVER)
+    cost = pieces.floor * (1 + (text > 0x7F).astype(np.int64) + (text > 0x7FF) + (text > 0xFFFF)).T
+    score[0][lone], ids[0][lone] = cost[lone], SPELLED
+    best, second = np.full((longest + 1, n), -NEVER, np.int64), np.full((longest + 1, n), -NEVER, np.int64)
+    size_of, id_of = np.zeros((longest + 1, n), np.int64), np.zeros((longest + 1, n), np.uint16)
+    best[0] = 0
+    for j in range(1, longest + 1):
+        for k in range(min(j, deepest) - 1, -1, -1):
+            v = best[j - 1 - k] + score[k, j - 1 - k]
+            more = v > best[j]
+            np.copyto(second[j], np.where(more, best[j], np.maximum(second[j], v)))
+            best[j][more], size_of[j][more], id_of[j][more] = v[more], k + 1, ids[k, j - 1 - k][more]
+    # Back along the best paths of all units at once; ids fill their rows from the right.
+    every = np.arange(n)
+    row, at, margin, used = np.zeros((n, longest), np.uint16), sizes.copy(), np.full(n, NEVER, np.int64), np.zeros(n, np.int64)
+    while True:
+        on = np.flatnonzero(at > 0)
+        if not len(on):
+            break
+        j = at[on]
+        margin[on] = np.minimum(margin[on], best[j, on] - second[j, on])
+        used[on] += 1
+        row[on, longest - used[on]] = id_of[j, on]
+        at[on] -= size_of[j, on]
+    margin[margin >= NEVER // 2] = NEVER
+    tail = np.stack([best[sizes, every], margin], axis=1).astype("<i8").tobytes()
+    flat, width = row.astype("<u2").tobytes(), 2 * longest
+    spelled = ((row == SPELLED) & (np.arange(longest) >= longest - used[:, None])).any(axis=1)
+    out = [flat[(i + 1) * width - 2 * u : (i + 1) * width] + tail[16 * i : 16 * i + 16] for i, u in enumerate(used.tolist())]
+    for i in np.flatnonzero(spelled).tolist():
+        out[i] = pieces.best(units[i])
+    return out
 
 
 def viterbi(edges) -> tuple[list[int], list[int], tuple[int, ...]]:
@@ -214,33 +328,33 @@ class Segmenter:
 
     def __init__(self, path: str, n: int = N_BEST, store: int = UNIT_STORE):
         self.pieces, self.n, self.store = Pieces(path), n, store
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.lists: dict[str, list] = {}
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(" " + text)
 
-    def solve(self, unit: str) -> tuple[bytes, int, int]:
-        """(ids as little-endian unsigned 16-bit integers, score, margin to the second best).
-
-        A border that no piece crosses makes both sides independent: scores add,
-        and the margin is the lesser one.
-        """
-        got = self.old.get(unit)
-        if got is None:
-            core = unit.rstrip(MARKS)
-            if 1 < len(core) < len(unit) and core[-1].isalpha() and unit[len(core) - 1 : len(core) + 1] not in self.pieces.inside:
-                x, y = (self.new.get(u) or self.solve(u) for u in (core, unit[len(core) :]))
-                got = (x[0] + y[0], x[1] + y[1], min(x[2], y[2]))
+    def solve(self, units: Iterable[str]) -> dict[str, bytes]:
+        """Ids, score and margin of distinct units, as ``Pieces.best`` gives them; new ones are kept if not long."""
+        found, short = {}, []
+        for u in units:
+            got = self.new.get(u) or self.old.get(u)
+            if got is not None:
+                found[u] = got
+            elif len(u) > TOGETHER:
+                found[u] = self.pieces.best(u)
             else:
-                got = self.pieces.best(unit)
-        if len(unit) > LONGEST_KEPT:
-            return got
-        if len(self.new) >= self.store:
+                short.append(u)
+        short.sort(key=len)
+        for k in range(0, len(short), UNITS_AT_ONCE):
+            part = short[k : k + UNITS_AT_ONCE]
+            found.update(zip(part, best_of_many(self.pieces, part)))
+        if len(self.new) + len(found) > self.store:
             self.old, self.new = self.new, {}
-        self.new[unit] = got
-        return got
+        room = self.store - len(self.new)
+        self.new.update((u, x) for u, x in islice(found.items(), room) if len(u) <= LONGEST_KEPT)
+        return found
 
     def alternatives(self, unit: str) -> list[tuple[int, bytes]]:
         if len(unit) > LONGEST_KEPT:
@@ -257,28 +371,41 @@ class Segmenter:
         return [(s, struct.pack(f"<{len(ids)}H", *ids)) for s, ids in found]
 
     def segment(self, text: str) -> tuple[list[bytes], list[int], list[dict[int, bytes]]]:
-        """Ids of the units on the best path, the N best scores, and for each of these what differs from the best.
+        """What ``segment_all`` gives for one text."""
+        return next(self.segment_all([text]))
+
+    def segment_all(self, texts: list[str]) -> Iterator[tuple[list[bytes], list[int], list[dict[int, bytes]]]]:
+        """Per text the ids of the units on the best path, the N best scores, and for each of these what differs from the best."""
+        of_text = [self.units(t) for t in texts]
+        known = self.new
+        fresh = {u for units in of_text for u in units if u not in known}
+        solved = self.solve(fresh) if fresh else {}
+        for units in of_text:
+            yield self._n_best(units, [known.get(u) or solved[u] for u in units])
+
+    def _n_best(self, units: list[str], got: list[bytes]) -> tuple[list[bytes], list[int], list[dict[int, bytes]]]:
+        """The N best of a text from its units and what solves them.
 
         A path among the N best leaves the best only in units of the N - 1 least
         margins, for each of those alone gives as many paths that are no worse.
         """
-        units = self.units(text)
-        got = list(map(self.new.get, units))
-        if None in got:
-            got = [x or self.new.get(u) or self.solve(u) for u, x in zip(units, got)]
-        score = sum([x[1] for x in got])
-        margins = [x[2] for x in got]
+        ids = [x[: -TAIL.size] for x in got]
+        tails = np.frombuffer(b"".join([x[-TAIL.size :] for x in got]), "<i8").reshape(-1, 2)
+        score, margins = int(tails[:, 0].sum()), tails[:, 1].copy()
         few = []
         for _ in range(min(self.n - 1, len(margins))):
-            k = margins.index(min(margins))
+            k = int(margins.argmin())
             if margins[k] < NEVER:
                 few.append(k)
             margins[k] = NEVER
-        lists = [[(s - got[k][1], k, ids) for s, ids in self.alternatives(units[k])] for k in few]
-        combos = sorted(product(*(range(len(x)) for x in lists)), key=lambda c: (-sum(x[i][0] for x, i in zip(lists, c)), c))[: self.n]
-        scores = [score + sum(x[i][0] for x, i in zip(lists, c)) for c in combos]
-        changes = [{x[i][1]: x[i][2] for x, i in zip(lists, c) if i} for c in combos]
-        return [x[0] for x in got], scores, changes
+        lists = [[(s - int(tails[k, 0]), k, own) for s, own in self.alternatives(units[k])] for k in few]
+        ways = [((), 0)]
+        for own in lists:
+            # Taken one list after the other, only the n best of what came before can be among the n best.
+            ways = sorted((((*c, i), v + x[0]) for c, v in ways for i, x in enumerate(own)), key=lambda w: (-w[1], w[0]))[: self.n]
+        scores = [score + v for _, v in ways]
+        changes = [{x[i][1]: x[i][2] for x, i in zip(lists, c) if i} for c, _ in ways]
+        return ids, scores, changes
 
     def decode(self, data: bytes) -> str:
         """The text of ids given as little-endian unsigned 16-bit integers."""
