@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import map_arrow
+
 # The template's control strings.
 OPEN, TEXT, SHUT, END = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROLS = (OPEN, TEXT, SHUT, END)
@@ -116,7 +118,7 @@ def format_rows(conversations: DataFrame, tokenizer_path: str, conv_col="conv_id
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.struct(F.col(turn_col).cast("long").alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return whole.mapInArrow(run, "conv_id long, formatted string, ids array<int>, mask array<tinyint>, starts array<int>, ends array<int>")
+    return map_arrow(whole, run, "conv_id long, formatted string, ids array<int>, mask array<tinyint>, starts array<int>, ends array<int>")
 
 
 def digest_rows(formatted: DataFrame) -> DataFrame:
@@ -137,4 +139,4 @@ def digest_rows(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

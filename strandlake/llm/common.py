@@ -5,23 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch, so that a Python worker holds few whole texts at once; a session's own setting goes first.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_LIMIT = "2097152"
+#: Rows of at most a few dozen bytes each that a join may broadcast.
+BROADCAST_ROWS = 500_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, BATCH_LIMIT)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session without
-    that setting, as in local tests, gets a temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session
+    without that setting, as in tests, gets a temporary folder of its own.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
         spark.conf.set("spark.checkpoint.dir", given)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,6 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: columns are pruned when it is read."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which is cut already, marked for a broadcast if it has at most ``rows`` rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def held_out(doc_id) -> Column:
     """True for rows whose crc32(doc_id as text) is divisible by five; null ids are not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import map_arrow
 from strandlake.llm.bm25_wand import OVERLAP, SHINGLE, Index, Item, shingles, split_item, words_of
 
 #: Items of one index; a larger benchmark makes more indexes, each over all passages.
@@ -54,7 +55,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, id_col="item_id", text_
 
     often: Counter[str] = Counter()
     if items:
-        for r in docs.select(F.col("text").cast("string")).limit(ORDER_DOCS).mapInArrow(count, "term string, n long").collect():
+        for r in map_arrow(docs.select(F.col("text").cast("string")).limit(ORDER_DOCS), count, "term string, n long").collect():
             often[r.term] += r.n
     return [Index(items[k : k + INDEX_ITEMS], len(items), mean, df, often) for k in range(0, len(items), INDEX_ITEMS)]
 
@@ -115,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id",
 
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {MATCH}")
+    return map_arrow(rows, run, f"doc_id long, {MATCH}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
@@ -128,4 +129,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataF
             clean = [not any(matches(t.as_py(), x.value) for x in indexes) for t in b.column(at)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from strandlake.llm.common import cut
+from strandlake.llm.common import cut, map_arrow
 from strandlake.llm.html_tree import BLOCK, UNSEEN, Element, blocks, measure, parse
 
 #: A subtree is template when it is on this many pages of a host, and on this share of them or on MANY_PAGES;
@@ -178,7 +178,7 @@ def with_digests(rows: DataFrame, keep_html: bool) -> DataFrame:
 
     rows_at = {c: k for k, c in enumerate(rows.columns)}
     schema = StructType([*(rows.schema[c] for c in names), StructField("page", LongType()), StructField("own", ArrayType(LongType()))])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -205,4 +205,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host"))
     # Only a page's own template subtrees reach Python; a host's list may be long.
     joined = with_digests(rows, keep_html=True).join(found, "host", "left").select("page_id", "url", "html", F.array_intersect("own", "digests").alias("digests"))
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")
+    return map_arrow(joined, run, "page_id long, url string, text string, n_chars long, n_template long")

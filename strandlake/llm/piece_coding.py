@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from strandlake.llm.common import map_arrow
 from strandlake.llm.piece_lattice import N_BEST, segmenter
 
 #: Texts segmented together.
@@ -37,7 +38,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.binary()), pa.array(scores, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.binary()))], ["doc_id", "best", "scores", "others"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, best binary, scores array<long>, others array<binary>")
+    return map_arrow(rows, run, "doc_id long, best binary, scores array<long>, others array<binary>")
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "best") -> DataFrame:
@@ -52,7 +53,7 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "best") -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "text"])
 
     schema = StructType([*coded.schema.fields, StructField("text", StringType())])
-    return coded.mapInArrow(run, schema)
+    return map_arrow(coded, run, schema)
 
 
 def code_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:
@@ -90,4 +91,4 @@ def code_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     schema = pa.schema(list(kinds.items()))
     named = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{k} {named[v]}" for k, v in kinds.items()))
+    return map_arrow(rows, run, ", ".join(f"{k} {named[v]}" for k, v in kinds.items()))

@@ -12,11 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from strandlake.llm.common import cut, held_out
+from strandlake.llm.common import cut, held_out, map_arrow, written
 from strandlake.llm.doc_stats import NAMES, stats
 
 FEATURES = 256
@@ -62,7 +64,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    return map_arrow(rows, run, "doc_id long, x array<double>")
 
 
 def pool_adjacent(y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -102,7 +104,8 @@ def _normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> t
                 total += np.frombuffer(s.as_py()).reshape(size, size + 1)
         yield from out(total)
 
-    sums = rows.select("x", F.col("y").cast("double").alias("y")).mapInArrow(part, "sums binary").repartition(SUM_PARTS).mapInArrow(merge, "sums binary")
+    parts = map_arrow(rows.select("x", F.col("y").cast("double").alias("y")), part, "sums binary")
+    sums = map_arrow(parts.repartition(SUM_PARTS), merge, "sums binary")
     total = sum((np.frombuffer(r.sums).reshape(size, size + 1) for r in sums.toLocalIterator()), np.zeros((size, size + 1)))
     return total[:, :size], total[:, size]
 
@@ -116,7 +119,7 @@ def ridge_scores(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(raw, pa.float64())], [*keep, "raw"])
 
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keep)
-    return rows.select(*keep, "x").mapInArrow(run, f"{kinds}, raw double")
+    return map_arrow(rows.select(*keep, "x"), run, f"{kinds}, raw double")
 
 
 def fit(table: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
@@ -173,18 +176,30 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cut
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(calibrated(_matrix(b.column(1)), model), pa.float64())], ["doc_id", "score"])
 
-    scored = table.mapInArrow(run, "doc_id long, score double")
+    scored = map_arrow(table, run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cutoff: float = CUTOFF) -> DataFrame:
-    """Rows of ``docs`` that the classifier does not reject, each judged by its own text."""
-    model = fit(cut(document_stats(docs)), labels, label_col)
-    at = docs.columns.index("text")
+    """Rows of ``docs`` that the classifier does not reject, each judged by its own text; columns stay as they are.
 
-    def run(batches):
+    Null and empty texts are judged by zero statistics, repeated rows each by
+    themselves, null ids like others; no rows give none, and without labels all
+    stay. The statistics are made once and written beside the rows.
+    """
+    names = docs.columns
+    at = names.index("text")
+
+    def add(batches):
         for b in batches:
-            x = np.array([stats(t.as_py()) for t in b.column(at)], np.float64).reshape(-1, len(NAMES))
-            yield b.filter(pa.array(calibrated(x, model) >= cutoff, pa.bool_()))
+            text = b.column(at).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([stats(t.as_py()) for t in text], pa.list_(pa.float64()))], [*names, "__x"])
+
+    table = written(map_arrow(docs, add, StructType([*docs.schema.fields, StructField("__x", ArrayType(DoubleType()))])), "statistics")
+    model = fit(table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__x").alias("x")), labels, label_col)
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(calibrated(np.array(x.to_list(), np.float64).reshape(-1, len(NAMES)), model))
 
-    return docs.mapInArrow(run, docs.schema)
+    return table.where(score("__x") >= cutoff).select(names)

@@ -2,8 +2,9 @@
 
 Candidates are found by patterns in every whole text. Each candidate value is
 hashed; hashes are aggregated over the corpus by distinct repositories and
-distinct owners. A value that many owners hold is a copied example; one that
-stays with few owners and looks random is a live-looking credential.
+distinct owners. A value that many owners hold, or a few owners in many
+repositories, is a copied example; what stays with its owner and looks random
+is a live-looking credential, however often that owner repeats it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut
+from strandlake.llm.common import cut, map_arrow
 
 # The base kinds, in listed order, with the group that must reach the length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -29,18 +30,30 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # Kinds beyond the base ones, by publicly documented token shapes.
 EXTRA = (
     ("private_key", "-----BEGIN ", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----")),
-    ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", "eyJ", re.compile(r"[A-Za-z0-9_.-]+")),
     ("hosted_git", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),
     ("chat_bot", "xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("url_login", "://", re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]{6,}@")),
+    ("url_login", "://", re.compile(r"://[^\s/:@]+:[^\s/@]{6,}@")),
 )
 KINDS = BASE_KINDS + tuple(k for k, _, _ in EXTRA)
 
-#: Distinct owners from which a value counts as a copied example.
+# How a JSON Web Token begins, least characters of its three parts, and what a URL's scheme is made of.
+JWT_START = re.compile(r"\beyJ")
+JWT_PART = 8
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+
+#: Distinct owners from which a value counts as a copied example; two owners do in so many repositories.
 EXAMPLE_OWNERS = 3
+FEW_OWNERS = 2
+EXAMPLE_REPOS = 20
+#: Spans that a join may broadcast.
+BROADCAST_SPANS = 200_000
 #: Bits a character from which a value looks random.
 MIN_ENTROPY = 2.5
 
+#: Java's pattern for texts that can hold a span of any kind.
+MAY_HOLD = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|-----BEGIN |eyJ|gh[pousr]_|xox|://"
+
 SPAN = "start:long, end:long, kind:int, value_start:long, value_end:long, hash:binary, random:boolean"
 
 
@@ -62,11 +75,47 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def jwt_spans(text: str, runs: re.Pattern) -> list[tuple[int, int]]:
+    """Three parts joined by dots, the first from ``eyJ`` on; each run of parts is read once."""
+    found = []
+    for m in runs.finditer(text):
+        parts, at, k = m[0].split("."), m.start(), 0
+        starts = []
+        for p in parts:
+            starts.append(at)
+            at += len(p) + 1
+        while k + 2 < len(parts):
+            end = starts[k] + len(parts[k])
+            hit = JWT_START.search(text, starts[k], end) if min(len(parts[k + 1]), len(parts[k + 2])) >= JWT_PART else None
+            if hit and end - hit.end() >= JWT_PART:
+                found.append((hit.start(), starts[k + 2] + len(parts[k + 2])))
+                k += 3
+            else:
+                k += 1
+    return found
+
+
+def url_spans(text: str, logins: re.Pattern) -> list[tuple[int, int]]:
+    """Scheme, user and password of URLs: from each ``://user:password@`` back over the scheme, so no letter is read twice."""
+    found, floor = [], 0
+    for m in logins.finditer(text):
+        first = m.start()
+        while first > floor and text[first - 1] in SCHEME:
+            first -= 1
+        while first < m.start() and not ("a" <= text[first] <= "z" and (first == 0 or not (text[first - 1].isalnum() or text[first - 1] == "_"))):
+            first += 1
+        if first < m.start():
+            found.append((first, m.end()))
+            floor = m.end()
+    return found
+
+
 def extra_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     found = []
-    for kind, (_, hint, pattern) in enumerate(EXTRA, len(BASE_KINDS)):
+    for kind, (name, hint, pattern) in enumerate(EXTRA, len(BASE_KINDS)):
         if hint in text:
-            found += [(m.start(), m.end(), kind, m.start(), m.end()) for m in pattern.finditer(text)]
+            own = jwt_spans(text, pattern) if name == "jwt" else url_spans(text, pattern) if name == "url_login" else [m.span() for m in pattern.finditer(text)]
+            found += [(lo, hi, kind, lo, hi) for lo, hi in own]
     return found
 
 
@@ -103,7 +152,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, owner string, key long, spans array<struct<{SPAN}>>")
+    return map_arrow(rows, run, f"doc_id long, owner string, key long, spans array<struct<{SPAN}>>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -115,11 +164,22 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Rows (key, live): per text the spans whose value is random and held by few owners."""
-    held = found.where(F.size("spans") > 0).select("key", F.explode("spans").alias("s")).where("s.random")
-    few = ownership(found).where(F.col("n_owners") < EXAMPLE_OWNERS).select("hash")
-    live = held.dropDuplicates(["key", "s"]).join(few, F.col("s.hash") == few["hash"])
-    return live.groupBy("key").agg(F.collect_list(F.struct("s.start", "s.end", "s.kind", "s.value_start", "s.value_end", "s.hash")).alias("live"))
+    """Rows (key, judged): per text its spans by start and kind, each with a verdict by who holds its value.
+
+    'example': copied by EXAMPLE_OWNERS owners or more, or by FEW_OWNERS in
+    EXAMPLE_REPOS repositories; else 'live' if it looks random, 'weak' if not.
+    """
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_owners") >= FEW_OWNERS) & (F.col("n_repos") >= EXAMPLE_REPOS)
+    held = found.where(F.size("spans") > 0).select("key", F.explode("spans").alias("s")).dropDuplicates(["key", "s"])
+    owned = held.join(ownership(found), F.col("s.hash") == F.col("hash"))
+    verdict = F.when(copied, "example").when(F.col("s.random"), "live").otherwise("weak").alias("verdict")
+    one = F.struct("s.start", "s.kind", "s.end", "s.value_start", "s.value_end", "s.hash", verdict)
+    return owned.groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("judged"))
+
+
+def _is_small(rows: DataFrame, spans: str) -> bool:
+    """Whether ``rows`` hold few enough spans to be broadcast."""
+    return rows.agg(F.coalesce(F.sum(F.size(spans)), F.lit(0)).alias("n")).first().n <= BROADCAST_SPANS
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
@@ -129,26 +189,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     come in; a null id stays null; no rows give none.
     """
     found = cut(candidates(docs, id_col, text_col, owner_col))
-    live = judged(found).select("key", F.size("live").cast("long").alias("n_live"))
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    some = found.where(F.size("spans") > 0).join(live, "key", "left")
-    none = found.where(F.size("spans") == 0).withColumn("n_live", F.lit(0).cast("long"))
+    verdicts = cut(judged(found))
+    some = found.where(F.size("spans") > 0).join(F.broadcast(verdicts) if _is_small(verdicts, "judged") else verdicts, "key", "left")
+    none = found.where(F.size("spans") == 0).withColumn("judged", F.lit(None).cast(some.schema["judged"].dataType))
     return some.unionByName(none).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
+        F.size(F.filter(F.coalesce("judged", F.array()), lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
+        F.coalesce(F.array_join("judged.verdict", ","), F.lit("")).alias("verdicts"),
     )
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live-looking value replaced by ``mask``; n_chars follows a changed text.
 
-    Every row stays; texts without live values are untouched.
+    Every row stays, repeated ones too; null and empty texts and texts without
+    live values are untouched; no rows give none; columns stay as they are.
+    Only texts that may hold a secret are ever shuffled.
     """
-    live = judged(cut(candidates(docs))).withColumnRenamed("key", "__key").withColumnRenamed("live", "__live")
+    live = F.filter("judged", lambda s: s["verdict"] == "live")
+    placed = cut(judged(cut(candidates(docs))).select(F.col("key").alias("__key"), live.alias("__live")).where(F.size("__live") > 0))
+    few = _is_small(placed, "__live")
     columns = docs.columns
     at_text = columns.index("text")
     at_size = columns.index("n_chars") if "n_chars" in columns else -1
@@ -158,18 +223,24 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             texts = b.column(at_text).to_pylist()
             sizes = b.column(at_size).to_pylist() if at_size >= 0 else []
             for k, spans in enumerate(b.column(len(columns)).to_pylist()):
-                if spans:
-                    texts[k] = masked(texts[k], spans, mask)
-                    if sizes:
-                        sizes[k] = len(texts[k])
+                texts[k] = masked(texts[k], spans, mask)
+                if sizes:
+                    sizes[k] = len(texts[k])
             arrays = list(b.columns[: len(columns)])
             arrays[at_text] = pa.array(texts, arrays[at_text].type)
             if at_size >= 0:
                 arrays[at_size] = pa.array(sizes, arrays[at_size].type)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    joined = docs.join(live, F.xxhash64(docs["text"]) == live["__key"], "left").select(*[docs[c] for c in columns], "__live")
-    return joined.mapInArrow(run, docs.schema)
+    on = F.xxhash64(docs["text"]) == F.col("__key")
+    if few:
+        maybe, plain = docs, docs.join(F.broadcast(placed), on, "left_anti")
+    else:
+        may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
+        maybe = docs.where(may)
+        plain = docs.where(~may).unionByName(maybe.join(placed, on, "left_anti"))
+    held = maybe.join(F.broadcast(placed) if few else placed, on).select(*[docs[c] for c in columns], "__live")
+    return plain.unionByName(map_arrow(held, run, docs.schema))
 
 
 def masked(text: str, spans: list[dict], mask: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut
+from strandlake.llm.common import bounded, cut, map_arrow
 from strandlake.llm.components import connected_components
 from strandlake.llm.fingerprints import simhash
 
@@ -45,16 +45,21 @@ FIVES = [_byte_mask(c) for c in combinations(range(8), MIN_BYTES)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp long) for every row of ``docs``; a null text counts as empty."""
+    """Rows (doc_id, key, fp) for every row of ``docs``: ``key`` is the 64-bit hash of the text; a null text counts as empty."""
 
     def run(batches):
         for b in batches:
-            text = b.column(1).cast(pa.binary())
+            text = b.column(2).cast(pa.binary())
             fps = [_signed(simhash(t.as_py())) for t in text]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text).alias("key"), text.alias("text"))
+    return map_arrow(rows, run, "doc_id long, key long, fp long")
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _post(nodes: DataFrame, masks: list[int]) -> DataFrame:
@@ -111,31 +116,55 @@ def links(nodes: DataFrame, posting_limit: int = POSTING_LIMIT) -> DataFrame:
     return found if longer.isEmpty() else found.union(_stars(longer))
 
 
+def _grouped(rows: DataFrame, posting_limit: int) -> DataFrame:
+    """Rows (fp, group, least): one a fingerprint of ``rows`` that have ids; ``least`` is the least id of the group."""
+    nodes = cut(rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("m")))
+    comps = connected_components(links(nodes.select("fp", F.col("fp").alias("m")), posting_limit))
+    placed = cut(nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "m", F.coalesce("component", "fp").alias("group")))
+    return placed.join(placed.groupBy("group").agg(F.min("m").alias("least")), "group").select("fp", "group", "least")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting_limit: int = POSTING_LIMIT) -> DataFrame:
     """One row (doc_id, fingerprint, component_id) per row of ``docs``.
 
-    fingerprint: 16 lowercase hex digits; component_id: least id reachable over
-    links of at most three differing bits. Null and empty texts have the zero
-    fingerprint, linked like any other. Repeated rows come out as often as they
-    come in; a null id keeps its row and takes the component of the ids that
-    share its fingerprint (null if there are none). No rows give no rows.
-    Equal fingerprints are one node, so a group of exact copies costs one node.
+    fingerprint: 16 lowercase hex digits; component_id: least id among the rows
+    reachable over links of at most three differing bits. Null and empty texts
+    have the zero fingerprint, linked like any other. Repeated rows come out as
+    often as they come in; unlike texts under one id aren't linked by the id; a
+    null id keeps its row and takes the component of the ids that share its
+    fingerprint (null if there are none). No rows give no rows. Equal
+    fingerprints are one node, so a group of exact copies costs one node. Jobs
+    run when this is called; the result is lazy.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("m")))
-    found = links(nodes.where(F.col("m").isNotNull()), posting_limit)
-    comps = connected_components(found)
-    of_fp = nodes.join(comps, nodes.m == comps.node, "left").select("fp", F.coalesce("component", "m").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = _grouped(rows, posting_limit)
+    return rows.join(of_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the least of its component; of repeated ids one row stays.
+def keep_one_per_group(docs: DataFrame, posting_limit: int = POSTING_LIMIT) -> DataFrame:
+    """One row of ``docs`` of each group of near duplicates, that of the least doc_id; columns stay as they are.
 
-    Rows with a null doc_id can't be grouped and stay.
+    Unlike texts under one id are in groups of their own, so none is lost; of
+    unlike texts of one group under its least id, that of the least text hash
+    stays, and of rows with the same id and text one. Null and empty texts are one group.
+    Rows with a null doc_id can't be told apart by it and all stay. No rows give
+    none. Only ids and hashes are grouped; whole texts are shuffled only when too
+    many rows go for their ids to be broadcast.
     """
-    groups = simhash_components(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    with_id = kept.dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = cut(fingerprints(docs).where(F.col("doc_id").isNotNull()))
+    of_fp = _grouped(rows, posting_limit)
+    texts = rows.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
+    per_fp = texts.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first")).join(of_fp, "fp")
+    kept = per_fp.groupBy("group").agg(F.min("first").alias("first")).select("first.doc_id", "first.key", F.lit(True).alias("keep"))
+    known = texts.join(kept, ["doc_id", "key"], "left").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.coalesce("keep", F.lit(False)).alias("__keep"), "n")
+    # The rows that go, and those that are there more than once.
+    odd = cut(known.where(~F.col("__keep") | (F.col("n") > 1)).drop("n"))
+    goes, twice = odd.where(~F.col("__keep")).drop("__keep"), odd.where("__keep").drop("__keep")
+    keyed = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_key": _key(F.col("text"))})
+    on = (F.col("__own_id") == F.col("__id")) & (F.col("__own_key") == F.col("__key"))
+    left = keyed.join(bounded(goes), on, "left_anti")
+    if twice.isEmpty():
+        return left.select(docs.columns)
+    single = left.join(bounded(twice), on, "left_anti").select(docs.columns)
+    repeated = left.join(bounded(twice), on, "left_semi").dropDuplicates(["__own_id", "__own_key"]).select(docs.columns)
+    return single.unionByName(repeated)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, shared_path
+from strandlake.llm.common import cut, map_arrow, shared_path
 
 # Fixed values of the zstandard frame format and of its seekable format.
 SKIPPABLE_IDS = 0x184D2A50
@@ -232,7 +232,7 @@ def write_frames(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    return cut(ordered.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"))
+    return cut(map_arrow(ordered, run, "part int, path string, n_docs long, n_tokens long"))
 
 
 def read_frames(manifest: DataFrame, out: str) -> DataFrame:
@@ -255,7 +255,7 @@ def read_frames(manifest: DataFrame, out: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, counts, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     tasks = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return files.repartition(tasks, "part").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(files.repartition(tasks, "part").select("path", "base"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, out: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import label_model
-from strandlake.llm.common import cut, held_out
+from strandlake.llm.common import cut, held_out, map_arrow
 
 # Lexicons of insults, one voter each.
 LEXICONS = {
@@ -111,7 +111,7 @@ def induce(docs: DataFrame, labels: DataFrame, label_col: str) -> tuple[list[str
             ["token", "clean", "toxic", "words"],
         )
 
-    found = rows.mapInArrow(run, "token string, clean long, toxic array<long>, words array<string>")
+    found = map_arrow(rows, run, "token string, clean long, toxic array<long>, words array<string>")
     per = found.groupBy("token").agg(
         F.sum("clean").alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list("toxic")))).alias("toxic"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words")
     )
@@ -205,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
                 [b.column(0), pa.array([p for p, _ in got], pa.int64()), pa.array([h for _, h in got], pa.list_(pa.int32()))], ["doc_id", "pattern", "hits"]
             )
 
-    table = cut(rows.mapInArrow(run, "doc_id long, pattern long, hits array<int>"))
+    table = cut(map_arrow(rows, run, "doc_id long, pattern long, hits array<int>"))
     counts = table.groupBy("pattern").agg(F.count("*").alias("n")).collect()
     pattern, n = np.array([r.pattern for r in counts], np.int64), np.array([r.n for r in counts], np.int64)
     voters = label_model.fit(pattern, n, VOTERS, prior) if counts else None
@@ -228,5 +228,5 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
             post = voters.posterior(label_model.unpack(p, VOTERS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(logit, -50, 50)))), pa.array(post)], ["doc_id", "score", "posterior"])
 
-    scored = table.mapInArrow(score, "doc_id long, score double, posterior double")
+    scored = map_arrow(table, score, "doc_id long, score double, posterior double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "posterior")

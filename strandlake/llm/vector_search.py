@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import anisotropic as aq
-from strandlake.llm.common import cut
+from strandlake.llm.common import cut, map_arrow
 
 #: Neighbours of a query, rows that fit the codebooks, rows a block, queries a chunk, shards of the candidates,
 #: queries scanned at once, products made at once.
@@ -67,7 +67,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             codes = aq.pack(aq.assign(aq.pad(_rows(b.column(1))), books, eta)) if b.num_rows else np.zeros((0, 1), np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
 
-    coded = all_rows.mapInArrow(encode, "vec_id long, v array<double>, codes binary")
+    coded = map_arrow(all_rows, encode, "vec_id long, v array<double>, codes binary")
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(SHARDS)).cast("int").alias("shard")
     chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")
     numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -99,7 +99,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             yield group.found()
 
     dealt = stored.unionByName(asked).repartition("chunk", "shard").sortWithinPartitions("chunk", "shard", "kind", "vec_id")
-    met = dealt.mapInArrow(meet, "query_id long, vec_id long, score double")
+    met = map_arrow(dealt, meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 

@@ -86,3 +86,20 @@ def test_one_of_each_group_stays(spark):
     kept = sd.keep_one_per_group(docs(spark, rows)).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["2", "9", "None"]
     assert np.array_equal(sorted(sd.keep_one_per_group(docs(spark, rows)).columns), sorted(docs(spark, rows).columns))
+
+
+def test_unlike_texts_of_one_id_are_all_kept(spark):
+    a, b, c = "one two three four five", "quite another text than that", "and a third one of its own"
+    rows = [(2, a, "x"), (5, a, "x"), (5, b, "x"), (5, c, "x"), (5, c, "x"), (7, c, "y"), (8, None, "x"), (9, "", "x"), (8, None, "x")]
+    kept = sd.keep_one_per_group(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(2, a), (5, b), (5, c), (8, "")])
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in sd.simhash_components(docs(spark, rows)).collect()}
+    assert got[5, f"{brute_fingerprint(a):016x}"] == 2 and got[7, f"{brute_fingerprint(c):016x}"] == 5 and got[9, "0" * 16] == 8
+
+
+def test_more_rows_than_a_broadcast_holds(spark, monkeypatch):
+    rows = [(i, f"text number {i % 7} of the group {i % 7}", "x") for i in range(60)] + [(1, "text number 1 of the group 1", "x")]
+    shown = lambda: sorted(map(str, sd.keep_one_per_group(docs(spark, rows)).collect()))
+    few = shown()
+    monkeypatch.setattr(sd, "bounded", lambda df: df)
+    assert shown() == few and len(few) == 7
