@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 #: Bytes of one Arrow batch, so that a Python worker holds few whole texts at once; a session's own setting goes first.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_LIMIT = "2097152"
+#: Short rows of one file of a small table, and bytes of input of one packed partition.
+ROWS_A_FILE = 250_000
+PACK_BYTES = 8 << 20
+MOST_PARTS = 1 << 30
 #: Rows of at most a few dozen bytes each that a join may broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -52,12 +57,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/strandlake/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; later reads survive lost executors."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder; later reads survive lost executors.
+
+    A table that is known to have at most ``rows`` short rows is written in files of
+    ROWS_A_FILE rows rather than in one for each of many near-empty partitions.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` read from files, with its smallest partitions put together: PACK_BYTES each, two a core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(MOST_PARTS, max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / PACK_BYTES))))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: columns are pruned when it is read."""
     path = shared_path(df.sparkSession, label)

@@ -29,23 +29,24 @@ def _small_star(links: DataFrame) -> DataFrame:
     return kept.where("u <> v").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 60, nodes: int | None = None) -> DataFrame:
     """Rows (node, component) for every node of ``links`` (u long, v long).
 
     ``component`` is the least node reachable. Self links and repeats are
     ignored; an empty input gives no rows. A hub's neighbours are only ever
     summed with a partial aggregate and joined, never gathered. Every round is
-    cut to the shared folder, so lineage stays short.
+    cut to the shared folder, so lineage stays short; ``nodes``, if known, is about
+    how many nodes there are and sets the number of files.
     """
-    now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), nodes)
     mark = None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now)), nodes)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     else:
         raise RuntimeError("connected_components did not settle")
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    starred = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return starred.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import map_arrow
+from strandlake.llm.common import map_arrow, packed
 from strandlake.llm.bm25_wand import OVERLAP, SHINGLE, Index, Item, shingles, split_item, words_of
 
 #: Items of one index; a larger benchmark makes more indexes, each over all passages.
@@ -115,7 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id",
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
-    rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = packed(docs).select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(rows, run, f"doc_id long, {MATCH}")
 
 
@@ -129,4 +129,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataF
             clean = [not any(matches(t.as_py(), x.value) for x in indexes) for t in b.column(at)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(packed(docs), run, docs.schema)

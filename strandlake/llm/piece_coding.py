@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from strandlake.llm.common import map_arrow
+from strandlake.llm.common import map_arrow, packed
 from strandlake.llm.piece_lattice import N_BEST, segmenter
 
 #: Texts segmented together.
@@ -37,7 +37,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     others.append([b"".join([c.get(k, u) for k, u in enumerate(units)]) for c in changes[1:]])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.binary()), pa.array(scores, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.binary()))], ["doc_id", "best", "scores", "others"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = packed(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(rows, run, "doc_id long, best binary, scores array<long>, others array<binary>")
 
 
@@ -90,5 +90,5 @@ def code_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     kinds = {"doc_id": pa.int64(), "n_pieces": pa.int64(), "ids_sha256": pa.string(), "best_score": pa.int64(), "scores": pa.string(), "others_sha256": pa.string(), "n_best": pa.int64(), "decoded_chars": pa.int64(), "decoded_sha256": pa.string(), "round_trip": pa.bool_()}
     schema = pa.schema(list(kinds.items()))
     named = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = packed(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(rows, run, ", ".join(f"{k} {named[v]}" for k, v in kinds.items()))

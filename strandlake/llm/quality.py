@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from strandlake.llm.common import cut, held_out, map_arrow, written
+from strandlake.llm.common import cut, held_out, map_arrow, packed, written
 from strandlake.llm.doc_stats import NAMES, stats
 
 FEATURES = 256
@@ -29,6 +29,8 @@ CUTOFF = 0.3
 #: Score bins of the calibration, and partitions that hold sums of the normal equations.
 BINS = 400
 SUM_PARTS = 8
+#: Rows of statistics of labelled documents count as this many short rows.
+LABELLED_X = 10
 #: Beyond this many deviations a standardised statistic is clipped, so odd texts stay near the fitted range.
 CLIP = 6.0
 
@@ -63,7 +65,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             x = [stats(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = packed(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(rows, run, "doc_id long, x array<double>")
 
 
@@ -133,7 +135,8 @@ def fit(table: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mode
         mean[r.k], scale[r.k] = r.m, max(r.s, 1e-6)
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).alias("y"))
-    rows = cut(table.join(known, "doc_id").select("x", "y", part.alias("part")))
+    known = cut(known)
+    rows = cut(table.join(known, "doc_id").select("x", "y", part.alias("part")), LABELLED_X * known.count())
     a, b = _normal_equations(rows.where("part <> 4"), mean, scale)
     n = a[-1, -1]
     model = Model(mean, scale, np.zeros(FEATURES + 1), np.array([0.0]), np.array([0.5]))
@@ -195,7 +198,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cu
             text = b.column(at).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([stats(t.as_py()) for t in text], pa.list_(pa.float64()))], [*names, "__x"])
 
-    table = written(map_arrow(docs, add, StructType([*docs.schema.fields, StructField("__x", ArrayType(DoubleType()))])), "statistics")
+    table = written(map_arrow(packed(docs), add, StructType([*docs.schema.fields, StructField("__x", ArrayType(DoubleType()))])), "statistics")
     model = fit(table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__x").alias("x")), labels, label_col)
 
     @F.pandas_udf("double")

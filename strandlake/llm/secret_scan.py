@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, map_arrow
+from strandlake.llm.common import cut, map_arrow, packed
 
 # The base kinds, in listed order, with the group that must reach the length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -151,7 +151,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, kinds)], ["doc_id", "owner", "key", "spans"])
 
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = packed(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.xxhash64(text).alias("key"), text.alias("text"))
     return map_arrow(rows, run, f"doc_id long, owner string, key long, spans array<struct<{SPAN}>>")
 
 
@@ -211,36 +211,27 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     live values are untouched; no rows give none; columns stay as they are.
     Only texts that may hold a secret are ever shuffled.
     """
+    docs = packed(docs)
     live = F.filter("judged", lambda s: s["verdict"] == "live")
     placed = cut(judged(cut(candidates(docs))).select(F.col("key").alias("__key"), live.alias("__live")).where(F.size("__live") > 0))
     few = _is_small(placed, "__live")
-    columns = docs.columns
-    at_text = columns.index("text")
-    at_size = columns.index("n_chars") if "n_chars" in columns else -1
 
-    def run(batches):
-        for b in batches:
-            texts = b.column(at_text).to_pylist()
-            sizes = b.column(at_size).to_pylist() if at_size >= 0 else []
-            for k, spans in enumerate(b.column(len(columns)).to_pylist()):
-                texts[k] = masked(texts[k], spans, mask)
-                if sizes:
-                    sizes[k] = len(texts[k])
-            arrays = list(b.columns[: len(columns)])
-            arrays[at_text] = pa.array(texts, arrays[at_text].type)
-            if at_size >= 0:
-                arrays[at_size] = pa.array(sizes, arrays[at_size].type)
-            yield pa.RecordBatch.from_arrays(arrays, columns)
-
-    on = F.xxhash64(docs["text"]) == F.col("__key")
+    @F.arrow_udf("string")
+    def hidden(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else masked(t, s, mask) for t, s in zip(text.to_pylist(), spans.to_pylist())], pa.string())
+
+    on = F.xxhash64(F.col("text")) == F.col("__key")
     if few:
-        maybe, plain = docs, docs.join(F.broadcast(placed), on, "left_anti")
+        joined = docs.join(F.broadcast(placed), on, "left")
     else:
         may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
-        maybe = docs.where(may)
-        plain = docs.where(~may).unionByName(maybe.join(placed, on, "left_anti"))
-    held = maybe.join(F.broadcast(placed) if few else placed, on).select(*[docs[c] for c in columns], "__live")
-    return plain.unionByName(map_arrow(held, run, docs.schema))
+        joined = docs.where(may).join(placed, on, "left").unionByName(docs.where(~may), allowMissingColumns=True)
+    # Texts without live spans don't leave the JVM.
+    rows = joined.withColumn("__text", hidden(F.when(F.col("__live").isNotNull(), F.col("text")), F.col("__live")))
+    new = {"text": F.coalesce("__text", F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__text").isNotNull(), F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def masked(text: str, spans: list[dict], mask: str) -> str:

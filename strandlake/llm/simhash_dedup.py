@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded, cut, map_arrow
+from strandlake.llm.common import bounded, cut, map_arrow, packed
 from strandlake.llm.components import connected_components
 from strandlake.llm.fingerprints import simhash
 
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text).alias("key"), text.alias("text"))
+    rows = packed(docs).select(F.col(id_col).cast("long").alias("doc_id"), _key(text).alias("key"), text.alias("text"))
     return map_arrow(rows, run, "doc_id long, key long, fp long")
 
 
@@ -104,23 +104,24 @@ def _stars(members: DataFrame) -> DataFrame:
     return parts.join(least, ["slot", "mask", "masked"]).select(F.col("m").alias("u"), "v")
 
 
-def links(nodes: DataFrame, posting_limit: int = POSTING_LIMIT) -> DataFrame:
-    """Links (u, v) among ``nodes`` (fp long distinct, m long): every pair within three bits is connected."""
+def links(nodes: DataFrame, posting_limit: int = POSTING_LIMIT, n: int | None = None) -> DataFrame:
+    """Links (u, v) among ``nodes`` (fp long distinct, m long): every pair within three bits is connected; ``n`` is their number, if known."""
     found, long = _pairs(_post(nodes, TRIPLES), posting_limit)
-    long = cut(long.select("fp", "m").distinct())
+    long = cut(long.select("fp", "m").distinct(), n)
     if long.isEmpty():
         return found
     more, longer = _pairs(_post(long, FIVES), posting_limit)
-    longer = cut(longer)
+    longer = cut(longer, n and n * len(FIVES))
     found = found.union(more)
     return found if longer.isEmpty() else found.union(_stars(longer))
 
 
 def _grouped(rows: DataFrame, posting_limit: int) -> DataFrame:
     """Rows (fp, group, least): one a fingerprint of ``rows`` that have ids; ``least`` is the least id of the group."""
-    nodes = cut(rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("m")))
-    comps = connected_components(links(nodes.select("fp", F.col("fp").alias("m")), posting_limit))
-    placed = cut(nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "m", F.coalesce("component", "fp").alias("group")))
+    nodes = cut(rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("m")), rows.count())
+    n = nodes.count()
+    comps = connected_components(links(nodes.select("fp", F.col("fp").alias("m")), posting_limit, n), nodes=n)
+    placed = cut(nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "m", F.coalesce("component", "fp").alias("group")), n)
     return placed.join(placed.groupBy("group").agg(F.min("m").alias("least")), "group").select("fp", "group", "least")
 
 
@@ -158,9 +159,9 @@ def keep_one_per_group(docs: DataFrame, posting_limit: int = POSTING_LIMIT) -> D
     kept = per_fp.groupBy("group").agg(F.min("first").alias("first")).select("first.doc_id", "first.key", F.lit(True).alias("keep"))
     known = texts.join(kept, ["doc_id", "key"], "left").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.coalesce("keep", F.lit(False)).alias("__keep"), "n")
     # The rows that go, and those that are there more than once.
-    odd = cut(known.where(~F.col("__keep") | (F.col("n") > 1)).drop("n"))
+    odd = cut(known.where(~F.col("__keep") | (F.col("n") > 1)).drop("n"), rows.count())
     goes, twice = odd.where(~F.col("__keep")).drop("__keep"), odd.where("__keep").drop("__keep")
-    keyed = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_key": _key(F.col("text"))})
+    keyed = packed(docs).withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_key": _key(F.col("text"))})
     on = (F.col("__own_id") == F.col("__id")) & (F.col("__own_key") == F.col("__key"))
     left = keyed.join(bounded(goes), on, "left_anti")
     if twice.isEmpty():

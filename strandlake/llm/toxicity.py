@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import label_model
-from strandlake.llm.common import cut, held_out, map_arrow
+from strandlake.llm.common import cut, held_out, map_arrow, packed
 
 # Lexicons of insults, one voter each.
 LEXICONS = {
@@ -194,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     rows come out as often as they come in; null ids are scored and not held
     out; no rows give none. Without labels the fixed voters alone are used.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = packed(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     vocabulary, prior = induce(rows, labels, label_col)
 
     def run(batches):
