@@ -71,7 +71,7 @@ def cmd_header(spark, a):
 def cmd_graph(spark, a):
     seqs = _inputs(spark, a.inputs)
     fold = not a.do_not_canonicalize
-    rows = graph.weighted_edges(seqs, a.k, fold=fold) if a.weighted else graph.edges(seqs, a.k, fold=fold)
+    rows = graph.weighted_edges(seqs, a.k, fold=fold) if a.weighted else graph.indexed_edges(seqs, a.k, fold=fold)
     _write(rows, a.out)
 
 

@@ -41,6 +41,15 @@ def canonical(kmer: Column) -> Column:
     return F.least(encode(kmer), encode(reverse_complement(kmer)))
 
 
+def canonical_id(kmer_id: Column, k: int) -> Column:
+    """The smaller of a forward id and the id of its reverse complement, by arithmetic on two-bit letters."""
+    _check(k)
+    back = F.lit(0).cast("bigint")
+    for j in range(k):
+        back = back + F.shiftleft(3 - F.shiftrightunsigned(kmer_id, 2 * j).bitwiseAND(F.lit(3)), 2 * (k - 1 - j)).cast("bigint")
+    return F.least(kmer_id, back)
+
+
 def decode(kmer_id: Column, k: int) -> Column:
     _check(k)
     return F.translate(F.lpad(F.conv(kmer_id.cast("string"), 10, 4), k, "0"), "0123", "ACGT")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake import alphabet as ab
 from strandlake.functions import kmers as fn
+from strandlake.operators import kernels
 
 
 def coding(seqs: DataFrame, ignore_invalid: bool = True, include_noncanonical: bool = False) -> DataFrame:
@@ -21,31 +23,44 @@ def coding(seqs: DataFrame, ignore_invalid: bool = True, include_noncanonical: b
 
 
 def counts(seqs: DataFrame, include_start: bool = True, include_stop: bool = True) -> DataFrame:
-    """Rows (seq_id, codon, codon_id, aa, count). Codons with other letters than ACGT are left out.
+    """Rows (sample, seq_id, codon, codon_id, aa, count). Codons with other letters than ACGT are left out.
 
     Ids are of the forward strand. Without ``include_start`` the first codon is
-    not counted, without ``include_stop`` the last.
+    not counted, without ``include_stop`` the last. A sequence is counted where
+    it is read; only its at most 64 sums are shuffled.
     """
-    all_codons = fn.codons(F.col("seq"))
-    first, last = 1 if include_start else 2, 0 if include_stop else 1
-    size = F.greatest(F.size(all_codons) - (first - 1) - last, F.lit(0))
-    rows = seqs.select("seq_id", F.explode(F.slice(all_codons, first, size)).alias("codon")).where(F.col("codon").rlike("^[ACGT]{3}$"))
-    counted = rows.groupBy("seq_id", "codon").agg(F.count("*").alias("count"))
-    return counted.select("seq_id", "codon", fn.encode(F.col("codon")).cast("int").alias("codon_id"), fn.amino(F.col("codon")).alias("aa"), "count")
+    keep = kernels.identity(seqs)
+
+    def kernel(seq):
+        first, last = 0 if include_start else 1, len(seq) // 3 - (0 if include_stop else 1)
+        total = np.zeros(64, np.int64)
+        for at in range(3 * first, 3 * last, 3 * kernels.BLOCK):
+            three = kernels.codes(seq[at : min(3 * last, at + 3 * kernels.BLOCK)]).reshape(-1, 3).astype(np.int64)
+            three = three[(three < 4).all(axis=1)]
+            total += np.bincount(three @ np.array([16, 4, 1]), minlength=64)
+        found = np.flatnonzero(total)
+        yield [found.astype(np.int32), total[found]]
+
+    counted = kernels.per_sequence(seqs, keep, "codon_id int, n long", kernel).groupBy(*keep, "codon_id").agg(F.sum("n").alias("count"))
+    codon = F.array(*map(F.lit, ab.CODONS))[F.col("codon_id")]
+    return counted.withColumn("codon", codon).select(*keep, "codon", "codon_id", fn.amino(F.col("codon")).alias("aa"), "count")
 
 
 def frequencies(rows: DataFrame) -> DataFrame:
-    """Adds freq_len (share of the sequence's codons) and freq_family (share of the amino acid's)."""
-    family = rows.groupBy("seq_id", "aa").agg(F.sum("count").alias("f"))
-    whole = family.groupBy("seq_id").agg(F.sum("f").alias("t"))
-    joined = rows.join(family, ["seq_id", "aa"]).join(whole, "seq_id")
-    return joined.withColumn("freq_len", F.col("count") / F.col("t")).withColumn("freq_family", F.col("count") / F.col("f")).drop("f", "t")
+    """Adds freq_len (share of the sequence's codons) and freq_family (share of the amino acid's).
+
+    Both sums are over a sequence's at most 64 rows, on one partitioning.
+    """
+    keep = kernels.identity(rows)
+    whole, family = Window.partitionBy(*keep), Window.partitionBy(*keep, "aa")
+    summed = rows.withColumn("t", F.sum("count").over(whole)).withColumn("f", F.sum("count").over(family))
+    return summed.withColumn("freq_len", F.col("count") / F.col("t")).withColumn("freq_family", F.col("count") / F.col("f")).drop("f", "t")
 
 
 def table(rows: DataFrame, value: str = "count", stops: bool = True) -> DataFrame:
     """One row a sequence, one column a codon (64, or 61 without stops), zeros where none."""
     names = [c for c in ab.CODONS if stops or ab.CODON_AMINO[c] != "*"]
-    return rows.groupBy("seq_id").pivot("codon", names).agg(F.sum(value)).na.fill(0)
+    return rows.groupBy(*sorted(kernels.identity(rows), reverse=True)).pivot("codon", names).agg(F.sum(value)).na.fill(0)
 
 
 def expected(reference: DataFrame, length: int) -> DataFrame:
@@ -58,7 +73,7 @@ def expected(reference: DataFrame, length: int) -> DataFrame:
 
 
 def usage_bias(reference: DataFrame, tested: DataFrame, ddof: int = 0) -> DataFrame:
-    """Rows (seq_id, chisq, dof, pvalue, bonferroni) of sequences without a zero expectation.
+    """Rows (seq_id, sample, chisq, dof, pvalue, bonferroni) of sequences without a zero expectation.
 
     ``reference`` and ``tested`` are rows of ``counts``; see ``chi_square``. dof
     is sense codons - 1 - ddof; bonferroni multiplies by the number of tests.
@@ -76,7 +91,7 @@ def usage_bias(reference: DataFrame, tested: DataFrame, ddof: int = 0) -> DataFr
 
 
 def chi_square(reference: DataFrame, tested: DataFrame) -> DataFrame:
-    """Rows (seq_id, chisq): sum over sense codons of (o - e)^2 / e, o and e as shares.
+    """Rows (seq_id, sample, chisq): sum over sense codons of (o - e)^2 / e, o and e as shares.
 
     A codon's expectation in a sequence is floor(reference share x its codons),
     made a share again. Sequences with a zero expectation are left out.
@@ -85,15 +100,16 @@ def chi_square(reference: DataFrame, tested: DataFrame) -> DataFrame:
     sums = reference.where("aa <> '*'").groupBy("codon_id").agg(F.sum("count").alias("n"))
     total = sums.agg(F.sum("n").alias("t"))
     share = sums.crossJoin(F.broadcast(total)).select("codon_id", (F.col("n") / F.col("t")).alias("share"))
-    sizes = tested.groupBy("seq_id").agg(F.sum("count").alias("size"), F.sum(F.when(F.col("aa") != "*", F.col("count")).otherwise(0)).alias("sense"))
-    want = sizes.where("sense > 0").crossJoin(F.broadcast(share)).select("seq_id", "sense", "codon_id", F.floor(F.col("share") * F.col("size")).alias("e"))
-    got = tested.where("aa <> '*'").select("seq_id", "codon_id", "count")
-    met = want.join(got, ["seq_id", "codon_id"], "left").na.fill(0, ["count"])
+    keep = sorted(kernels.identity(tested), reverse=True)
+    sizes = tested.groupBy(*keep).agg(F.sum("count").alias("size"), F.sum(F.when(F.col("aa") != "*", F.col("count")).otherwise(0)).alias("sense"))
+    want = sizes.where("sense > 0").crossJoin(F.broadcast(share)).select(*keep, "sense", "codon_id", F.floor(F.col("share") * F.col("size")).alias("e"))
+    got = tested.where("aa <> '*'").select(*keep, "codon_id", "count")
+    met = want.join(got, [*keep, "codon_id"], "left").na.fill(0, ["count"])
     # sum (o - e)^2 / e = sum o^2 / e - 2 sum o + sum e; both shares sum to one
-    per = met.groupBy("seq_id").agg(
+    per = met.groupBy(*keep).agg(
         F.sum(F.try_divide(F.pow(F.col("count") / F.col("sense"), F.lit(2.0)), F.col("e"))).alias("q"), F.sum("e").alias("whole"), F.count(F.when(F.col("e") > 0, 1)).alias("some")
     )
-    return per.where(F.col("some") == sense).select("seq_id", (F.col("q") * F.col("whole") - 1).alias("chisq"))
+    return per.where(F.col("some") == sense).select(*keep, (F.col("q") * F.col("whole") - 1).alias("chisq"))
 
 
 def chi_square_tail(x: float, dof: int) -> float:

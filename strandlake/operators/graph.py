@@ -2,39 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import kmers as fn
-from strandlake.operators import shred
-from strandlake.operators.profile import with_index
+from strandlake.operators import kernels, shred
+from strandlake.operators.profile import running_sum, with_index
+
+
+EDGE = "pos1 int, kmer_id1 long, kmer1 string, pos2 int, kmer_id2 long, kmer2 string"
+
+
+def _edge_kernel(k: int, fold: bool, with_rank: bool):
+    """Edges of a sequence block by block; with ``with_rank`` each with its rank in the sequence, from ``first`` on."""
+
+    def kernel(seq, first=0):
+        for at, data in kernels.blocks(seq, k + 1):
+            pos, ids = kernels.positions_and_ids(data, k + 1, False)
+            # Both ends are windows of the block; those without an edge are passed over.
+            of, ends = kernels.positions_and_ids(data, k, fold)
+            near = np.searchsorted(of, pos)
+            start = pos + at
+            rank = [np.arange(first, first + len(pos))] if with_rank else []
+            yield [*rank, start.astype("int32"), ends[near], kernels.words(seq, start, k), (start + 1).astype("int32"), ends[near + 1] if len(pos) else ids, kernels.words(seq, start + 1, k)]
+            first += len(pos)
+
+    return kernel
 
 
 def edges(seqs: DataFrame, k: int, ambiguous: str = "drop", fold: bool = True) -> DataFrame:
-    """Rows (seq_id, pos1, kmer_id1, kmer1, pos2, kmer_id2, kmer2): each k-mer and the one before it.
+    """Rows (sample, seq_id, pos1, kmer_id1, kmer1, pos2, kmer_id2, kmer2): each k-mer and the one before it.
 
-    A k-mer and its predecessor are two slices of one sequence, so no window or
-    self-join is needed. Dropped k-mers leave a gap; with 'expand' every
-    expansion of one meets the fitting expansions of the other.
+    A k-mer and its predecessor are in one sequence, so no window or self-join
+    is needed. Dropped k-mers leave a gap; with 'expand' every expansion of one
+    meets the fitting expansions of the other.
     """
-    pairs = shred.windows(seqs, k + 1, ("seq_id",)).select("seq_id", F.col("pos").alias("pos1"), F.substring("kmer", 1, k).alias("kmer1"), (F.col("pos") + 1).alias("pos2"), F.col("kmer").substr(2, k).alias("kmer2"), "kmer")
-    plain = F.col("kmer").rlike("^[ACGT]+$")
+    keep = kernels.identity(seqs)
     if ambiguous == "drop":
-        pairs = pairs.where(plain)
-    else:
-        own = F.when(plain, F.array("kmer")).otherwise(fn.expand(F.col("kmer")))
-        pairs = pairs.withColumn("kmer", F.explode(own)).withColumn("kmer1", F.substring("kmer", 1, k)).withColumn("kmer2", F.col("kmer").substr(2, k))
+        return kernels.per_sequence(seqs, keep, EDGE, _edge_kernel(k, fold, False))
+    pairs = shred.windows(seqs, k + 1, tuple(keep)).select(*keep, F.col("pos").alias("pos1"), (F.col("pos") + 1).alias("pos2"), "kmer")
+    own = F.when(F.col("kmer").rlike("^[ACGT]+$"), F.array("kmer")).otherwise(fn.expand(F.col("kmer")))
+    pairs = pairs.withColumn("kmer", F.explode(own)).withColumn("kmer1", F.substring("kmer", 1, k)).withColumn("kmer2", F.col("kmer").substr(2, k))
     make = fn.canonical if fold else fn.encode
-    return pairs.select("seq_id", "pos1", make(F.col("kmer1")).alias("kmer_id1"), "kmer1", "pos2", make(F.col("kmer2")).alias("kmer_id2"), "kmer2")
+    return pairs.select(*keep, "pos1", make(F.col("kmer1")).alias("kmer_id1"), "kmer1", "pos2", make(F.col("kmer2")).alias("kmer_id2"), "kmer2")
 
 
 def indexed_edges(seqs: DataFrame, k: int, fold: bool = True) -> DataFrame:
-    """The edge list with a row number from 0 in order of sequence and position."""
-    return with_index(edges(seqs, k, fold=fold), "seq_id", ["pos1"])
+    """The edge list with a row number from 0 in order of sequence id, sample and position.
+
+    Only sequences are numbered through: each one's first number is the sum of
+    the edges before it, and its edges count on from there. Where an id repeats
+    within a sample the edges themselves are numbered.
+    """
+    keep = kernels.identity(seqs)
+    order = sorted(keep, reverse=True)
+
+    def counted(seq):
+        n = 0
+        for _, data in kernels.blocks(seq, k + 1):
+            bad = np.concatenate([[0], np.cumsum(data > 3)])
+            n += int((bad[k + 1 :] == bad[: -k - 1]).sum()) if len(data) > k else 0
+        yield [np.array([n])]
+
+    sizes = kernels.per_sequence(seqs, keep, "n long", counted).groupBy(*keep).agg(F.sum("n").alias("n"), F.count("*").alias("times"))
+    if sizes.where("times > 1").limit(1).count():
+        return with_index(edges(seqs, k, fold=fold), order[0], [*order[1:], "pos1"])
+    first = running_sum(sizes.drop("times"), order, "n", "first").select(*keep, "first")
+    on = [seqs[c].eqNullSafe(first[c]) for c in keep]
+    placed = seqs.join(first, on, "inner").select(*[seqs[c] for c in keep], seqs["seq"], "first")
+    return kernels.per_sequence(placed, keep, f"idx long, {EDGE}", _edge_kernel(k, fold, True), ["first"])
 
 
 def weighted_edges(seqs: DataFrame, k: int, ambiguous: str = "drop", fold: bool = True) -> DataFrame:
-    """Rows (kmer_id1, kmer_id2, weight): (k+1)-mers are counted as strings, and only distinct ones encoded."""
+    """Rows (kmer_id1, kmer_id2, weight): (k+1)-mers are counted, and both ends taken from the distinct ones."""
+    if ambiguous == "drop" and k < fn.MAX_K:
+        whole = shred.profile_fast(seqs, k + 1, False)
+        ends = F.shiftright("kmer_id", 2), F.col("kmer_id").bitwiseAND(F.lit(4**k - 1).cast("bigint"))
+        first, second = (fn.canonical_id(e, k) if fold else e for e in ends)
+        coded = whole.select(first.alias("kmer_id1"), second.alias("kmer_id2"), F.col("count").alias("n"))
+        return coded.groupBy("kmer_id1", "kmer_id2").agg(F.sum("n").alias("weight"))
     counted = shred.windows(seqs, k + 1, ()).groupBy("kmer").agg(F.count("*").alias("n"))
     plain = F.col("kmer").rlike("^[ACGT]+$")
     counted = counted.where(plain) if ambiguous == "drop" else counted.withColumn("kmer", F.explode(F.when(plain, F.array("kmer")).otherwise(fn.expand(F.col("kmer")))))
@@ -48,11 +95,10 @@ def distinct_edges(edge_rows: DataFrame) -> DataFrame:
 
 
 def nodes(edge_rows: DataFrame) -> DataFrame:
-    """Rows (kmer_id, seq_id, pos, kmer): where a node first shows, by sequence and position."""
-    ends = edge_rows.select(F.col("kmer_id1").alias("kmer_id"), F.struct("seq_id", F.col("pos1").alias("pos"), F.col("kmer1").alias("kmer")).alias("at")).union(
-        edge_rows.select(F.col("kmer_id2").alias("kmer_id"), F.struct("seq_id", F.col("pos2").alias("pos"), F.col("kmer2").alias("kmer")).alias("at"))
-    )
-    return ends.groupBy("kmer_id").agg(F.min("at").alias("at")).select("kmer_id", "at.seq_id", "at.pos", "at.kmer")
+    """Rows (kmer_id, seq_id, sample, pos, kmer): where a node first shows, by sequence id, sample and position."""
+    own = sorted(kernels.identity(edge_rows), reverse=True)
+    end = lambda i: edge_rows.select(F.col(f"kmer_id{i}").alias("kmer_id"), F.struct(*own, F.col(f"pos{i}").alias("pos"), F.col(f"kmer{i}").alias("kmer")).alias("at"))
+    return end(1).union(end(2)).groupBy("kmer_id").agg(F.min("at").alias("at")).select("kmer_id", "at.*")
 
 
 def degrees(weighted: DataFrame) -> DataFrame:
@@ -68,7 +114,7 @@ def smallest_degree(degree_rows: DataFrame) -> DataFrame:
 
 def augmented(edge_rows: DataFrame) -> DataFrame:
     """Each edge as a (k+1)-mer: its first k-mer and the last base of its second."""
-    return edge_rows.select("seq_id", F.col("pos1").alias("pos"), F.concat("kmer1", F.substring("kmer2", -1, 1)).alias("kmer"))
+    return edge_rows.select(*kernels.identity(edge_rows), F.col("pos1").alias("pos"), F.concat("kmer1", F.substring("kmer2", -1, 1)).alias("kmer"))
 
 
 def second_order(seqs: DataFrame, k: int, fold: bool = True) -> DataFrame:
@@ -80,10 +126,3 @@ def to_dot(weighted: DataFrame, path: str) -> None:
     """DOT lines of the edges, as text files."""
     line = F.format_string("  %d -> %d [weight=%d];", "kmer_id1", "kmer_id2", "weight")
     weighted.select(line.alias("value")).write.mode("overwrite").text(path)
-
-
-def unitigs_ready(weighted: DataFrame) -> DataFrame:
-    """Edges that a unitig may pass: the only way out of their first node and into their second."""
-    out = Window.partitionBy("kmer_id1")
-    into = Window.partitionBy("kmer_id2")
-    return weighted.withColumn("o", F.count("*").over(out)).withColumn("i", F.count("*").over(into)).where("o = 1 AND i = 1").drop("o", "i")

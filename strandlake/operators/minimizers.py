@@ -2,40 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators import shred
+from strandlake.operators import kernels
 
 
 def stride_minimizers(seqs: DataFrame, k: int, w: int, fold: bool = True) -> DataFrame:
-    """Rows (seq_id, pos, kmer_id, is_min): every ``w``-th position is marked."""
-    rows = shred.occurrences(seqs, k, "drop", fold)
-    return rows.select("seq_id", "pos", "kmer_id", (F.col("pos") % w == 0).cast("int").alias("is_min"))
+    """Rows (sample, seq_id, pos, kmer_id, is_min): every ``w``-th position is marked."""
+
+    def kernel(seq):
+        for at, data in kernels.blocks(seq, k):
+            pos, ids = kernels.positions_and_ids(data, k, fold)
+            yield [(pos + at).astype("int32"), ids, ((pos + at) % w == 0).astype("int32")]
+
+    return kernels.per_sequence(seqs, kernels.identity(seqs), "pos int, kmer_id long, is_min int", kernel)
 
 
 def window_minimizers(seqs: DataFrame, k: int, w: int, fold: bool = True) -> DataFrame:
-    """Rows (seq_id, pos, kmer_id, is_min): marked where a k-mer is the least of some ``w`` consecutive ones.
+    """Rows (sample, seq_id, pos, kmer_id, is_min): marked where a k-mer is the least of some ``w`` consecutive ones.
 
     Of equal ids in a window the first counts. A sequence with fewer than ``w``
-    k-mers is one window.
+    k-mers is one window. Windows never leave a row of ``seqs``, so nothing is shuffled.
     """
-    rows = shred.occurrences(seqs, k, "drop", fold).select("seq_id", "pos", "kmer_id")
-    own = Window.partitionBy("seq_id").orderBy("pos")
-    least = F.min(F.struct("kmer_id", "pos")).over(own.rowsBetween(0, w - 1))
-    size = F.count("*").over(Window.partitionBy("seq_id"))
-    nth = F.row_number().over(own)
-    whole = (nth <= F.greatest(F.lit(1), size - (w - 1))).alias("whole")
-    picked = rows.select("seq_id", "pos", "kmer_id", least.alias("m"), whole)
-    chosen = picked.where("whole").select("seq_id", F.col("m.pos").alias("pos"), F.lit(1).alias("is_min")).distinct()
-    return rows.join(chosen, ["seq_id", "pos"], "left").na.fill(0, ["is_min"]).select("seq_id", "pos", "kmer_id", "is_min")
+
+    def kernel(seq):
+        for pos, ids, mark in kernels.minimizers(seq, k, w, fold):
+            yield [pos.astype("int32"), ids, mark]
+
+    return kernels.per_sequence(seqs, kernels.identity(seqs), "pos int, kmer_id long, is_min int", kernel)
+
+
+def seeds(seqs: DataFrame, k: int, w: int, fold: bool = True) -> DataFrame:
+    """Rows (sample, seq_id, kmer_id): the minimizer k-mers of each sequence, each once a block."""
+
+    def kernel(seq):
+        for _, ids, mark in kernels.minimizers(seq, k, w, fold):
+            yield [np.unique(ids[mark == 1])]
+
+    return kernels.per_sequence(seqs, kernels.identity(seqs), "kmer_id long", kernel)
 
 
 def seed_matches(query: DataFrame, reference: DataFrame, k: int, w: int, fold: bool = True) -> DataFrame:
     """Rows (query_id, reference_id, n_seeds): minimizer k-mers that two sequences share, each counted once.
 
     Both sides hold a k-mer once a sequence, so the join meets distinct ids only.
+    Sequences of one id in several samples are told apart by query_sample and reference_sample.
     """
-    side = lambda s, name: window_minimizers(s, k, w, fold).where("is_min = 1").select(F.col("seq_id").alias(name), "kmer_id").distinct()
-    met = side(query, "query_id").join(side(reference, "reference_id"), "kmer_id")
-    return met.groupBy("query_id", "reference_id").agg(F.count("*").alias("n_seeds"))
+
+    def side(seqs: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+        names = {"sample": f"{name}_sample", "seq_id": f"{name}_id"}
+        return seeds(seqs, k, w, fold).distinct().withColumnsRenamed(names), [names[c] for c in kernels.identity(seqs)]
+
+    (a, ids), (b, others) = side(query, "query"), side(reference, "reference")
+    return a.join(b, "kmer_id").groupBy(*ids, *others).agg(F.count("*").alias("n_seeds"))

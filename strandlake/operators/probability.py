@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators import shred
+from strandlake.operators import kernels, shred
+from strandlake.operators.shred import DENSE_K
 
 
 def markov_log_odds(seqs: DataFrame, profile: DataFrame, bases: DataFrame, k: int) -> DataFrame:
-    """Rows (seq_id, log_p, log_null, log_odds), natural logarithms.
+    """Rows (sample, seq_id, log_p, log_null, log_odds), natural logarithms.
 
     log_p: the first k-mer's frequency times, for each next k-mer, its count
     over the counts of the four k-mers with the same first k - 1 bases.
@@ -20,10 +22,40 @@ def markov_log_odds(seqs: DataFrame, profile: DataFrame, bases: DataFrame, k: in
     stem = profile.withColumn("stem", F.floor(F.col("kmer_id") / 4))
     per_stem = stem.groupBy("stem").agg(F.sum("count").alias("s"))
     steps = stem.join(per_stem, "stem").crossJoin(F.broadcast(total)).select("kmer_id", F.ln(F.col("count") / F.col("s")).alias("step"), F.ln(F.col("count") / F.col("t")).alias("start"))
-    rows = shred.occurrences(seqs, k, "drop", fold=False).join(steps, "kmer_id")
-    p = rows.groupBy("seq_id").agg(F.sum(F.when(F.col("pos") == 0, F.col("start")).otherwise(F.col("step"))).alias("log_p"))
     all_bases = bases.agg(F.sum("count").alias("t"))
     null = bases.crossJoin(F.broadcast(all_bases)).select("kmer_id", F.ln(F.col("count") / F.col("t")).alias("b"))
-    singles = shred.profile(seqs, 1, "drop", False, ("seq_id",)).join(F.broadcast(null), "kmer_id")
-    q = singles.groupBy("seq_id").agg(F.sum(F.col("count") * F.col("b")).alias("log_null"))
-    return p.join(q, "seq_id").withColumn("log_odds", F.col("log_p") - F.col("log_null"))
+    keep = kernels.identity(seqs)
+    if k <= DENSE_K:
+        return _by_table(seqs, keep, steps, null, k)
+    rows = shred.occurrences(seqs, k, "drop", fold=False).join(steps, "kmer_id")
+    p = rows.groupBy(*keep).agg(F.sum(F.when(F.col("pos") == 0, F.col("start")).otherwise(F.col("step"))).alias("log_p"))
+    singles = shred.profile(seqs, 1, "drop", False, tuple(keep)).join(F.broadcast(null), "kmer_id")
+    q = singles.groupBy(*keep).agg(F.sum(F.col("count") * F.col("b")).alias("log_null"))
+    return p.join(q, keep).withColumn("log_odds", F.col("log_p") - F.col("log_null"))
+
+
+def _by_table(seqs: DataFrame, keep: list[str], steps: DataFrame, null: DataFrame, k: int) -> DataFrame:
+    """The same by dense tables of at most 4^DENSE_K entries, which every task gets: sequences aren't exploded or shuffled."""
+    step, start, base = np.full(4**k, np.nan), np.full(4**k, np.nan), np.full(4, np.nan)
+    for r in steps.toLocalIterator():
+        step[r.kmer_id], start[r.kmer_id] = r.step, r.start
+    for r in null.collect():
+        base[r.kmer_id] = r.b
+    tables = seqs.sparkSession.sparkContext.broadcast((step, start, base))
+
+    def kernel(seq):
+        step, start, base = tables.value
+        p, q, met, seen = 0.0, 0.0, 0, 0
+        for at, data in kernels.blocks(seq, k):
+            pos, ids = kernels.positions_and_ids(data, k, False)
+            worth = step[ids]
+            if at == 0 and len(pos) and pos[0] == 0:
+                worth[0] = start[ids[0]]
+            p, met = p + np.nansum(worth), met + int((~np.isnan(worth)).sum())
+        for at, data in kernels.blocks(seq, 1):
+            worth = base[data[data < 4]]
+            q, seen = q + np.nansum(worth), seen + int((~np.isnan(worth)).sum())
+        if met and seen:
+            yield [np.array([p]), np.array([q]), np.array([p - q])]
+
+    return kernels.per_sequence(seqs, keep, "log_p double, log_null double, log_odds double", kernel)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import kmers as fn
 from strandlake.operators import shred
 
-#: Ids are numbered inside so many equal-width buckets, so no task holds them all.
-INDEX_BUCKETS = 1024
+#: Rows are numbered inside buckets of so many rows, if these are not too many; samples that set one border.
+BUCKET_ROWS = 1_000_000
+MOST_BUCKETS = 256
+SAMPLES_A_BUCKET = 32
 
 
 def universe_size(k: int, fold: bool = True) -> int:
@@ -88,26 +92,54 @@ def view(profile: DataFrame, order: str = "id", min_count: int = 0) -> DataFrame
     return kept.orderBy("kmer_id") if order == "id" else kept.orderBy(F.desc("count"), "kmer_id")
 
 
+def _bucketed(rows: DataFrame, keys: list[Column | str]) -> DataFrame:
+    """``rows`` with ``__b``, a bucket number that rises with ``keys`` and holds about BUCKET_ROWS rows.
+
+    Borders are quantiles of keys picked by their hash, so they are the same in
+    every run, and skewed or textual keys are dealt evenly. The number of
+    buckets is bounded, and so is the sample that comes to the driver.
+    """
+    n = rows.count()
+    buckets = min(MOST_BUCKETS, math.ceil(n / BUCKET_ROWS))
+    if buckets <= 1:
+        return rows.withColumn("__b", F.lit(0))
+    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(keys)])
+    every = max(1, n // (buckets * SAMPLES_A_BUCKET))
+    sample = rows.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).orderBy("k").limit(4 * buckets * SAMPLES_A_BUCKET)
+    ranked = sample.agg(F.sort_array(F.collect_list("k")).alias("all"))
+    size, step = F.size("all"), F.greatest(F.lit(1), F.floor(F.size("all") / buckets)).cast("int")
+    borders = ranked.select(F.filter(F.col("all"), lambda k, i: (i % step == 0) & (i > 0)).alias("__borders")).where(size >= 0)
+    placed = rows.crossJoin(F.broadcast(borders))
+    return placed.withColumn("__b", F.size(F.filter("__borders", lambda b: b <= key))).drop("__borders")
+
+
+def _before(placed: DataFrame, worth: Column) -> DataFrame:
+    """Rows (__b, __o): the sum of ``worth`` over all earlier buckets."""
+    sizes = placed.groupBy("__b").agg(F.sum(worth).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.broadcast(sizes.select("__b", earlier.cast("long").alias("__o")))
+
+
 def with_index(rows: DataFrame, lead: str, order: list[Column | str], name: str = "idx") -> DataFrame:
-    """Numbers rows from 0 in order of (lead, *order); ``lead`` is a number.
+    """Numbers rows from 0 in order of (lead, *order), of any types that can be ordered.
 
-    Rows are numbered inside equal-width buckets of ``lead``; a bucket's offset
-    is the count of those before it, a sum over at most INDEX_BUCKETS rows.
+    Rows are numbered inside buckets of about equal size; a bucket's offset is
+    the count of those before it.
     """
-    low, high = rows.agg(F.min(lead), F.max(lead)).first()
-    if low is None:
-        return rows.withColumn(name, F.lit(None).cast("long"))
-    width = (high - low) / INDEX_BUCKETS or 1
-    bucket = F.least(F.lit(INDEX_BUCKETS - 1), F.floor((F.col(lead) - F.lit(low)) / F.lit(float(width)))).cast("int")
-    placed = rows.withColumn("__b", bucket)
-    sizes = placed.groupBy("__b").agg(F.count("*").alias("n"))
-    offset = F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__b", offset.alias("__o"))
+    placed = _bucketed(rows, [lead, *order])
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(lead, *order))
-    numbered = placed.withColumn("__r", inside).join(F.broadcast(offsets), "__b")
+    numbered = placed.withColumn("__r", inside).join(_before(placed, F.lit(1)), "__b")
     return numbered.withColumn(name, F.col("__o") + F.col("__r") - 1).drop("__b", "__r", "__o")
 
 
+def running_sum(rows: DataFrame, order: list[str], worth: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``worth`` over all rows before, in order of ``order``; computed like ``with_index``."""
+    placed = _bucketed(rows, order)
+    inside = F.sum(worth).over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    summed = placed.withColumn("__r", F.coalesce(inside, F.lit(0))).join(_before(placed, F.col(worth)), "__b")
+    return summed.withColumn(name, F.col("__o") + F.col("__r")).drop("__b", "__r", "__o")
+
+
 def shuffle(profile: DataFrame, seed: int = 42) -> DataFrame:
     """The rows in a seeded random order, numbered anew: ordered by a hash of id and seed, the same on every run."""
     keyed = profile.withColumn("__h", F.shiftright(F.xxhash64("kmer_id", F.lit(seed)), 2))

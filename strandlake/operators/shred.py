@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import kmers as fn
+from strandlake.operators import kernels
 
-#: Up to this k a batch is counted in a dense vector; above it by sorting.
+#: Up to this k a task counts in dense vectors, of so many cells together; above it a batch is counted by sorting.
 DENSE_K = 10
+DENSE_CELLS = 1 << 23
 
 
 def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sample", "seq_id")) -> DataFrame:
@@ -60,68 +62,64 @@ def profile(seqs: DataFrame, k: int, ambiguous: str = "expand", fold: bool = Tru
     return coded.groupBy(*by, "kmer_id").agg(F.sum("n").alias("count"))
 
 
-def _codes(seq: bytes) -> np.ndarray:
-    table = np.full(256, 4, np.uint8)
-    for i, c in enumerate(b"ACGT"):
-        table[c] = i
-    return table[np.frombuffer(seq, np.uint8)]
-
-
-def batch_ids(data: np.ndarray, k: int, fold: bool) -> np.ndarray:
-    """Ids of all unambiguous windows of codes (4 marks a break), folded to the smaller strand if asked."""
-    n = len(data) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    ids, back, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    for j in range(k):
-        c = data[j : j + n].astype(np.int64)
-        bad |= c > 3
-        ids = ids * 4 + c
-        back += (3 - c) << (2 * j)
-    return (np.minimum(ids, back) if fold else ids)[~bad]
-
-
-def profile_fast(seqs: DataFrame, k: int, fold: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """The same rows as ``profile(ambiguous='drop')``, counted by batch in numpy before Spark's final sum.
+def _counted(seqs: DataFrame, ks: list[int], fold: bool, by: tuple[str, ...]) -> DataFrame:
+    """Partial rows (*by, k, kmer_id, n) of every k, from one pass over the sequences.
 
     Sequences of a batch are laid end to end with breaks between, so a window
-    never crosses them. Groups named in ``by`` are counted apart.
+    never crosses them. Small k are counted in dense vectors that last for the
+    task, so a task gives each id of a group about once.
     """
 
     def run(batches):
+        dense: dict[tuple, np.ndarray] = {}
+        held, types = 0, [None] * len(by)
+
+        def rows(key, k, found, counts):
+            cols = [pa.array([v] * len(found), t) for v, t in zip(key, types)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(found), k, np.int32)), pa.array(found, pa.int64()), pa.array(counts, pa.int64())], [*by, "k", "kmer_id", "n"])
+
+        def emptied():
+            for (key, k), total in dense.items():
+                found = np.flatnonzero(total)
+                yield rows(key, k, found, total[found])
+            dense.clear()
+
         for b in batches:
+            types = [b.schema.field(i).type for i in range(len(by))]
             groups: dict[tuple, list[bytes]] = {}
             keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by))))) if by else [()] * b.num_rows
             for key, s in zip(keys, b.column(len(by)).cast(pa.binary()).to_pylist()):
                 if s is not None:
                     groups.setdefault(key, []).append(s)
             for key, parts in groups.items():
-                ids = batch_ids(_codes(b"\n".join(parts)), k, fold)
-                if k <= DENSE_K:
-                    dense = np.bincount(ids, minlength=1)
-                    found = np.nonzero(dense)[0]
-                    counts = dense[found]
-                else:
-                    found, counts = np.unique(ids, return_counts=True)
-                cols = [pa.array([v] * len(found), b.schema.field(i).type) for i, v in enumerate(key)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.int64()), pa.array(counts, pa.int64())], [*by, "kmer_id", "n"])
+                data = kernels.codes(b"\n".join(parts))
+                for k in ks:
+                    ids = kernels.positions_and_ids(data, k, fold)[1]
+                    if k > DENSE_K:
+                        yield rows(key, k, *np.unique(ids, return_counts=True))
+                        continue
+                    if (key, k) not in dense:
+                        if held + 4**k > DENSE_CELLS:
+                            yield from emptied()
+                            held = 0
+                        dense[key, k] = np.zeros(4**k, np.int64)
+                        held += 4**k
+                    dense[key, k] += np.bincount(ids, minlength=4**k)
+        yield from emptied()
 
     kinds = dict(seqs.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "kmer_id long", "n long"])
-    return seqs.select(*by, "seq").mapInArrow(run, schema).groupBy(*by, "kmer_id").agg(F.sum("n").alias("count"))
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "k int, kmer_id long, n long"])
+    return seqs.select(*by, "seq").mapInArrow(run, schema)
+
+
+def profile_fast(seqs: DataFrame, k: int, fold: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same rows as ``profile(ambiguous='drop')``, counted in numpy before Spark's final sum; groups named in ``by`` are counted apart."""
+    return _counted(seqs, [k], fold, by).groupBy(*by, "kmer_id").agg(F.sum("n").alias("count"))
 
 
 def multi_k(seqs: DataFrame, ks: list[int], fold: bool = True) -> DataFrame:
     """Rows (k, kmer_id, count) of every k, from one pass over the sequences."""
-    def cut(k: int):
-        made = F.transform(F.sequence(F.lit(0), F.length("seq") - k), lambda i: F.col("seq").substr(i + 1, F.lit(k)))
-        return F.struct(F.lit(k).alias("k"), F.when(F.length("seq") >= k, made).alias("kmers"))
-
-    parts = [cut(k) for k in ks]
-    rows = seqs.select(F.explode(F.array(*parts)).alias("p")).select("p.k", F.explode("p.kmers").alias("kmer"))
-    counted = rows.groupBy("k", "kmer").agg(F.count("*").alias("n")).where(F.col("kmer").rlike("^[ACGT]+$"))
-    coded = counted.withColumn("kmer_id", (fn.canonical if fold else fn.encode)(F.col("kmer")))
-    return coded.groupBy("k", "kmer_id").agg(F.sum("n").alias("count"))
+    return _counted(seqs, ks, fold, ()).groupBy("k", "kmer_id").agg(F.sum("n").alias("count"))
 
 
 def chunk(seqs: DataFrame, k: int, size: int = 1_000_000) -> DataFrame:

@@ -365,7 +365,7 @@ def distinct_edges(spark, sf_dir):
 
 @query
 def nodes(spark, sf_dir):
-    return graph.nodes(graph.edges(seqs(spark, sf_dir), K_EDGES))
+    return graph.nodes(graph.edges(seqs(spark, sf_dir), K_EDGES)).drop("sample")
 
 
 @query
@@ -393,23 +393,23 @@ def second_order_edges(spark, sf_dir):
 
 @query
 def stride_minimizers(spark, sf_dir):
-    return minimizers.stride_minimizers(seqs(spark, sf_dir), K_PROFILE, WINDOW)
+    return minimizers.stride_minimizers(seqs(spark, sf_dir), K_PROFILE, WINDOW).drop("sample")
 
 
 @query
 def window_minimizers(spark, sf_dir):
-    return minimizers.window_minimizers(seqs(spark, sf_dir), K_PROFILE, WINDOW)
+    return minimizers.window_minimizers(seqs(spark, sf_dir), K_PROFILE, WINDOW).drop("sample")
 
 
 @query
 def minimizer_index(spark, sf_dir):
-    return minimizers.window_minimizers(seqs(spark, sf_dir), K_PROFILE, WINDOW).where("is_min = 1")
+    return minimizers.window_minimizers(seqs(spark, sf_dir), K_PROFILE, WINDOW).where("is_min = 1").drop("sample")
 
 
 @query
 def seed_matches(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("item").alias("sample"), F.col("item_id").alias("seq_id"), fn.clean(F.col("text")).alias("seq"))
-    return minimizers.seed_matches(seqs(spark, sf_dir), items, K_SEEDS, WINDOW)
+    return minimizers.seed_matches(seqs(spark, sf_dir).drop("sample"), items.drop("sample"), K_SEEDS, WINDOW)
 
 
 # --- codons ---

@@ -82,9 +82,10 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_minimizers(rows: DataFrame, path: str, everything: bool = False) -> None:
-    """TSV (seq_id, pos, kmer_id, is_min): minimizers only, or all positions."""
+    """TSV (seq_id, pos, kmer_id, is_min): minimizers only, or all positions; samples are folders of their own."""
     kept = rows if everything else rows.where("is_min = 1")
-    kept.select("seq_id", "pos", "kmer_id", "is_min").write.mode("overwrite").option("sep", "\t").csv(path)
+    own = ["sample"] if "sample" in rows.columns else []
+    kept.select("seq_id", "pos", "kmer_id", "is_min", *own).write.mode("overwrite").partitionBy(*own).option("sep", "\t").csv(path)
 
 
 def read_minimizers(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from strandlake.operators import codons, distance, graph, matrix, minimizers, ml, shred
+from strandlake.operators import codons, distance, graph, kernels, matrix, minimizers, ml, probability, shred
 from strandlake.operators import profile as pf
 
 from tests.test_functions import code, rc
@@ -203,3 +203,63 @@ def test_plans_have_what_they_should(spark):
     text = plan(shred.profile_fast(from_documents(spark.read.parquet(docs)), 8))
     assert "ReadSchema: struct<text:string>" in text and text.count("Exchange (") <= 2
     assert "Window" not in plan(pf.with_frequency(shred.profile_fast(table(spark), 8)))
+
+
+def test_records_of_one_id_in_two_samples_stay_apart(spark):
+    a, b = "GATTACAGATTTACAACGTCCGATGCATTGACCGATTACA", "TTGACCATGCCAGTACGGATTCACAGTTTGCAACCGGTAT"
+    both = spark.createDataFrame([("x", "r", a), ("y", "r", b)], "sample string, seq_id string, seq string")
+    one = lambda s: spark.createDataFrame([("x", "r", s)], "sample string, seq_id string, seq string")
+    for f in (
+        lambda t: minimizers.window_minimizers(t, 5, 4), lambda t: minimizers.stride_minimizers(t, 5, 4), lambda t: graph.edges(t, 5), lambda t: codons.frequencies(codons.counts(t)),
+        lambda t: probability.markov_log_odds(t, shred.profile(one(a + b), 4, "drop", False), shred.profile(one(a + b), 1, "drop", False), 4),
+    ):
+        rows = lambda t, s: sorted(map(str, f(t).where(f"sample = '{s}'").drop("sample").collect()))  # noqa: E731, B023
+        assert rows(both, "x") == rows(one(a), "x") and rows(both, "y") == sorted(map(str, f(one(b)).drop("sample").collect()))
+    got = graph.indexed_edges(both, 5).orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(len(a) + len(b) - 10)) and [(r["sample"], r.pos1) for r in got] == sorted((r["sample"], r.pos1) for r in got)
+    twice = graph.indexed_edges(both.union(one(a)), 5).collect()
+    assert sorted(r.idx for r in twice) == list(range(len(twice))) and len(twice) == 2 * len(a) + len(b) - 15
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_kernels_give_the_same_in_blocks(spark, monkeypatch, block):
+    rng = random.Random(9)
+    rows = [("a", i, "".join(rng.choice("ACGT" * 6 + "N") for _ in range(rng.randint(0, 200)))) for i in range(30)]
+    every = lambda: [sorted(map(str, f(table(spark, rows)).collect())) for f in (lambda t: minimizers.window_minimizers(t, 4, 6), lambda t: graph.indexed_edges(t, 4), codons.counts, lambda t: minimizers.stride_minimizers(t, 3, 5))]
+    whole = every()
+    blocks = kernels.blocks
+    monkeypatch.setattr(kernels, "blocks", lambda seq, k: ((at, kernels.codes(seq[at : at + block + k - 1])) for at in range(0, max(1, len(seq) - k + 1), block)))
+    for _, _, s in rows:
+        made = [x for at, d in kernels.blocks(s.encode(), 4) for x in kernels.positions_and_ids(d, 4, True)[1].tolist()]
+        assert made == [x for at, d in blocks(s.encode(), 4) for x in kernels.positions_and_ids(d, 4, True)[1].tolist()]
+        small = [np.concatenate(x) if x else [] for x in zip(*kernels.minimizers(s.encode(), 4, 6, True))]
+        kernels_blocks, kernels.blocks = kernels.blocks, blocks
+        large = [np.concatenate(x) if x else [] for x in zip(*kernels.minimizers(s.encode(), 4, 6, True))]
+        kernels.blocks = kernels_blocks
+        assert all(np.array_equal(x, y) for x, y in zip(small, large))
+    assert len(whole[0]) > 1000
+
+
+def test_numbering_of_text_and_skewed_keys(spark, monkeypatch):
+    monkeypatch.setattr(pf, "BUCKET_ROWS", 20)
+    rng = random.Random(2)
+    rows = spark.createDataFrame([("same" if i % 3 else f"id{rng.randint(0, 40)}", i) for i in range(400)], "a string, b long")
+    placed = pf._bucketed(rows, ["a", "b"])
+    assert placed.groupBy("__b").count().agg({"count": "max"}).first()[0] < 120
+    got = sorted((r.idx, r.a, r.b) for r in pf.with_index(rows, "a", ["b"]).collect())
+    assert [x[1:] for x in got] == sorted((r.a, r.b) for r in rows.collect()) and [x[0] for x in got] == list(range(400))
+    summed = {r.b: r.s for r in pf.running_sum(rows, ["a", "b"], "b", "s").collect()}
+    total = 0
+    for a, b in sorted((r.a, r.b) for r in rows.collect()):
+        assert summed[b] == total
+        total += b
+
+
+def test_canonical_ids_by_arithmetic(spark):
+    from strandlake.functions import kmers as fn
+
+    for k in (1, 2, 5, 31):
+        rng = random.Random(k)
+        rows = [("".join(rng.choice("ACGT") for _ in range(k)),) for _ in range(50)]
+        got = spark.createDataFrame(rows, "kmer string").selectExpr("kmer").withColumn("a", fn.canonical(fn.F.col("kmer"))).withColumn("b", fn.canonical_id(fn.encode(fn.F.col("kmer")), k)).collect()
+        assert all(r.a == r.b for r in got)
