@@ -18,15 +18,15 @@ def markov_log_odds(seqs: DataFrame, profile: DataFrame, bases: DataFrame, k: in
     log_null: the product of single base frequencies. ``profile`` is a forward
     profile of k, ``bases`` one of k = 1. K-mers that the profile lacks add nothing.
     """
+    keep = kernels.identity(seqs)
+    if k <= DENSE_K:
+        return _by_table(seqs, keep, profile, bases, k)
     total = profile.agg(F.sum("count").alias("t"))
     stem = profile.withColumn("stem", F.floor(F.col("kmer_id") / 4))
     per_stem = stem.groupBy("stem").agg(F.sum("count").alias("s"))
     steps = stem.join(per_stem, "stem").crossJoin(F.broadcast(total)).select("kmer_id", F.ln(F.col("count") / F.col("s")).alias("step"), F.ln(F.col("count") / F.col("t")).alias("start"))
     all_bases = bases.agg(F.sum("count").alias("t"))
     null = bases.crossJoin(F.broadcast(all_bases)).select("kmer_id", F.ln(F.col("count") / F.col("t")).alias("b"))
-    keep = kernels.identity(seqs)
-    if k <= DENSE_K:
-        return _by_table(seqs, keep, steps, null, k)
     rows = shred.occurrences(seqs, k, "drop", fold=False).join(steps, "kmer_id")
     p = rows.groupBy(*keep).agg(F.sum(F.when(F.col("pos") == 0, F.col("start")).otherwise(F.col("step"))).alias("log_p"))
     singles = shred.profile(seqs, 1, "drop", False, tuple(keep)).join(F.broadcast(null), "kmer_id")
@@ -34,13 +34,16 @@ def markov_log_odds(seqs: DataFrame, profile: DataFrame, bases: DataFrame, k: in
     return p.join(q, keep).withColumn("log_odds", F.col("log_p") - F.col("log_null"))
 
 
-def _by_table(seqs: DataFrame, keep: list[str], steps: DataFrame, null: DataFrame, k: int) -> DataFrame:
+def _by_table(seqs: DataFrame, keep: list[str], profile: DataFrame, bases: DataFrame, k: int) -> DataFrame:
     """The same by dense tables of at most 4^DENSE_K entries, which every task gets: sequences aren't exploded or shuffled."""
-    step, start, base = np.full(4**k, np.nan), np.full(4**k, np.nan), np.full(4, np.nan)
-    for r in steps.toLocalIterator():
-        step[r.kmer_id], start[r.kmer_id] = r.step, r.start
-    for r in null.collect():
-        base[r.kmer_id] = r.b
+    count, single = np.zeros(4**k), np.zeros(4)
+    for table, rows in ((count, profile), (single, bases)):
+        for i, n in rows.select("kmer_id", "count").collect():
+            table[i] = n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step, start, base = np.log(count / np.repeat(count.reshape(-1, 4).sum(axis=1), 4)), np.log(count / count.sum()), np.log(single / single.sum())
+    step[count == 0] = start[count == 0] = np.nan
+    base[single == 0] = np.nan
     tables = seqs.sparkSession.sparkContext.broadcast((step, start, base))
 
     def kernel(seq):

@@ -61,7 +61,7 @@ def file_stats(seqs: DataFrame, k: int, fold: bool = True) -> DataFrame:
         F.count("*").alias("total_reads"), F.min(F.length("seq")).alias("min_read_length"), F.max(F.length("seq")).alias("max_read_length"),
         F.floor(F.sum(F.length("seq").cast("long")) / F.count("*")).cast("int").alias("avg_read_length"),
     )
-    own = shred.profile(seqs, k, "drop", fold, ("sample",)).groupBy("sample").agg(F.sum("count").alias("total_kmers"), F.count("*").alias("unique_kmers"))
+    own = shred.profile_fast(seqs, k, fold, ("sample",)).groupBy("sample").agg(F.sum("count").alias("total_kmers"), F.count("*").alias("unique_kmers"))
     joined = reads.join(own, "sample", "left").na.fill(0, ["total_kmers", "unique_kmers"])
     return joined.withColumn("nullomers", F.lit(universe_size(k, fold)) - F.col("unique_kmers")).withColumn("nullomers_compat", F.lit(4**k) - F.col("unique_kmers"))
 

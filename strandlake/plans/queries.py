@@ -480,7 +480,7 @@ def cub_pvalue(spark, sf_dir):
 @query
 def markov_log_odds(spark, sf_dir):
     s = seqs(spark, sf_dir)
-    rows = probability.markov_log_odds(s, shred.profile(s, K_SMALL, "drop", False), shred.profile(s, 1, "drop", False), K_SMALL)
+    rows = probability.markov_log_odds(s, shred.profile_fast(s, K_SMALL, False), shred.profile_fast(s, 1, False), K_SMALL)
     return rows.select("seq_id", *[tidy(c).alias(c) for c in ("log_p", "log_null", "log_odds")])
 
 
