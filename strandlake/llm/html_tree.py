@@ -33,11 +33,11 @@ FENCE = frozenset("ul ol dl table div section article main body html aside nav".
 class Element:
     """An element: tag, marks (class, id and role words), children (Elements and strings)."""
 
-    __slots__ = ("tag", "marks", "hidden", "children", "digest", "chars", "linked")
+    __slots__ = ("tag", "marks", "hidden", "children", "digest", "shape", "chars", "linked")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children, self.marks, self.hidden = tag, [], "", False
-        self.digest = self.chars = self.linked = 0
+        self.digest = self.shape = self.chars = self.linked = 0
         if attrs:
             for name, value in ATTR.findall(attrs):
                 name, value = name.lower(), value.strip("\"'").lower()
@@ -47,13 +47,67 @@ class Element:
                     self.marks += " " + value
 
 
+class Stack:
+    """Open elements from the root down; the nearest open element of a tag or kind is found at once.
+
+    An element closed below open blocks leaves a gap, so that nothing moves.
+    """
+
+    def __init__(self, root: Element):
+        self.open: list[Element | None] = [root]
+        self.of_tag: dict[str, list[int]] = {}
+        self.fences: list[int] = []
+        self.blocks: list[int] = []
+
+    def push(self, e: Element) -> None:
+        for places in self._lists(e):
+            places.append(len(self.open))
+        self.open.append(e)
+
+    def _lists(self, e: Element) -> list[list[int]]:
+        kinds = [self.fences] if e.tag in FENCE else []
+        return [self.of_tag.setdefault(e.tag, []), *kinds, *([self.blocks] if e.tag in BLOCK else [])]
+
+    def nearest(self, tag: str) -> int:
+        """Place of the innermost open ``tag``, 0 if there is none."""
+        places = self.of_tag.get(tag)
+        return places[-1] if places else 0
+
+    def behind_fence(self, k: int) -> bool:
+        return bool(self.fences) and self.fences[-1] > k
+
+    def close_from(self, k: int) -> None:
+        """Closes the element at place ``k`` and all that are open inside it."""
+        while len(self.open) > k or self.open[-1] is None:
+            e = self.open.pop()
+            if e is not None:
+                for places in self._lists(e):
+                    places.pop()
+
+    def close_only(self, k: int) -> None:
+        """Closes the innermost open element of its tag, at place ``k``, but no block inside it."""
+        if self.blocks and self.blocks[-1] > k:
+            self.of_tag[self.open[k].tag].pop()
+            self.open[k] = None
+        else:
+            self.close_from(k)
+
+
 def parse(page: str) -> Element:
-    """The tree of ``page``. Open elements are closed at the end; a stray </p> is an empty paragraph, other stray end tags are dropped."""
+    """The tree of ``page``, in time linear in its length.
+
+    Open elements are closed at the end; a stray </p> is an empty paragraph, other stray end tags are dropped.
+    """
     root = Element("#root")
-    stack = [root]
-    at, size = 0, len(page)
+    stack = Stack(root)
+    at, size, last = 0, len(page), page.rfind(">")
     match = TOKEN.match
     while at < size:
+        if at > last:
+            # No tag ends any more: text up to an open comment.
+            stop = page.find("<!--", at)
+            stack.open[-1].children.append(html.unescape(page[at : size if stop < 0 else stop]))
+            break
         m = match(page, at)
         at = m.end()
         tag = m["tag"]
@@ -62,38 +116,29 @@ def parse(page: str) -> Element:
             if text[0] != "<" or text == "<":
                 if "&" in text:
                     text = html.unescape(text)
-                stack[-1].children.append(text)
+                stack.open[-1].children.append(text)
             continue
         tag = tag.lower()
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag in FORMATTING and any(e.tag in BLOCK for e in stack[k + 1 :]):
-                        del stack[k]
-                    else:
-                        del stack[k:]
-                    break
-                if (tag in FORMATTING or tag in ("p", "li")) and stack[k].tag in FENCE:
-                    k = 0
-                    break
-            else:
+            k = stack.nearest(tag)
+            if k and (tag in FORMATTING or tag in ("p", "li")) and stack.behind_fence(k):
                 k = 0
-            if tag == "p" and not k:
-                stack[-1].children.append(Element("p"))
+            if k and tag in FORMATTING:
+                stack.close_only(k)
+            elif k:
+                stack.close_from(k)
+            elif tag == "p":
+                stack.open[-1].children.append(Element("p"))
             continue
         attrs = m["attrs"] if m["attrs"] is not None else m["loose"]
         ends = SELF_CLOSING.get(tag, ()) or (("p",) if tag in ENDS_P else ())
         if tag in ENDS_P and tag not in ("p",) and ends != ("p",):
             ends = (*ends, "p")
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in FENCE:
-                    break
+        k = max(map(stack.nearest, ends), default=0)
+        if k and not stack.behind_fence(k):
+            stack.close_from(k)
         element = Element(tag, attrs)
-        stack[-1].children.append(element)
+        stack.open[-1].children.append(element)
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.I).search(page, at)
             at = size if stop is None else stop.start()
@@ -101,14 +146,15 @@ def parse(page: str) -> Element:
                 end = page.find(">", at)
                 at = size if end < 0 else end + 1
         elif tag not in VOID:
-            stack.append(element)
+            stack.push(element)
     return root
 
 
 def measure(node: Element) -> None:
-    """Sets digest, chars and linked chars of ``node`` and all below, children first.
+    """Sets digest, shape, chars and linked chars of ``node`` and all below, children first.
 
-    A digest covers tag, marks, words and the digests of the children.
+    A digest covers tag, marks, words and the digests of the children; a shape
+    tag and marks, and which shapes are below, however often.
     """
     work = [(node, False)]
     while work:
@@ -117,10 +163,11 @@ def measure(node: Element) -> None:
             work.append((n, True))
             work.extend((c, False) for c in n.children if c.__class__ is Element)
             continue
-        h = [n.tag, n.marks]
+        h, below = [n.tag, n.marks], set()
         for c in n.children:
             if c.__class__ is Element:
                 h.append(str(c.digest))
+                below.add(c.shape)
                 n.chars += c.chars
                 n.linked += c.linked
             else:
@@ -133,6 +180,7 @@ def measure(node: Element) -> None:
         if n.tag in UNSEEN:
             n.chars = n.linked = 0
         n.digest = xxhash.xxh64_intdigest("\x1f".join(h).encode("utf-8", "replace")) >> 1
+        n.shape = xxhash.xxh64_intdigest("\x1f".join([n.tag, n.marks, *map(str, sorted(below))]).encode("utf-8", "replace")) >> 1
 
 
 def blocks(node: Element, drop) -> list[str]:

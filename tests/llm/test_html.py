@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from strandlake.llm import html_extract as he
 
@@ -71,3 +72,78 @@ def test_section_templates_go_on_large_hosts(spark):
     part = lambda i: "<div><span>Section of gardens</span></div>" if i < 150 else ""
     rows = [(i, f"https://a.example/{i}", f"{part(i)}<p>text {i} of its own</p>") for i in range(2000)]
     assert {r.page_id: r.text for r in he.extract(pages(spark, rows)).collect()} == {i: f"text {i} of its own" for i in range(2000)}
+
+
+def brute_templates(rows):
+    """Per host the stored digests that recur, by plain counting over whole pages."""
+    hosts, out, shapes = {}, {}, {}
+    for _, url, page in rows:
+        host = re.match(r"(?:https?:)?//([^/:?#]*)", url or "")
+        text, own = he.subtree_digests(page)
+        hosts.setdefault(name := host[1].lower() if host else "", []).append((text, own))
+        for d in own:
+            shapes.setdefault(d, set()).add((name, text))
+    for host, own in hosts.items():
+        texts, found = {t for t, _ in own}, set()
+        for d in set().union(*(x for _, x in own)):
+            pages, contents = sum(d in x for _, x in own), len({t for t, x in own if d in x})
+            if d < 0:
+                recurs = pages >= he.MIN_PAGES and pages >= min(he.MIN_SHARE * len(own), he.MANY_PAGES)
+            elif d % 2:
+                recurs = len(shapes[d]) >= he.SHAPE_PAGES and len(texts) >= he.MIN_PAGES
+            else:
+                recurs = contents >= he.MIN_PAGES and contents >= min(he.MIN_SHARE * len(texts), he.MANY_PAGES)
+            if recurs:
+                found.add(d)
+        out[host] = (found, len(texts) >= he.MIN_PAGES)
+    return out
+
+
+def mixed_pages():
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdeé") for _ in range(4))
+    rows = []
+    for i in range(140):
+        nav = "".join(f"<li><a href=x>{random.choice(['home', 'news', word()])}</a>" for _ in range(random.randint(2, 5)))
+        parts = [f"<nav><ul>{nav}</ul></nav>", f"<div class='ad'>{random.choice(['buy', word()])}</div>", f"<div><span>Welcome {i % 3}</span></div>", f"<footer>{word()}</footer>", "<aside>one</aside>"]
+        story = f"<article><h1>{word()}</h1><p>{word()} {word()}</p></article>" if i % 4 else f"<p>{word()} {word()} {word()}</p>"
+        rows.append((i, f"https://h{min(i % 12, 5)}.example/{i}", "".join(random.sample(parts, 3)) + story + random.choice(parts)))
+    return rows + [(200, None, None), (201, "https://h0.example/c", rows[0][2]), (201, "https://h0.example/c", rows[0][2]), (None, "//H1.example:80/x", rows[1][2])]
+
+
+def test_extraction_matches_brute_force_with_and_without_a_broadcast(spark, monkeypatch):
+    rows = mixed_pages()
+    known = brute_templates(rows)
+    host = lambda u: (m[1].lower() if (m := re.match(r"(?:https?:)?//([^/:?#]*)", u or "")) else "")
+    want = sorted((str(i), str(u), *he.main_text(p, *known[host(u)])) for i, u, p in rows)
+    shown = lambda n: sorted((str(r.page_id), str(r.url), r.text, r.n_template) for r in he.extract(pages(spark, rows), broadcast_digests=n).collect())
+    assert shown(10**6) == want
+    monkeypatch.setattr(he, "PAGES_A_PART", 4)
+    assert shown(-1) == want
+
+
+def test_templates_decide_on_the_tables_pages(spark):
+    """On hosts that are counted, what lies outside the article goes by counts alone: without templates those texts change."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    known = brute_templates(rows)
+    host = lambda u: re.match(r"https?://([^/:?#]*)", u)[1].lower()
+    changed = sum(he.main_text(p, *known[host(u)])[0] != he.main_text(p, set(), known[host(u)][1])[0] for _, u, p in rows)
+    counted = sum(known[host(u)][1] for _, u, _ in rows)
+    assert counted > len(rows) // 2 and changed == counted
+    assert all(he.main_text(p, *known[host(u)])[0] == he.main_text(p, set())[0] for _, u, p in rows)
+
+
+def test_hostile_pages_take_linear_time():
+    for page in (
+        "<div>" * 100_000 + "<article>deep</article>", "<div>" * 20_000 + "</q>" * 200_000 + "x", "<a " * 200_000, "<b>" * 50_000 + "<i>" * 50_000 + "<p>" + "</b>" * 50_000 + "x",
+        "<a '" * 100_001, "<li>" * 100_000 + "x", "<!--" * 100_000,
+    ):
+        start = time.process_time()
+        text, _ = he.main_text(page, set())
+        he.subtree_digests(page)
+        assert time.process_time() - start < 8, page[:20]
+
+
+def test_open_elements_close_as_before():
+    assert one("<b>x<p>y</b>z</p>w") == "x\nyz\nw" and one("<ul><li>a<ul><li>b</li></li>c</ul>d</ul>") == "a\nb\nc\nd"
+    assert one("<table><tr><td>a<td>b<tr><td>c</table>d") == "a\nb\nc\nd" and one("<p>a<!-- open") == "a" and one("<p>a<b") == "a<b"
