@@ -16,7 +16,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import label_model
@@ -43,10 +43,9 @@ PATTERNS = {
 INDUCED = 6
 VOTERS = len(LEXICONS) + len(PATTERNS) + INDUCED
 
-#: Labelled rows of each class read for the induced vocabulary, and words kept in it.
+#: Labelled rows of each class read for the induced vocabulary, on average where there are more.
 FIT_ROWS = 6000
-VOCABULARY = 4000
-#: Documents that train the classifier on posterior labels.
+#: Documents that train the classifier on posterior labels, on average where there are more: half with votes, half without.
 TRAIN_ROWS = 20_000
 #: A word or beginning is induced when this many distinct groups of alike texts hold it and this share of them is toxic.
 MIN_GROUPS = 3
@@ -77,16 +76,13 @@ def _known(labels: DataFrame, label_col: str) -> DataFrame:
 def induce(docs: DataFrame, labels: DataFrame, label_col: str) -> tuple[list[str], float]:
     """Vocabulary of words and beginnings that mark toxic texts, and the share of toxic labels.
 
-    Reads at most FIT_ROWS labelled rows of each class, those first by the hash
-    of their id. Texts with the same least word hash count once, so copies do
+    Reads about FIT_ROWS labelled rows of each class, picked by the hash of their
+    id, or all if there are fewer; the vocabulary is theirs, so it is bounded too. Texts with the same least word hash count once, so copies do
     not make a rare word look common.
     """
     known = _known(labels, label_col)
     share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-        picked = part if picked is None else picked.union(part)
+    picked = known.where(F.when(F.col("y") == 1, _picked(FIT_ROWS, share.get(1, 0), 1)).otherwise(_picked(FIT_ROWS, share.get(0, 0), 1)))
     rows = docs.join(F.broadcast(picked), "doc_id").select("text", "y")
 
     def run(batches):
@@ -117,13 +113,20 @@ def induce(docs: DataFrame, labels: DataFrame, label_col: str) -> tuple[list[str
     )
     strong = per.where((F.col("toxic") >= MIN_GROUPS) & (F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("clean"))))
     strong = strong.where(~F.col("token").endswith("*") | (F.col("words") >= MIN_WORDS))
-    top = strong.orderBy(F.desc("toxic"), "token").limit(VOCABULARY).collect()
+    found = sorted(strong.select("token", "toxic", "clean").collect())
     total = sum(share.values())
     base = min(share.get(1, 0), FIT_ROWS) / max(1, sum(min(n, FIT_ROWS) for n in share.values()))
-    kept = [r.token for r in top if chance(r.toxic, r.toxic + r.clean, base) < MAX_CHANCE]
+    kept = [r.token for r in found if chance(r.toxic, r.toxic + r.clean, base) < MAX_CHANCE]
     return kept, share.get(1, 0) / total if total else 0.05
 
 
+def _picked(wanted: int, n: int, salt: int) -> Column:
+    """True for about ``wanted`` of ``n`` rows, by the hash of their id; for all if there are no more."""
+    if n <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(wanted / n * (1 << 30))
+
+
 def chance(toxic: int, n: int, base: float) -> float:
     """P(at least ``toxic`` of ``n`` groups are toxic) when each is with probability ``base``."""
     return sum(math.comb(n, k) * base**k * (1 - base) ** (n - k) for k in range(toxic, n + 1))
@@ -215,9 +218,10 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     extra = lambda p, h: [*h, *(len(vocabulary) + k for k in range(len(LEXICONS)) if (p & fixed) >> k & 1)]
     weights, bias = np.zeros(size), -3.0
     if counts:
-        order = (F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"))
-        sample = [table.where(F.col("pattern") > 0).orderBy(*order).limit(TRAIN_ROWS // 2), table.where(F.col("pattern") == 0).orderBy(*order).limit(TRAIN_ROWS // 2)]
-        picked = [r for s in sample for r in s.select("pattern", "hits").collect()]
+        silent = int(n[pattern == 0].sum())
+        half = TRAIN_ROWS // 2
+        sampled = F.when(F.col("pattern") == 0, _picked(half, silent, 7)).otherwise(_picked(half, int(n.sum()) - silent, 7))
+        picked = sorted(table.where(sampled).select("doc_id", "pattern", "hits").collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.pattern, r.hits))
         target = voters.posterior(label_model.unpack(np.array([r.pattern for r in picked], np.int64), VOTERS))
         weights, bias = train_logistic([extra(r.pattern, r.hits) for r in picked], target, size)
 

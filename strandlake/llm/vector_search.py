@@ -5,8 +5,9 @@ queries meets the candidates in blocks that stream through a task: a block's
 four-bit codes are scanned by table lookups, and all that are within their
 quantisation error of a query's nearest are scored exactly and merged into the
 best so far. No nearer candidate is lost, however many tie in a crowd of copies.
-Candidates are dealt to SHARDS tasks a chunk, so what the tasks give back grows
-with the queries, not with their square.
+A chunk's candidates are dealt to shards, more of them for a larger table, so no
+task grows with the table. Every chunk reads all
+vectors once: a table of n vectors is copied n / (20 CHUNK) times.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from strandlake.llm import anisotropic as aq
 from strandlake.llm.common import cut, map_arrow
 
-#: Neighbours of a query, rows that fit the codebooks, rows a block, queries a chunk, shards of the candidates,
-#: queries scanned at once, products made at once.
+#: Neighbours of a query, rows that fit the codebooks (on average, where there are more), rows a block, queries a chunk,
+#: shards of FEW_ROWS candidates up to SHARDS and of SHARD_ROWS beyond, queries scanned at once, products made at once.
 NEIGHBOURS = 20
 FIT_ROWS = 4096
 BLOCK = 1024
-CHUNK = 4096
+CHUNK = 16_384
 SHARDS = 16
+FEW_ROWS = 5000
+SHARD_ROWS = 100_000
 SCAN = 64
 PRODUCTS = 1 << 21
 
@@ -57,9 +60,11 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     """
     all_rows = usable(rows, id_col, vector_col)
     n = all_rows.count()
-    sample = all_rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()
+    picked = F.lit(True) if n <= FIT_ROWS else F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(FIT_ROWS / n * (1 << 30))
+    sample = sorted(all_rows.where(picked).select(F.xxhash64("vec_id").alias("h"), "vec_id", "v").collect())
     books = aq.fit(np.array([r.v for r in sample], np.float64)) if sample else np.zeros((2, aq.ENTRIES, aq.WIDTH))
     chunks = max(1, math.ceil(n / every / CHUNK))
+    shards = max(1, min(SHARDS, math.ceil(n / FEW_ROWS)), math.ceil(n / SHARD_ROWS))
     eta = aq.eta_of(len(books) * aq.WIDTH)
 
     def encode(batches):
@@ -68,12 +73,12 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
 
     coded = map_arrow(all_rows, encode, "vec_id long, v array<double>, codes binary")
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(SHARDS)).cast("int").alias("shard")
+    shard = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)).cast("int").alias("shard")
     chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")
     numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     stored = coded.select("*", shard).select(numbers(chunks).alias("chunk"), "shard", F.lit(1).alias("kind"), "vec_id", "v", "codes")
     asked = all_rows.where(F.col("vec_id") % every == 0).select("*", chunk)
-    asked = asked.select("chunk", numbers(SHARDS).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"))
+    asked = asked.select("chunk", numbers(shards).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"))
 
     def meet(batches):
         key, group = None, None
@@ -124,6 +129,8 @@ class Nearest:
         self.asking: list[np.ndarray] = []
         self.queries: list[np.ndarray] = []
         self.best_ids = self.best = None
+        #: Pairs of a query and a candidate met, and those of them that were scored exactly.
+        self.met = self.scored = 0
 
     def ask(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.asking.append(ids)
@@ -154,6 +161,7 @@ class Nearest:
             may, _ = _within(q @ x[cols].T, rounding, may[:, cols], worst, n)
             row, col = np.nonzero(may)
             col = cols[col]
+            self.met, self.scored = self.met + near.size, self.scored + len(row)
             step = max(1, PRODUCTS // x.shape[1])
             exact = [(x[col[i : i + step]] * q[row[i : i + step]]).sum(axis=1) for i in range(0, len(row), step)]
             row = np.concatenate([np.repeat(np.arange(len(q)), n), row])
@@ -165,5 +173,5 @@ class Nearest:
 
     def found(self) -> pa.RecordBatch:
         self._settle()
-        row, col = np.nonzero(np.isfinite(self.best))
+        row, col = np.nonzero(np.isfinite(self.best) | (self.best_ids < np.iinfo(np.int64).max))
         return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.best_ids[row, col]), pa.array(self.best[row, col])], ["query_id", "vec_id", "score"])
