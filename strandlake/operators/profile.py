@@ -142,5 +142,5 @@ def running_sum(rows: DataFrame, order: list[str], worth: str, name: str) -> Dat
 
 def shuffle(profile: DataFrame, seed: int = 42) -> DataFrame:
     """The rows in a seeded random order, numbered anew: ordered by a hash of id and seed, the same on every run."""
-    keyed = profile.withColumn("__h", F.shiftright(F.xxhash64("kmer_id", F.lit(seed)), 2))
+    keyed = profile.withColumn("__h", F.md5(F.concat_ws(":", "kmer_id", F.lit(seed))))
     return with_index(keyed, "__h", ["kmer_id"]).drop("__h")

@@ -215,8 +215,8 @@ SQL |= {
 def minimized(k: int, table: str = "seqs", tag: str = "") -> str:
     return f"""mw{tag} AS (SELECT seq_id, pos, substr(seq, pos + 1, {k}) AS kmer FROM (SELECT seq_id, seq, CAST(unnest(range(length(seq) - {k} + 1)) AS INTEGER) AS pos FROM {table} WHERE length(seq) >= {k})),
         mk{tag} AS (SELECT kmer, {canon('kmer', k)} AS kmer_id FROM (SELECT DISTINCT kmer FROM mw{tag})), mo{tag} AS (SELECT seq_id, pos, kmer_id FROM mw{tag} JOIN mk{tag} USING (kmer)),
-        ms{tag} AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n, arg_min(pos, kmer_id * 4294967296 + pos) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS mp FROM mo{tag}),
-        mc{tag} AS (SELECT DISTINCT seq_id, mp AS pos FROM ms{tag} WHERE pos < greatest(1, n - {WINDOW - 1})),
+        ms{tag} AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n, min(kmer_id * 4294967296 + pos) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) % 4294967296 AS mp FROM mo{tag}),
+        mc{tag} AS (SELECT DISTINCT seq_id, CAST(mp AS INTEGER) AS pos FROM ms{tag} WHERE pos < greatest(1, n - {WINDOW - 1})),
         mi{tag} AS (SELECT o.seq_id, o.pos, o.kmer_id, CASE WHEN c.pos IS NULL THEN 0 ELSE 1 END AS is_min FROM mo{tag} o LEFT JOIN mc{tag} c ON c.seq_id = o.seq_id AND c.pos = o.pos)"""
 
 
@@ -260,3 +260,25 @@ SQL |= {
         lq AS (SELECT seq_id, sum(lb) AS log_null FROM b1 JOIN bs USING (b) GROUP BY seq_id)
         SELECT seq_id, {tidy('log_p')} AS log_p, {tidy('log_null')} AS log_null, {tidy('log_p - log_null')} AS log_odds FROM lp JOIN lq USING (seq_id)""",
 }
+
+# --- more of profiles and codons ---
+
+SQL |= {
+    "shuffle": f"{base(K_SMALL)} SELECT row_number() OVER (ORDER BY md5(kmer_id || ':42'), kmer_id) - 1 AS idx, kmer_id, count FROM prof",
+    "header_document": f"""{SQL['seq_stats'].replace('SELECT sample, total_reads,', ', st AS (SELECT sample, total_reads,', 1)}),
+        whole AS (SELECT kmer_id, sum(count) AS n FROM prof GROUP BY kmer_id)
+        SELECT CAST(to_json({{'k': {K_SMALL}, 'total_kmers': CAST(sum(n) AS BIGINT), 'unique_kmers': count(*), 'nullomers': {size(K_SMALL)} - count(*), 'unique_nullomers_compat': {4**K_SMALL // 2} - count(*),
+            'files': (SELECT list(f ORDER BY f) FROM (SELECT {{'avg_read_length': avg_read_length, 'max_read_length': max_read_length, 'min_read_length': min_read_length, 'nullomers': nullomers, 'nullomers_compat': nullomers_compat,
+            'sample': sample, 'total_kmers': total_kmers, 'total_reads': total_reads, 'unique_kmers': unique_kmers}} AS f FROM st)), 'sorted': false, 'tags': CAST([] AS VARCHAR[]), 'comments': CAST([] AS VARCHAR[])}}) AS VARCHAR) AS header FROM whole""",
+    "cub_pvalue": f"""WITH raw AS ({SQL['cub_chisq'].replace(tidy('sum((o - ex) * (o - ex) / ex)'), 'sum((o - ex) * (o - ex) / ex)')}),
+        tail AS (SELECT seq_id, chisq, exp(-chisq / 2) * list_sum(list_transform(range({(len(ab.SENSE) - 1) // 2}), lambda i: pow(chisq / 2, i) / factorial(CAST(i AS INTEGER)))) AS p FROM raw)
+        SELECT seq_id, {tidy('chisq')} AS chisq, CAST({len(ab.SENSE) - 1} AS INTEGER) AS dof, {tidy('p')} AS pvalue, {tidy('least(1.0, p * (SELECT count(*) FROM tail))')} AS bonferroni FROM tail""",
+    "fasta_records": f"WITH {seqs()} SELECT CAST(seq_id AS VARCHAR) AS seq_id, seq FROM seqs WHERE seq IS NOT NULL",
+    "fastq_records": f"WITH {seqs()} SELECT CAST(seq_id AS VARCHAR) AS seq_id, seq, translate(seq, 'ACGT', '@+I5') AS qual FROM seqs WHERE seq IS NOT NULL",
+    "file_checksums": "SELECT md5('ACGT' || chr(10)) AS md5, sha256('ACGT' || chr(10)) AS sha256, CAST(5 AS BIGINT) AS n_bytes",
+    "matrix_round_trip": f"{matrix} SELECT kmer_id, sample, count FROM prof",
+    "profile_round_trip": f"{base(K_EDGES)} SELECT * FROM prof",
+    "profile_text_round_trip": f"{base(K_EDGES)} SELECT * FROM prof",
+    "edge_round_trip": f"{weighted(K_EDGES)} SELECT * FROM we",
+    "minimizer_round_trip": f"WITH {seqs()}, {win(K_PROFILE)}, {coded(K_PROFILE)} SELECT seq_id, pos, kmer_id, 1 AS is_min FROM win JOIN co USING (kmer) WHERE pos % {WINDOW} = 0",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,8 @@ from strandlake import alphabet as ab
 from strandlake.functions import kmers as fn
 from strandlake.operators import codons, distance, graph, matrix, minimizers, ml, probability, shred
 from strandlake.operators import profile as pf
+from strandlake.sources import sequences as sq
+from strandlake.sources import tables as tb
 from strandlake.sources.sequences import from_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,7 +475,7 @@ def cub_chisq(spark, sf_dir):
 @query
 def cub_pvalue(spark, sf_dir):
     c = _by_source(spark, sf_dir)
-    return codons.usage_bias(c, c)
+    return codons.usage_bias(c, c).select("seq_id", tidy("chisq").alias("chisq"), "dof", tidy("pvalue").alias("pvalue"), tidy("bonferroni").alias("bonferroni"))
 
 
 # --- probability ---
@@ -540,3 +544,87 @@ def upgma(spark, sf_dir):
 @query
 def tsne(spark, sf_dir):
     return ml.tsne(by_sample(spark, sf_dir), K_PAIRS)
+
+
+# --- sources and sinks: what is written is read back ---
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; in a local session without it, in a temporary one."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        given = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
+    return f"{given.rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex}"
+
+
+def _records(spark, sf_dir, record: Callable[[Column, Column], Column], ending: str) -> str:
+    """Sequences written as text records in files with ``ending``."""
+    path = _path(spark, "records")
+    rows = seqs(spark, sf_dir).where(F.col("seq").isNotNull())
+    rows.select(record(F.col("seq_id").cast("string"), F.col("seq")).alias("value")).write.text(path)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        file = status.getPath()
+        if file.getName().endswith(".txt"):
+            fs.rename(file, file.suffix(ending))
+    return path
+
+
+@query
+def fasta_records(spark, sf_dir):
+    path = _records(spark, sf_dir, lambda i, s: F.concat(F.lit(">"), i, F.lit(" a record\n"), F.regexp_replace(s, "(.{70})", "$1\n")), ".fasta")
+    return sq.read_sequences(spark, f"{path}/*.fasta").select("seq_id", "seq")
+
+
+@query
+def fastq_records(spark, sf_dir):
+    path = _records(spark, sf_dir, lambda i, s: F.concat(F.lit("@"), i, F.lit(" a read\n"), s, F.lit("\n+\n"), F.translate(s, "ACGT", "@+I5")), ".fastq")
+    return sq.read_fastq(spark, f"{path}/*.fastq").select("seq_id", "seq", "qual")
+
+
+@query
+def file_checksums(spark, sf_dir):
+    """The sums of one small file with known bytes."""
+    path = _path(spark, "sums")
+    spark.createDataFrame([("ACGT",)], "value string").coalesce(1).write.text(path)
+    return sq.checksums(spark, f"{path}/*.txt").select("md5", "sha256", "n_bytes")
+
+
+@query
+def matrix_round_trip(spark, sf_dir):
+    path = _path(spark, "matrix")
+    tb.write_matrix(collate_wide(spark, sf_dir), path)
+    rows = tb.read_matrix(spark, path, index="kmer_id").where("count > 0")
+    return rows.select(F.col("row_id").cast("long").alias("kmer_id"), "sample", F.col("count").cast("long").alias("count"))
+
+
+@query
+def profile_round_trip(spark, sf_dir):
+    path = _path(spark, "profile")
+    p = whole_profile(spark, sf_dir, K_EDGES)
+    tb.write_profile(p, pf.totals(p, K_EDGES), path, K_EDGES, "all")
+    return tb.read_profile(spark, path, K_EDGES, "all").select("kmer_id", "count")
+
+
+@query
+def profile_text_round_trip(spark, sf_dir):
+    path = _path(spark, "text")
+    p = pf.with_index(pf.with_frequency(whole_profile(spark, sf_dir, K_EDGES)), "kmer_id", [])
+    tb.export_profile(p, {"k": K_EDGES}, path)
+    return tb.import_profile(spark, f"{path}/body")
+
+
+@query
+def edge_round_trip(spark, sf_dir):
+    path = _path(spark, "edges")
+    tb.write_edges(graph.weighted_edges(seqs(spark, sf_dir), K_EDGES), path)
+    return tb.read_edges(spark, path)
+
+
+@query
+def minimizer_round_trip(spark, sf_dir):
+    path = _path(spark, "minimizers")
+    tb.write_minimizers(stride_minimizers(spark, sf_dir), path)
+    return tb.read_minimizers(spark, path).select(F.col("seq_id").cast("long").alias("seq_id"), "pos", "kmer_id", "is_min")

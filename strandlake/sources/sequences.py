@@ -22,9 +22,14 @@ def file_kind(path: str) -> str:
 
 
 def is_gzip(spark: SparkSession, path: str) -> bool:
-    """True if the file starts with gzip's two magic bytes."""
-    head = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2)).alias("h")).first()
-    return bool(head) and head.h == "1F8B"
+    """True if the file starts with gzip's two magic bytes; only those are read."""
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        return (stream.read(), stream.read()) == (0x1F, 0x8B)
+    finally:
+        stream.close()
 
 
 def checksums(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -47,27 +52,70 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.where(F.length("seq_id") > 0).select(fn.sample_name(F.col("file")).alias("sample"), "seq_id", "seq", "file")
 
 
+def _first_record(lines: list[str]) -> int:
+    """Place of the first line that starts a record: it starts with '@' and the line after next with '+'; -1 if none is seen.
+
+    No sequence starts with either, so a quality line that starts with '@' is not taken for a header.
+    """
+    return next((i for i in range(len(lines) - 2) if lines[i][:1] == "@" and lines[i + 2][:1] == "+"), -1)
+
+
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows (sample, seq_id, seq, qual, file) of four-line records.
 
-    Record borders depend on the line number, so a file is one task and is read
-    whole: split files of over a gigabyte before reading. Records leave in Arrow batches.
+    A file is read in blocks by many tasks. Each finds the first record that
+    starts in its block; the few lines before it and after the last whole record
+    are put together over the blocks of the file. An incomplete record at the
+    end of a file is left out.
     """
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    names = ["file", "block", "seq_id", "seq", "qual", "rest"]
+
+    def records(rows: list[str]) -> list[list[str]]:
+        heads = [(h[1:].split() or [""])[0] for h in rows[0::4]]
+        return [heads, [x.strip().upper() for x in rows[1::4]], [x.rstrip("\r") for x in rows[3::4]]]
+
+    def batch(file: str, block: int, rows: list[str], rest: list[str] | None):
+        ids, seqs, quals = records(rows) if rest is None else ([None], [None], [None])
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([block] * n, pa.int64()), pa.array(ids, pa.string()), pa.array(seqs, pa.string()), pa.array(quals, pa.string()), pa.array([rest] * n, pa.list_(pa.string()))], names)
 
     def run(batches):
-        names = ["seq_id", "seq", "qual", "file"]
+        at, held, started, early = None, [], False, []
+
+        def ended():
+            """What a block leaves over: lines before its first record, then those after its last whole one."""
+            if at is not None and early + held:
+                yield batch(*at, [], early + held)
+
         for b in batches:
-            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = text.splitlines()
-                for at in range(0, len(rows) - 3, 40_000):
-                    part = rows[at : at + 40_000]
-                    heads, seqs, quals = part[0::4], part[1::4], part[3::4]
-                    n = min(len(heads), len(seqs), len(quals))
-                    ids = [(h[1:].split() or [""])[0] for h in heads[:n]]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.strip().upper() for s in seqs[:n]]), pa.array(quals[:n]), pa.array([file] * n)], names)
-
-    rows = lines.mapInArrow(run, "seq_id string, seq string, qual string, file string")
+            files, blocks, values = (b.column(i).to_pylist() for i in range(3))
+            k = 0
+            while k < len(values):
+                stop = k
+                while stop < len(values) and (files[stop], blocks[stop]) == (files[k], blocks[k]):
+                    stop += 1
+                if (files[k], blocks[k]) != at:
+                    yield from ended()
+                    at, held, early = (files[k], blocks[k]), [], []
+                    started = blocks[k] == 0
+                held += values[k:stop]
+                k = stop
+                if not started and (first := _first_record(held)) >= 0:
+                    early, held, started = held[:first], held[first:], True
+                if started and len(held) >= 4:
+                    whole = len(held) // 4 * 4
+                    yield batch(*at, held[:whole], None)
+                    held = held[whole:]
+        yield from ended()
+
+    found = lines.mapInArrow(run, "file string, block long, seq_id string, seq string, qual string, rest array<string>")
+    left = found.where(F.col("rest").isNotNull()).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("block", "rest"))).alias("parts"))
+    text = F.flatten("parts.rest")
+    of_border = left.select("file", text.alias("l")).select("file", "l", F.explode(F.when(F.size("l") >= 4, F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1))).alias("i"))
+    line = lambda j: F.col("l")[F.col("i") * 4 + j]
+    borders = of_border.select("file", F.regexp_extract(line(0), r"^@\s*(\S*)", 1).alias("seq_id"), F.upper(F.trim(line(1))).alias("seq"), line(3).alias("qual"))
+    rows = found.where(F.col("rest").isNull()).select("file", "seq_id", "seq", "qual").unionByName(borders)
     return rows.select(fn.sample_name(F.col("file")).alias("sample"), "seq_id", "seq", "qual", "file")
 
 

@@ -14,7 +14,7 @@ DELIMITER = "=" * 24
 def read_matrix(spark: SparkSession, path: str, sep: str = "\t", index: str | None = None) -> DataFrame:
     """Long rows (row_id, sample, count double) of a delimited matrix with a header line.
 
-    ``index`` names the column of row ids; without it rows are numbered in file order.
+    ``index`` names the column of row ids; without it they rise in file order, with gaps between a file's blocks.
     """
     wide = spark.read.option("sep", sep).option("header", True).option("inferSchema", True).csv(path)
     if index is None:
