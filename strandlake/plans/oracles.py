@@ -133,8 +133,8 @@ factors = f"""{matrix}, ns AS (SELECT count(DISTINCT sample) AS n FROM prof), m
     f AS (SELECT sample, median(count / exp(lm)) AS size_factor FROM prof JOIN m USING (kmer_id) GROUP BY sample)"""
 SQL |= {
     "collate_wide": f"{matrix} SELECT kmer_id, {wide({s: s for s in SAMPLES})} FROM prof GROUP BY kmer_id",
-    "collate_dense": f"{base(5, True, 'sample')}, {universe(5)} SELECT kmer_id, {wide({s: s for s in SAMPLES[:3]})} FROM (SELECT * FROM uni WHERE {canon('kmer', 5)} = kmer_id) LEFT JOIN prof USING (kmer_id) GROUP BY kmer_id",
-    "renamed_columns": f"{matrix} SELECT kmer_id, {wide({SAMPLES[0]: 'first', SAMPLES[1]: 'second'})} FROM prof GROUP BY kmer_id",
+    "collate_dense": f"{base(5, True, 'sample')}, {universe(5)} SELECT kmer_id, {wide({s: s for s in SAMPLES})} FROM (SELECT * FROM uni WHERE {canon('kmer', 5)} = kmer_id) LEFT JOIN prof USING (kmer_id) GROUP BY kmer_id",
+    "renamed_columns": f"{matrix} SELECT kmer_id, {wide({s: f'column_{i}' for i, s in enumerate(SAMPLES)})} FROM prof GROUP BY kmer_id",
     "frequency_matrix": f"{matrix} SELECT sample, kmer_id, {tidy('count / sum(count) OVER (PARTITION BY sample)', 9)} AS frequency FROM prof",
     "size_factors": f"{factors} SELECT sample, {tidy('size_factor', 9)} AS size_factor FROM f",
     "normalized": f"{factors} SELECT sample, kmer_id, {tidy('count / size_factor')} AS normalized FROM prof JOIN f USING (sample)",

@@ -298,12 +298,13 @@ def collate_wide(spark, sf_dir):
 
 @query
 def collate_dense(spark, sf_dir):
-    return matrix.wide(by_sample(spark, sf_dir, 5), SAMPLES[:3], dense_k=5)
+    return matrix.wide(by_sample(spark, sf_dir, 5).na.fill("null", ["sample"]), all_samples(spark, sf_dir), dense_k=5)
 
 
 @query
 def renamed_columns(spark, sf_dir):
-    return matrix.rename(matrix.wide(by_sample(spark, sf_dir), SAMPLES[:2]), ["first", "second"])
+    table = collate_wide(spark, sf_dir)
+    return matrix.rename(table, [f"column_{i}" for i in range(len(table.columns) - 1)])
 
 
 @query

@@ -63,3 +63,16 @@ def test_collate_wide_keeps_every_source(spark, tmp_path):
 
 def test_collate_wide_matches_sql(spark, oracle):
     test_query_matches_sql(spark, oracle, "collate_wide")
+
+
+@pytest.mark.parametrize("name", ["collate_dense", "renamed_columns"])
+def test_every_source_is_a_column(spark, tmp_path, name):
+    rows = [(1, "ACGTACGTAC", "src0"), (2, "ACGTACG", "else.where"), (3, "ACGTA", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert [int(table[c].sum()) for c in table.columns[1:]] == ([6, *[0] * 19, 3, 1] if name == "collate_dense" else [8, *[0] * 19, 5, 3])
+
+
+@pytest.mark.parametrize("name", ["header_document", "cub_pvalue", "shuffle", "fasta_records", "fastq_records", "matrix_round_trip", "profile_text_round_trip", "edge_round_trip", "minimizer_round_trip", "renamed_columns"])
+def test_more_queries_match_sql(spark, oracle, name):
+    test_query_matches_sql(spark, oracle, name)

@@ -1,3 +1,4 @@
+import random
 import gzip
 import hashlib
 
@@ -60,3 +61,35 @@ def test_minimizer_lists(spark, tmp_path):
     rows = spark.createDataFrame([("s", 0, 5, 1), ("s", 1, 7, 0)], "seq_id string, pos int, kmer_id long, is_min int")
     tb.write_minimizers(rows, str(tmp_path / "m"))
     assert [tuple(r) for r in tb.read_minimizers(spark, str(tmp_path / "m")).collect()] == [("s", 0, 5, 1)]
+
+
+def test_fastq_in_many_blocks(spark, tmp_path):
+    rng = random.Random(4)
+    want = []
+    with open(tmp_path / "reads.fastq", "w") as f:
+        for i in range(300):
+            s = "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 60)))
+            q = "".join(rng.choice("@+I#") for _ in s)
+            want.append((f"r{i}", s, q))
+            f.write(f"@r{i} read\n{s.lower() if i % 2 else s}\n+{'r' * (i % 3)}\n{q}\n")
+        f.write("@last\nACG\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("100", "333", "5000", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert sorted((r.seq_id, r.seq, r.qual) for r in sq.read_fastq(spark, str(tmp_path / "reads.fastq")).collect()) == sorted(want), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_edge_list_and_dot(spark, tmp_path):
+    from strandlake.operators import graph
+
+    rows = graph.weighted_edges(spark.createDataFrame([("a", 1, "ACGTACGTTTGACA")], "sample string, seq_id long, seq string"), 3)
+    tb.write_edges(rows, str(tmp_path / "e"))
+    assert sorted(map(tuple, tb.read_edges(spark, str(tmp_path / "e")).collect())) == sorted(map(tuple, rows.collect()))
+    graph.to_dot(rows, str(tmp_path / "dot"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "dot")).collect()]
+    assert sorted(lines) == sorted(f"  {r.kmer_id1} -> {r.kmer_id2} [weight={r.weight}];" for r in rows.collect())
