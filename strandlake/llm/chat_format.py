@@ -30,8 +30,9 @@ _OUT = {"\\": "\\\\", "[": "\\b", "<": "\\a"}
 _BACK = {"\\": "\\", "b": "[", "a": "<"}
 _TURN = re.compile(r"<s>(.*?)\[INST\](.*?)\[/INST\]</s>", re.S)
 
-#: A role whose text counts for the loss.
+#: A role whose text counts for the loss, and conversations that are Python objects at once.
 LEARNED = "assistant"
+SLICE = 64
 
 
 def escape(text: str) -> str:
@@ -107,12 +108,13 @@ def format_rows(conversations: DataFrame, tokenizer_path: str, conv_col="conv_id
     def run(batches):
         tokenizer = load_tokenizer(tokenizer_path)
         for b in batches:
-            out = []
-            for conv, turns in zip(b.column(0), b.column(1)):
-                formatted, spans = render([(t["role"], t["text"]) for t in turns.as_py()])
-                e = tokenizer.encode(formatted, add_special_tokens=False)
-                out.append(dict(conv_id=conv.as_py(), formatted=formatted, ids=e.ids, mask=loss_mask(e.offsets, spans), starts=[x for x, _ in e.offsets], ends=[y for _, y in e.offsets]))
-            yield pa.RecordBatch.from_pylist(out, schema)
+            for at in range(0, b.num_rows, SLICE):
+                out, part = [], b.slice(at, SLICE)
+                for conv, turns in zip(part.column(0), part.column(1)):
+                    formatted, spans = render([(t["role"], t["text"]) for t in turns.as_py()])
+                    e = tokenizer.encode(formatted, add_special_tokens=False)
+                    out.append(dict(conv_id=conv.as_py(), formatted=formatted, ids=e.ids, mask=loss_mask(e.offsets, spans), starts=[x for x, _ in e.offsets], ends=[y for _, y in e.offsets]))
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int8())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -126,17 +128,18 @@ def digest_rows(formatted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                turns = read_back(r["formatted"])
-                spans = masked_spans(list(zip(r["starts"], r["ends"])), r["mask"])
-                loss = "".join(unescape(r["formatted"][a:z]) for a, z in spans)
-                told = "".join(f"{role}\n{text}\n" for role, text in turns)
-                out.append(
-                    dict(conv_id=r["conv_id"], n_turns=len(turns), turns_sha256=hashlib.sha256(told.encode()).hexdigest(), loss_chars=len(loss),
-                         loss_sha256=hashlib.sha256(loss.encode()).hexdigest(), formatted_chars=len(r["formatted"]))
-                )
-            yield pa.RecordBatch.from_pylist(out, schema)
+            for at in range(0, b.num_rows, SLICE):
+                out = []
+                for r in b.slice(at, SLICE).to_pylist():
+                    turns = read_back(r["formatted"])
+                    spans = masked_spans(list(zip(r["starts"], r["ends"])), r["mask"])
+                    loss = "".join(unescape(r["formatted"][a:z]) for a, z in spans)
+                    told = "".join(f"{role}\n{text}\n" for role, text in turns)
+                    out.append(
+                        dict(conv_id=r["conv_id"], n_turns=len(turns), turns_sha256=hashlib.sha256(told.encode()).hexdigest(), loss_chars=len(loss),
+                             loss_sha256=hashlib.sha256(loss.encode()).hexdigest(), formatted_chars=len(r["formatted"]))
+                    )
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     return map_arrow(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

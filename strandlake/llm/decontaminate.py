@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import map_arrow, packed
+from strandlake.llm.common import map_arrow, packed, written
 from strandlake.llm.bm25_wand import OVERLAP, SHINGLE, Index, Item, shingles, split_item, words_of
 
-#: Items of one index; a larger benchmark makes more indexes, each over all passages.
+#: Items of one index, and indexes that are broadcast together; a larger benchmark takes more passes over all passages.
 INDEX_ITEMS = 5000
+INDEXES_A_PASS = 4
 #: Least words of a passage; passages overlap by half and are twice as long as the longest item at least.
 PASSAGE_WORDS = 128
 #: Documents read to order terms by frequency; the order changes the work, never the result.
@@ -104,29 +106,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id",
     repeated items and rows each repeats its matches; null ids stay null; no
     documents or no items give no rows.
     """
-    indexes = [docs.sparkSession.sparkContext.broadcast(x) for x in build_indexes(docs, benchmark, **columns)]
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, t in zip(b.column(0), b.column(1)):
-                text = t.as_py()
-                out += [m | {"doc_id": i.as_py()} for x in indexes for m in matches(text, x.value)]
-            yield pa.RecordBatch.from_pylist(out, schema)
+    def run_with(indexes):
+        def run(batches):
+            for b in batches:
+                out = []
+                for i, t in zip(b.column(0), b.column(1)):
+                    text = t.as_py()
+                    out += [m | {"doc_id": i.as_py()} for x in indexes for m in matches(text, x.value)]
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+        return run
 
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
     rows = packed(docs).select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, run, f"doc_id long, {MATCH}")
+    parts = [map_arrow(rows, run_with(own), f"doc_id long, {MATCH}") for own in _passes(docs, benchmark, **columns)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
-    """Rows of ``docs`` whose text holds no verified match; everything else about them is kept."""
+def _passes(docs: DataFrame, benchmark: DataFrame, **columns) -> list[list]:
+    """Broadcasts of the indexes, in groups of INDEXES_A_PASS; one empty group if there are none."""
     indexes = [docs.sparkSession.sparkContext.broadcast(x) for x in build_indexes(docs, benchmark, **columns)]
+    return [indexes[k : k + INDEXES_A_PASS] for k in range(0, max(1, len(indexes)), INDEXES_A_PASS)]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
+    """Rows of ``docs`` whose text holds no verified match; everything else about them is kept.
+
+    Rows with null or empty texts and null ids stay, repeated rows stay or go
+    together; without items all stay, and no rows give none.
+    """
     at = docs.columns.index("text")
 
-    def run(batches):
-        for b in batches:
-            clean = [not any(matches(t.as_py(), x.value) for x in indexes) for t in b.column(at)]
-            yield b.filter(pa.array(clean, pa.bool_()))
+    def run_with(indexes):
+        def run(batches):
+            for b in batches:
+                clean = [not any(matches(t.as_py(), x.value) for x in indexes) for t in b.column(at)]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        return run
 
-    return map_arrow(packed(docs), run, docs.schema)
+    passes = _passes(docs, benchmark, **columns)
+    rows = packed(docs)
+    for k, own in enumerate(passes):
+        # Between passes rows are written, so no task holds more indexes than a pass has.
+        rows = map_arrow(written(rows, "clean") if k else rows, run_with(own), docs.schema)
+    return rows

@@ -49,6 +49,13 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
+#: Texts by which a vocabulary file shows whether it takes texts apart as ``word_bpe_49k.json`` does.
+PROBES = (
+    "a b", " A  b\nc\n", "C'mon don't-- x_y a1b2 I'll", "ab.,c \t\x1c q", "end)]} #%&*|-+=/ $5.00?", "<|endoftext|>a<|endoftext|> <s> </s> [INST]", "É été über ÿþß µm ª º ñandú",
+    "İ ΟΔΟΣ. x\u0301. 梦 语", "Hello!! WORLD;: (see [it]", "x" * 300, "", "  \n\n ", "1234567 12 a1", "\u00a0a\u00a0b\u2003c",
+)
+
+
 class WordEncoder:
     """Whole-text ids from ids of the pieces between spaces and line feeds.
 
@@ -57,7 +64,8 @@ class WordEncoder:
     row. It also splits letters from marks and lower-cases, so a piece of Latin-1
     letters and trailing marks is the lower-cased letters and then the marks, and
     the letters are one pretoken, given to the model as byte letters.
-    Ids are kept as little-endian bytes, of pieces and of such cores.
+    Ids are kept as little-endian bytes, of pieces and of such cores. A file by
+    which the probes come out otherwise is used for whole texts instead.
     """
 
     def __init__(self, path: str, store: int = WORD_STORE):
@@ -68,6 +76,14 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {"": b""}
+        self.by_words = True
+        try:
+            self.by_words = self.encode(list(PROBES)) == self._whole(list(PROBES))
+        except Exception:  # noqa: BLE001 - a model of another kind may raise anything; whole texts need nothing of it
+            self.by_words = False
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _core(self, core: str) -> bytes:
         """Ids of a lower-case core of Latin-1 letters: one pretoken, so the model alone is asked."""
@@ -102,6 +118,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return self._whole(texts)
         if len(self.known) > self.store:
             self.known.clear()
         words = [t.replace("\n", " ").split(" ") for t in texts]

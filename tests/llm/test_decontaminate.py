@@ -74,3 +74,13 @@ def test_many_indexes_and_empty_tables(spark, monkeypatch):
     assert dc.contaminated(docs(spark, []), bench(spark, items)).collect() == []
     assert dc.contaminated(table, bench(spark, [])).collect() == []
     assert dc.drop_contaminated(table, bench(spark, [])).count() == 7
+
+
+def test_passes_over_many_indexes(spark, monkeypatch):
+    items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i} eta{i}. theta{i} iota{i}.") for i in range(7)]
+    rows = [(i, "so " + t.lower() + " then", "s") for i, t in items] + [(20, "clean words only here", "s"), (21, None, "s"), (None, items[3][1], "s")]
+    monkeypatch.setattr(dc, "INDEX_ITEMS", 2)
+    monkeypatch.setattr(dc, "INDEXES_A_PASS", 1)
+    assert len(dc._passes(docs(spark, rows), bench(spark, items))) == 4
+    assert sorted((str(r.doc_id), r.item_id) for r in dc.contaminated(docs(spark, rows), bench(spark, items)).collect()) == sorted([*((str(i), i) for i in range(7)), ("None", 3)])
+    assert sorted(r.doc_id for r in dc.drop_contaminated(docs(spark, rows), bench(spark, items)).collect()) == [20, 21]

@@ -68,3 +68,11 @@ def test_damage_is_found_and_frames_are_plain_zstandard():
             list(tf.FrameReader(io.BytesIO(bytes(bad))).documents())
     with pytest.raises((ValueError, zstandard.ZstdError)):
         tf.FrameReader(io.BytesIO(whole[:-3]))
+
+
+def test_other_vocabulary_files_are_used_for_whole_texts():
+    assert tf.WordEncoder(PATH).by_words
+    other = tokenizer_file("byte_bpe_50k.json")
+    coder, plain = tf.WordEncoder(other), Tokenizer.from_file(other)
+    assert not coder.by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(ODD)] == [plain.encode(t, add_special_tokens=False).ids for t in ODD]
