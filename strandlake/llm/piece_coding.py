@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from strandlake.llm.common import map_arrow, packed
-from strandlake.llm.piece_lattice import N_BEST, segmenter
+from strandlake.llm.piece_lattice import N_BEST, segmenter, spliced
 
 #: Texts segmented together.
-SLICE = 64
+SLICE = 128
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:
@@ -31,10 +31,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
                 best, scores, others = [], [], []
-                for units, own, changes in coder.segment_all([t.as_py() or "" for t in part.column(1)]):
-                    best.append(b"".join(units))
+                for first, ends, own, changes in coder.segment_all([t.as_py() or "" for t in part.column(1)]):
+                    best.append(first)
                     scores.append(own)
-                    others.append([b"".join([c.get(k, u) for k, u in enumerate(units)]) for c in changes[1:]])
+                    others.append([spliced(first, ends, c) for c in changes[1:]])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.binary()), pa.array(scores, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.binary()))], ["doc_id", "best", "scores", "others"])
 
     rows = packed(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -74,13 +74,12 @@ def code_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
             for at in range(0, b.num_rows, SLICE):
                 part, rows = b.slice(at, SLICE), []
                 texts = [t.as_py() or "" for t in part.column(1)]
-                for i, text, (units, scores, changes) in zip(part.column(0), texts, coder.segment_all(texts)):
-                    best = b"".join(units)
+                for i, text, (best, ends, scores, changes) in zip(part.column(0), texts, coder.segment_all(texts)):
                     decoded = coder.decode(best)
                     whole, rest = decoded == text, hashlib.sha256()
                     for c in changes[1:]:
-                        rest.update(b"".join([c.get(k, u) for k, u in enumerate(units)]) if len(c) else best)
-                        whole = whole and all(spelt(y) == spelt(units[k]) for k, y in c.items())
+                        rest.update(spliced(best, ends, c))
+                        whole = whole and all(spelt(y) == spelt(best[int(ends[k - 1]) if k else 0 : int(ends[k])]) for k, y in c.items())
                     rows.append(
                         dict(doc_id=i.as_py(), n_pieces=len(best) // 2, ids_sha256=hashlib.sha256(best).hexdigest(), best_score=scores[0], scores=",".join(map(str, scores)),
                              others_sha256=rest.hexdigest(), n_best=len(scores), decoded_chars=len(decoded), decoded_sha256=hashlib.sha256(decoded.encode()).hexdigest(), round_trip=whole)

@@ -31,8 +31,9 @@ SCALE = 1000
 #: Units kept in each of two generations, and the longest units (in characters) that are solved many at once.
 UNIT_STORE = 40_000
 TOGETHER = 32
-#: Units of one forward pass.
-UNITS_AT_ONCE = 1024
+#: Units of one forward pass, and edges of all of them at most.
+UNITS_AT_ONCE = 4096
+EDGES_AT_ONCE = 1 << 19
 NEVER = 1 << 60
 #: Stands for the id where a character is spelled in bytes.
 SPELLED = 0xFFFF
@@ -308,6 +309,15 @@ def n_best(edges, n: int) -> list[tuple[int, tuple[int, ...]]]:
     return found
 
 
+def spliced(best: bytes, ends: np.ndarray, change: dict[int, bytes]) -> bytes:
+    """The ids of a path that leaves the best one in the units of ``change``."""
+    parts, at = [], 0
+    for k in sorted(change):
+        parts += [best[at : int(ends[k - 1]) if k else 0], change[k]]
+        at = int(ends[k])
+    return b"".join([*parts, best[at:]])
+
+
 class Lattice:
     """Edges of a long unit, found when they are asked for."""
 
@@ -347,8 +357,10 @@ class Segmenter:
             else:
                 short.append(u)
         short.sort(key=len)
-        for k in range(0, len(short), UNITS_AT_ONCE):
-            part = short[k : k + UNITS_AT_ONCE]
+        while short:
+            n = max(1, min(UNITS_AT_ONCE, EDGES_AT_ONCE // max(1, len(short[-1])) ** 2))
+            part = short[-n:]
+            del short[-n:]
             found.update(zip(part, best_of_many(self.pieces, part)))
         if len(self.new) + len(found) > self.store:
             self.old, self.new = self.new, {}
@@ -371,26 +383,34 @@ class Segmenter:
         return [(s, struct.pack(f"<{len(ids)}H", *ids)) for s, ids in found]
 
     def segment(self, text: str) -> tuple[list[bytes], list[int], list[dict[int, bytes]]]:
-        """What ``segment_all`` gives for one text."""
-        return next(self.segment_all([text]))
+        """What ``segment_all`` gives for one text, with the ids unit by unit."""
+        best, ends, scores, changes = next(self.segment_all([text]))
+        starts = [0, *ends[:-1].tolist()]
+        return [best[a:b] for a, b in zip(starts, ends.tolist())], scores, changes
 
-    def segment_all(self, texts: list[str]) -> Iterator[tuple[list[bytes], list[int], list[dict[int, bytes]]]]:
-        """Per text the ids of the units on the best path, the N best scores, and for each of these what differs from the best."""
-        of_text = [self.units(t) for t in texts]
+    def segment_all(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, list[int], list[dict[int, bytes]]]]:
+        """Per text the ids of the best path, where each unit's ids end in it, the N best scores, and for each of these the units that differ from the best."""
         known = self.new
-        fresh = {u for units in of_text for u in units if u not in known}
+        of_text = [self.units(t) for t in texts]
+        of_known = [list(map(known.get, units)) for units in of_text]
+        fresh = {u for units, got in zip(of_text, of_known) if None in got for u, x in zip(units, got) if x is None}
         solved = self.solve(fresh) if fresh else {}
-        for units in of_text:
-            yield self._n_best(units, [known.get(u) or solved[u] for u in units])
+        for units, got in zip(of_text, of_known):
+            yield self._n_best(units, [x or solved[u] for u, x in zip(units, got)] if fresh else got)
 
-    def _n_best(self, units: list[str], got: list[bytes]) -> tuple[list[bytes], list[int], list[dict[int, bytes]]]:
+    def _n_best(self, units: list[str], got: list[bytes]) -> tuple[bytes, np.ndarray, list[int], list[dict[int, bytes]]]:
         """The N best of a text from its units and what solves them.
 
         A path among the N best leaves the best only in units of the N - 1 least
         margins, for each of those alone gives as many paths that are no worse.
         """
-        ids = [x[: -TAIL.size] for x in got]
-        tails = np.frombuffer(b"".join([x[-TAIL.size :] for x in got]), "<i8").reshape(-1, 2)
+        whole = np.frombuffer(b"".join(got), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        at_tail = (ends - TAIL.size)[:, None] + np.arange(TAIL.size)
+        tails = whole[at_tail].view("<i8")
+        inside = np.ones(len(whole), bool)
+        inside[at_tail] = False
+        best, ends = whole[inside].tobytes(), ends - TAIL.size * np.arange(1, len(got) + 1)
         score, margins = int(tails[:, 0].sum()), tails[:, 1].copy()
         few = []
         for _ in range(min(self.n - 1, len(margins))):
@@ -405,7 +425,7 @@ class Segmenter:
             ways = sorted((((*c, i), v + x[0]) for c, v in ways for i, x in enumerate(own)), key=lambda w: (-w[1], w[0]))[: self.n]
         scores = [score + v for _, v in ways]
         changes = [{x[i][1]: x[i][2] for x, i in zip(lists, c) if i} for c, _ in ways]
-        return ids, scores, changes
+        return best, ends, scores, changes
 
     def decode(self, data: bytes) -> str:
         """The text of ids given as little-endian unsigned 16-bit integers."""
