@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,9 +35,9 @@ CHECKSUM_FLAG = 0x80
 
 END_ID = 2
 #: Words kept per Python worker; the store is emptied when it is full.
-WORD_STORE = 600_000
+WORD_STORE = 800_000
 #: Documents encoded together.
-ENCODE_DOCS = 128
+ENCODE_DOCS = 1024
 #: ASCII marks that the tokenizer splits from letters before them.
 MARKS = ".,;:!?#$%&*|-+=/)]}"
 
@@ -89,8 +91,10 @@ class WordEncoder:
         """Ids of a lower-case core of Latin-1 letters: one pretoken, so the model alone is asked."""
         if not core.isascii():
             core = core.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = [t.id for t in self.model.tokenize(core)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = array("I", [t.id for t in self.model.tokenize(core)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _learn(self, missing: set[str]) -> None:
         if len(self.cores) > self.store:
