@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake import alphabet as ab
 
 MAX_K = 31
+MAX_AMINO_K = 12
 
 
 def _check(k: int) -> None:

@@ -11,10 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandlake import alphabet as ab
+
 #: Letters of a sequence that are worked on at once, and rows of one batch that a kernel gives back.
 BLOCK = 1 << 18
 ROWS_OUT = 1 << 16
 
+_AMINO = np.full(256, 255, np.uint8)
+_AMINO[np.frombuffer(ab.AMINO_ACIDS.encode(), np.uint8)] = np.arange(len(ab.AMINO_ACIDS))
 _TABLE = np.full(256, 4, np.uint8)
 _TABLE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
@@ -73,6 +77,19 @@ def minimizers(seq: bytes, k: int, w: int, fold: bool) -> Iterator[tuple[np.ndar
         yield pos, ids, mark
 
 
+def amino_counts(seq: bytes, k: int) -> Iterator[list]:
+    """Ids of amino-acid k-mers, five bits a residue, and how often each is in a block."""
+    for at in range(0, max(0, len(seq) - k + 1), BLOCK):
+        data = _AMINO[np.frombuffer(seq[at : at + BLOCK + k - 1], np.uint8)]
+        n = len(data) - k + 1
+        ids, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+        for j in range(k):
+            c = data[j : j + n].astype(np.int64)
+            bad |= c == 255
+            ids = ids << 5 | c
+        yield list(np.unique(ids[~bad], return_counts=True))
+
+
 def words(seq: bytes, starts: np.ndarray, k: int) -> pa.Array:
     """The ``k`` letters from each of ``starts`` on, as strings."""
     if not len(starts):

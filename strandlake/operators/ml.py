@@ -7,6 +7,9 @@ checked. Rows of vectors (one a row) are clustered by MLlib.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -91,14 +94,15 @@ def sample_vectors(long: DataFrame, k: int) -> DataFrame:
     return long.groupBy("sample").agg(near.alias("m")).select("sample", full.alias("x"))
 
 
-def kmeans(rows: DataFrame, k: int, distance: str = "e", seed: int = 42, id_col: str = "sample", array_col: str = "x") -> DataFrame:
+def kmeans(rows: DataFrame, k: int, distance: str = "e", seed: int = 42, id_col: str = "sample", array_col: str = "x", method: str = "mean") -> DataFrame:
     """Rows (id, cluster). distance: e euclidean; u uncentred and c centred correlation (cosine of the vectors,
     or of the vectors less their mean); s rank correlation; b city-block; a, x the absolute forms of c, u; k Kendall's tau.
 
-    e, u, c and s run in MLlib; b, a, x and k reassign medoids of a checked number of rows in numpy.
+    ``method`` says how a centre follows its rows, 'mean' or 'median'. Means under e, u,
+    c and s run in MLlib; all else moves centres in numpy, over a checked number of rows.
     """
     x = F.col(array_col).cast("array<double>")
-    if distance in ("e", "u", "c", "s"):
+    if distance in ("e", "u", "c", "s") and method == "mean":
         if distance == "s":
             x = F.transform(x, lambda v: F.size(F.filter(x, lambda y: y < v)) + (F.size(F.filter(x, lambda y: y == v)) + 1) / 2.0)
         if distance in ("c", "s"):
@@ -111,34 +115,56 @@ def kmeans(rows: DataFrame, k: int, distance: str = "e", seed: int = 42, id_col:
     table = rows.select(id_col, x.alias("x")).orderBy(id_col).limit(MAX_SAMPLES + 1).collect()
     if len(table) > MAX_SAMPLES:
         raise ValueError(f"more than {MAX_SAMPLES} rows")
-    labels = _medoids(np.array([r.x for r in table]), k, distance, seed)
+    data = np.array([r.x for r in table])
+    labels = _moving_centres(data, k, distance, method, seed) if len(data) else []
     return rows.sparkSession.createDataFrame([(r[id_col], int(c)) for r, c in zip(table, labels)], f"{id_col} {dict(rows.dtypes)[id_col]}, cluster int")
 
 
-def _medoids(x: np.ndarray, k: int, distance: str, seed: int) -> np.ndarray:
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks of each row's values; ties share their mean."""
+    return np.array([(r[None, :] < r[:, None]).sum(axis=1) + ((r[None, :] == r[:, None]).sum(axis=1) + 1) / 2 for r in x])
+
+
+def _to_centres(x: np.ndarray, centres: np.ndarray, distance: str) -> np.ndarray:
+    """Distances (rows x centres)."""
     if distance == "b":
-        d = np.array([np.abs(x - r).sum(axis=1) for r in x])
-    elif distance in ("a", "x"):
-        z = x - x.mean(axis=1, keepdims=True) if distance == "a" else x
-        norm = np.linalg.norm(z, axis=1, keepdims=True)
-        z = np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
-        d = 1 - np.abs(z @ z.T)
-    elif distance == "k":
-        signs = [np.sign(r[:, None] - r[None, :]) for r in x]
-        d = np.array([[1 - (a * b).sum() / max(1.0, np.sqrt((a * a).sum() * (b * b).sum())) for b in signs] for a in signs])
-    else:
-        raise ValueError(f"unknown distance {distance}")
-    rng = np.random.default_rng(seed)
-    centre = [int(rng.integers(len(x)))]
-    while len(centre) < min(k, len(x)):
-        centre.append(int(d[:, centre].min(axis=1).argmax()))
-    for _ in range(100):
-        label = d[:, centre].argmin(axis=1)
-        new = [int(m[d[np.ix_(m, m)].sum(axis=1).argmin()]) if len(m := np.flatnonzero(label == c)) else centre[c] for c in range(len(centre))]
-        if new == centre:
+        return np.abs(x[:, None] - centres[None]).mean(axis=2)
+    if distance == "e":
+        return ((x[:, None] - centres[None]) ** 2).mean(axis=2)
+    if distance == "k":
+        signs = lambda r: np.sign(r[:, None] - r[None, :])
+        of = [signs(c) for c in centres]
+        return np.array([[1 - (a * b).sum() / max(1.0, np.sqrt((a * a).sum() * (b * b).sum())) for b in of] for a in map(signs, x)])
+    if distance == "s":
+        x, centres = _ranks(x), _ranks(centres)
+    if distance in ("a", "x", "c", "u", "s"):
+        unit = lambda m: np.divide(m, n := np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=n > 0)
+        middle = lambda m: m - m.mean(axis=1, keepdims=True) if distance in ("a", "c", "s") else m
+        near = unit(middle(x)) @ unit(middle(centres)).T
+        return 1 - (np.abs(near) if distance in ("a", "x") else near)
+    raise ValueError(f"unknown distance {distance}")
+
+
+def _moving_centres(x: np.ndarray, k: int, distance: str, method: str, seed: int, rounds: int = 100) -> np.ndarray:
+    """Labels of k clusters: each centre moves to the mean or median of its rows until no row changes its cluster.
+
+    The first centre is a row picked by ``seed``, each next one the row furthest from those before.
+    """
+    if method not in ("mean", "median"):
+        raise ValueError("method is 'mean' or 'median'")
+    first = [int(np.random.default_rng(seed).integers(len(x)))]
+    while len(first) < min(k, len(x)):
+        first.append(int(_to_centres(x, x[first], distance).min(axis=1).argmax()))
+    centres, label = x[first].astype(np.float64), np.full(len(x), -1)
+    for _ in range(rounds):
+        new = _to_centres(x, centres, distance).argmin(axis=1)
+        if np.array_equal(new, label):
             break
-        centre = new
-    return d[:, centre].argmin(axis=1)
+        label = new
+        for c in range(len(centres)):
+            if (label == c).any():
+                centres[c] = (np.median if method == "median" else np.mean)(x[label == c], axis=0)
+    return label
 
 
 def kmeans_elbow(rows: DataFrame, most: int, seed: int = 42, id_col: str = "sample", array_col: str = "x") -> DataFrame:
@@ -175,6 +201,28 @@ def agreement(labels: DataFrame, a: str, b: str) -> DataFrame:
     return labels.sparkSession.createDataFrame([(float(hom), float(com), float(v), float(rand))], "homogeneity double, completeness double, v_measure double, adjusted_rand double")
 
 
+def adjusted_mutual_information(labels: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (adjusted_mutual_information): mutual information above its mean over all ways to deal the labels, as a share of the most there could be."""
+    table = [(r[0], r[1], r[2]) for r in labels.groupBy(a, b).agg(F.count("*").alias("n")).toLocalIterator()]
+    n = sum(c for *_, c in table)
+    rows, cols = {}, {}
+    for x, y, c in table:
+        rows[x], cols[y] = rows.get(x, 0) + c, cols.get(y, 0) + c
+    entropy = lambda m: -sum(c / n * math.log(c / n) for c in m.values())
+    mutual = sum(c / n * math.log(n * c / (rows[x] * cols[y])) for x, y, c in table)
+    fact = lambda v: math.lgamma(v + 1)
+    chance = 0.0
+    # Sizes repeat, so each pair of sizes is worked out once.
+    for p, np_ in Counter(rows.values()).items():
+        for q, nq in Counter(cols.values()).items():
+            for c in range(max(1, p + q - n), min(p, q) + 1):
+                weight = math.exp(fact(p) + fact(q) + fact(n - p) + fact(n - q) - fact(n) - fact(c) - fact(p - c) - fact(q - c) - fact(n - p - q + c))
+                chance += np_ * nq * c / n * math.log(n * c / (p * q)) * weight
+    most = (entropy(rows) + entropy(cols)) / 2
+    value = 1.0 if abs(most - chance) < 1e-15 else (mutual - chance) / (most - chance)
+    return labels.sparkSession.createDataFrame([(float(value),)], "adjusted_mutual_information double")
+
+
 def merge_tree(d: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, height, size) of a distance matrix; new clusters are numbered from its size up."""
     if method not in LINKAGES:

@@ -122,6 +122,14 @@ def multi_k(seqs: DataFrame, ks: list[int], fold: bool = True) -> DataFrame:
     return _counted(seqs, ks, fold, ()).groupBy("k", "kmer_id").agg(F.sum("n").alias("count"))
 
 
+def amino_profile(seqs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*by, kmer_id, count) of amino-acid k-mers by their five-bit ids; those with other letters are left out, strands don't exist."""
+    if not 1 <= k <= fn.MAX_AMINO_K:
+        raise ValueError(f"k must be 1..{fn.MAX_AMINO_K}")
+    counted = kernels.per_sequence(seqs, list(by), "kmer_id long, n long", lambda seq: kernels.amino_counts(seq, k))
+    return counted.groupBy(*by, "kmer_id").agg(F.sum("n").alias("count"))
+
+
 def chunk(seqs: DataFrame, k: int, size: int = 1_000_000) -> DataFrame:
     """Long sequences cut into pieces of ``size`` that overlap by k - 1, so every window stays in one piece."""
     step = max(1, size - k + 1)

@@ -282,3 +282,11 @@ SQL |= {
     "edge_round_trip": f"{weighted(K_EDGES)} SELECT * FROM we",
     "minimizer_round_trip": f"WITH {seqs()}, {win(K_PROFILE)}, {coded(K_PROFILE)} SELECT seq_id, pos, kmer_id, 1 AS is_min FROM win JOIN co USING (kmer) WHERE pos % {WINDOW} = 0",
 }
+
+# --- amino acids ---
+
+_amino_id = f"(strpos('{ab.AMINO_ACIDS}', substr(kmer, 1, 1)) - 1) * 32 + strpos('{ab.AMINO_ACIDS}', substr(kmer, 2, 1)) - 1"
+SQL |= {
+    "amino_profile": f"WITH {seqs(ab.AMINO_ACIDS)}, {win(2)} SELECT CAST({_amino_id} AS BIGINT) AS kmer_id, CAST(sum(n) AS BIGINT) AS count FROM (SELECT kmer, count(*) AS n FROM win GROUP BY kmer) GROUP BY 1",
+    "amino_encode": f"WITH {seqs(ab.AMINO_ACIDS)}, {win(2)} SELECT DISTINCT kmer, CAST({_amino_id} AS BIGINT) AS kmer_id FROM win",
+}

@@ -202,6 +202,17 @@ def composite_by_source(spark, sf_dir):
     return by_sample(spark, sf_dir, K_SMALL)
 
 
+@query
+def amino_profile(spark, sf_dir):
+    return shred.amino_profile(from_documents(documents(spark, sf_dir), ab.AMINO_ACIDS), 2)
+
+
+@query
+def amino_encode(spark, sf_dir):
+    rows = shred.windows(from_documents(documents(spark, sf_dir), ab.AMINO_ACIDS), 2, ()).select("kmer").distinct()
+    return rows.select("kmer", fn.encode_amino(F.col("kmer")).alias("kmer_id"))
+
+
 @query
 def multi_k(spark, sf_dir):
     return shred.multi_k(seqs(spark, sf_dir), [4, 5, 6])
@@ -532,6 +543,12 @@ def cluster_agreement(spark, sf_dir):
     return ml.agreement(found, "label", "cluster")
 
 
+@query
+def cluster_ami(spark, sf_dir):
+    found = kmeans(spark, sf_dir).join(_vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
+    return ml.adjusted_mutual_information(found, "label", "cluster")
+
+
 @query
 def linkage(spark, sf_dir):
     return ml.linkage(distance.pairwise(by_sample(spark, sf_dir), "euclidean", K_PAIRS))

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -263,3 +264,42 @@ def test_canonical_ids_by_arithmetic(spark):
         rows = [("".join(rng.choice("ACGT") for _ in range(k)),) for _ in range(50)]
         got = spark.createDataFrame(rows, "kmer string").selectExpr("kmer").withColumn("a", fn.canonical(fn.F.col("kmer"))).withColumn("b", fn.canonical_id(fn.encode(fn.F.col("kmer")), k)).collect()
         assert all(r.a == r.b for r in got)
+
+
+def test_moving_centres_follow_means_and_medians(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 12)) * 5
+    x = np.concatenate([b + rng.normal(size=(8, 12)) * 0.1 for b in base])
+    truth = np.repeat(np.arange(3), 8)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    for d in "beaxkcus":
+        for method in ("mean", "median"):
+            got = [r.cluster for r in ml.kmeans(rows, 3, d, id_col="id", method=method).orderBy("id").collect()]
+            assert len({(a, b) for a, b in zip(got, truth)}) == 3, (d, method)
+    centres = np.array([[0.0, 0.0], [10.0, 10.0]])
+    far = np.array([[1.0, 1.0], [9.0, 9.0], [9.0, 100.0]])
+    assert ml._to_centres(far, centres, "b").argmin(axis=1).tolist() == [0, 1, 1]
+
+
+def test_adjusted_mutual_information_against_all_permutations(spark):
+    a, b = [0, 0, 0, 1, 1, 2], [0, 0, 1, 1, 1, 2]
+
+    def mutual(x, y):
+        n, joint = len(x), Counter(zip(x, y))
+        p, q = Counter(x), Counter(y)
+        return sum(c / n * np.log(n * c / (p[i] * q[j])) for (i, j), c in joint.items())
+
+    chance = np.mean([mutual(a, list(p)) for p in itertools.permutations(b)])
+    entropy = lambda x: -sum(c / len(x) * np.log(c / len(x)) for c in Counter(x).values())
+    want = (mutual(a, b) - chance) / ((entropy(a) + entropy(b)) / 2 - chance)
+    rows = spark.createDataFrame(list(zip(a, b)), "a int, b int")
+    assert ml.adjusted_mutual_information(rows, "a", "b").first()[0] == pytest.approx(want)
+    assert ml.adjusted_mutual_information(rows, "a", "a").first()[0] == pytest.approx(1.0)
+
+
+def test_amino_profile(spark):
+    rows = table(spark, [("a", 1, "MKVLA"), ("a", 2, "KVxKV"), ("b", 3, None), ("b", 4, "M")])
+    from strandlake import alphabet as ab
+
+    code_of = lambda w: sum(ab.AMINO_ACIDS.index(c) << 5 * (len(w) - 1 - i) for i, c in enumerate(w))
+    assert counted(shred.amino_profile(rows, 2)) == {code_of("MK"): 1, code_of("KV"): 3, code_of("VL"): 1, code_of("LA"): 1}
