@@ -82,6 +82,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, led by as many underscores as keep them apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    lead = "__"
+    while any(f"{lead}{n}" in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes files of a run that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, which is cut already, marked for a broadcast if it has at most ``rows`` rows; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from strandlake.llm.common import cut, held_out, map_arrow, packed, written
+from strandlake.llm.common import cut, fresh, held_out, map_arrow, packed, written
 from strandlake.llm.doc_stats import NAMES, stats
 
 FEATURES = 256
@@ -192,17 +192,18 @@ def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cu
     """
     names = docs.columns
     at = names.index("text")
+    (made,) = fresh(docs, "x")
 
     def add(batches):
         for b in batches:
             text = b.column(at).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([stats(t.as_py()) for t in text], pa.list_(pa.float64()))], [*names, "__x"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([stats(t.as_py()) for t in text], pa.list_(pa.float64()))], [*names, made])
 
-    table = written(map_arrow(packed(docs), add, StructType([*docs.schema.fields, StructField("__x", ArrayType(DoubleType()))])), "statistics")
-    model = fit(table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__x").alias("x")), labels, label_col)
+    table = written(map_arrow(packed(docs), add, StructType([*docs.schema.fields, StructField(made, ArrayType(DoubleType()))])), "statistics")
+    model = fit(table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(made).alias("x")), labels, label_col)
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(calibrated(np.array(x.to_list(), np.float64).reshape(-1, len(NAMES)), model))
 
-    return table.where(score("__x") >= cutoff).select(names)
+    return table.where(score(made) >= cutoff).select(names)

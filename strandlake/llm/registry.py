@@ -27,22 +27,27 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null html gives '', repeated rows repeat, an empty table gives no rows."""
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document; null and empty texts score by the constant, null ids are not held out."""
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that match; null and empty texts match nothing."""
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document; null and empty texts score by zero statistics, null ids are not held out."""
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation and of the probe; null texts are empty, null ids one conversation."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -50,22 +55,27 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the N best segmentations of every document; a null text is empty, which is one space piece."""
     return piece_coding.code_report(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; null texts have the zero fingerprint, null ids the group of their fingerprint."""
     return simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document with verdicts by ownership; null texts hold none."""
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every twentieth one; unusable vectors take no part."""
     return vector_search.search(read_table(spark, sf_dir, "embeddings"))
 
 
 def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, size and checksum of every document's ids, read back from frame files; null texts hold the end id only."""
     return token_frames.token_files(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, map_arrow, packed
+from strandlake.llm.common import cut, fresh, map_arrow, packed
 
 # The base kinds, in listed order, with the group that must reach the length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -212,25 +212,26 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     Only texts that may hold a secret are ever shuffled.
     """
     docs = packed(docs)
+    key, spans, new_text = fresh(docs, "key", "live", "text")
     live = F.filter("judged", lambda s: s["verdict"] == "live")
-    placed = cut(judged(cut(candidates(docs))).select(F.col("key").alias("__key"), live.alias("__live")).where(F.size("__live") > 0))
-    few = _is_small(placed, "__live")
+    placed = cut(judged(cut(candidates(docs))).select(F.col("key").alias(key), live.alias(spans)).where(F.size(spans) > 0))
+    few = _is_small(placed, spans)
 
     @F.arrow_udf("string")
     def hidden(text: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([None if t is None else masked(t, s, mask) for t, s in zip(text.to_pylist(), spans.to_pylist())], pa.string())
 
-    on = F.xxhash64(F.col("text")) == F.col("__key")
+    on = F.xxhash64(F.col("text")) == F.col(key)
     if few:
         joined = docs.join(F.broadcast(placed), on, "left")
     else:
         may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
         joined = docs.where(may).join(placed, on, "left").unionByName(docs.where(~may), allowMissingColumns=True)
     # Texts without live spans don't leave the JVM.
-    rows = joined.withColumn("__text", hidden(F.when(F.col("__live").isNotNull(), F.col("text")), F.col("__live")))
-    new = {"text": F.coalesce("__text", F.col("text"))}
+    rows = joined.withColumn(new_text, hidden(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans)))
+    new = {"text": F.coalesce(new_text, F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__text").isNotNull(), F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(new_text).isNotNull(), F.length(new_text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded, cut, map_arrow, packed
+from strandlake.llm.common import bounded, cut, fresh, map_arrow, packed
 from strandlake.llm.components import connected_components
 from strandlake.llm.fingerprints import simhash
 
@@ -157,15 +157,16 @@ def keep_one_per_group(docs: DataFrame, posting_limit: int = POSTING_LIMIT) -> D
     texts = rows.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
     per_fp = texts.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first")).join(of_fp, "fp")
     kept = per_fp.groupBy("group").agg(F.min("first").alias("first")).select("first.doc_id", "first.key", F.lit(True).alias("keep"))
-    known = texts.join(kept, ["doc_id", "key"], "left").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.coalesce("keep", F.lit(False)).alias("__keep"), "n")
+    own_id, own_key, other_id, other_key, stays = fresh(docs, "own_id", "own_key", "other_id", "other_key", "stays")
+    known = texts.join(kept, ["doc_id", "key"], "left").select(F.col("doc_id").alias(other_id), F.col("key").alias(other_key), F.coalesce("keep", F.lit(False)).alias(stays), "n")
     # The rows that go, and those that are there more than once.
-    odd = cut(known.where(~F.col("__keep") | (F.col("n") > 1)).drop("n"), rows.count())
-    goes, twice = odd.where(~F.col("__keep")).drop("__keep"), odd.where("__keep").drop("__keep")
-    keyed = packed(docs).withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_key": _key(F.col("text"))})
-    on = (F.col("__own_id") == F.col("__id")) & (F.col("__own_key") == F.col("__key"))
+    odd = cut(known.where(~F.col(stays) | (F.col("n") > 1)).drop("n"), rows.count())
+    goes, twice = odd.where(~F.col(stays)).drop(stays), odd.where(stays).drop(stays)
+    keyed = packed(docs).withColumns({own_id: F.col("doc_id").cast("long"), own_key: _key(F.col("text"))})
+    on = (F.col(own_id) == F.col(other_id)) & (F.col(own_key) == F.col(other_key))
     left = keyed.join(bounded(goes), on, "left_anti")
     if twice.isEmpty():
         return left.select(docs.columns)
     single = left.join(bounded(twice), on, "left_anti").select(docs.columns)
-    repeated = left.join(bounded(twice), on, "left_semi").dropDuplicates(["__own_id", "__own_key"]).select(docs.columns)
+    repeated = left.join(bounded(twice), on, "left_semi").dropDuplicates([own_id, own_key]).select(docs.columns)
     return single.unionByName(repeated)

@@ -101,3 +101,76 @@ def test_label_model_finds_accuracies_and_repeats():
     assert abs(m.fire[1, 2] - 0.7) < 0.1 and m.fire[0, 3] > 0.25
     assert m.correlation[0, 4] > 0.9 and m.weight[0] < 0.7 < m.weight[2]
     assert ((m.posterior(votes.astype(float), 1.0) > 0.5) == y).mean() > 0.96
+
+
+def brute_quality(rows, marks):
+    """Scores of every text by dense algebra over the whole table at once."""
+    x = np.array([stats(t) for _, t, _ in rows])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    part = {i: zlib.crc32(str(i).encode()) % 5 for i, _, _ in rows}
+    known = {i: q for i, q, _ in marks if not held(i)}
+    at = [k for k, (i, _, _) in enumerate(rows) if i in known]
+    z = quality.fourier(x, mean, scale)
+    y = np.array([known[rows[k][0]] for k in at], float)
+    last = np.array([part[rows[k][0]] == 4 for k in at])
+    zf, yf = z[at][~last], y[~last]
+    a = zf.T @ zf
+    penalty = quality.RIDGE * len(zf) / quality.FEATURES * np.eye(len(a))
+    penalty[-1, -1] = 0
+    raw = z @ np.linalg.lstsq(a + penalty, zf.T @ yf, rcond=None)[0]
+    own, target = raw[at][last], y[last]
+    box = np.floor((np.clip(own, -0.5, 1.5) + 0.5) * (quality.BINS / 2)).astype(int)
+    bins = sorted(set(box.tolist()))
+    knots = np.array([own[box == b].mean() for b in bins])
+    w = np.array([(box == b).sum() for b in bins], float)
+    share = np.array([target[box == b].mean() for b in bins])
+    smooth = (share * w + target.mean() * 0.5) / (w + 0.5)
+    # The isotonic fit as the greatest mean from the left of the least mean to the right.
+    rising = [max(min(np.average(smooth[lo : hi + 1], weights=w[lo : hi + 1]) for hi in range(k, len(w))) for lo in range(k + 1)) for k in range(len(w))]
+    return np.clip(np.interp(raw, knots, rising), 0, 1)
+
+
+def test_quality_matches_brute_force(spark):
+    rows, marks = corpus(300)
+    got = {r.doc_id: r.score for r in quality.classify(docs(spark, rows), labels(spark, marks)).collect()}
+    want = brute_quality(rows, marks)
+    assert np.allclose([got[i] for i, _, _ in rows], want, atol=1e-6)
+
+
+def brute_vocabulary(rows, marks):
+    known = {i: t for i, _, t in marks if not held(i)}
+    groups: dict = {}
+    for i, text, _ in rows:
+        words = toxicity.words_of(text) if i in known else set()
+        if words:
+            least = min(toxicity.xxhash.xxh64_intdigest(w) for w in words) >> 16
+            for w in words:
+                for x in toxicity.tokens(w):
+                    own = groups.setdefault(x, (set(), set(), set()))
+                    own[known[i]].add(least)
+                    if known[i]:
+                        own[2].add(w)
+    base = sum(known.values()) / len(known)
+    kept = []
+    for x, (clean, toxic, words) in groups.items():
+        if len(toxic) >= toxicity.MIN_GROUPS and len(toxic) >= toxicity.MIN_SHARE * (len(toxic) + len(clean)) and (not x.endswith("*") or len(words) >= toxicity.MIN_WORDS):
+            if toxicity.chance(len(toxic), len(toxic) + len(clean), base) < toxicity.MAX_CHANCE:
+                kept.append(x)
+    return sorted(kept), base
+
+
+def test_toxicity_matches_brute_force(spark):
+    rows, marks = corpus(300)
+    vocabulary, prior = brute_vocabulary(rows, marks)
+    assert toxicity.induce(docs(spark, rows).coalesce(1).select("doc_id", "text"), labels(spark, marks), "toxic") == (vocabulary, prior)
+    reader = toxicity.Reader(vocabulary)
+    read = [reader.read(t) for _, t, _ in rows]
+    pattern, n = np.unique([p for p, _ in read], return_counts=True)
+    model = label_model.fit(pattern, n, toxicity.VOTERS, prior)
+    extra = [[*h, *(len(vocabulary) + k for k in range(len(toxicity.LEXICONS)) if p >> k & 1)] for p, h in read]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0], read[k][0], read[k][1]))
+    target = model.posterior(label_model.unpack(np.array([read[k][0] for k in order]), toxicity.VOTERS))
+    weights, bias = toxicity.train_logistic([extra[k] for k in order], target, len(vocabulary) + len(toxicity.LEXICONS))
+    want = [1 / (1 + np.exp(-np.clip(bias + weights[e].sum(), -50, 50))) for e in extra]
+    got = {r.doc_id: r.score for r in toxicity.classify(docs(spark, rows).coalesce(1), labels(spark, marks)).collect()}
+    assert np.allclose([got[i] for i, _, _ in rows], want, atol=1e-6)

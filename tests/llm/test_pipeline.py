@@ -4,7 +4,7 @@ import corpus_pipeline
 from strandlake.llm import common
 from strandlake.llm.registry import QUERIES
 
-from tests.llm.helpers import labels
+from tests.llm.helpers import awkward, docs, labels
 from tests.llm.test_classifiers import corpus
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_secrets import brute as spans
@@ -68,3 +68,33 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_dedup", "decontamination", "secret_scans", "piece_coding"]
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and ids, clashing extra columns, empty tables."""
+    small(spark, str(tmp_path))
+    item = common.read_table(spark, str(tmp_path), "benchmark").where("item_id = 3").first().text
+    rows = awkward() + [(1, "another text under a used id, long enough to be told apart", "a"), (None, None, None), (40, item, None), (None, item, "b"), (41, "key AKIA" + "Q7RZP2LM9XVB4KTN83WD", None)]
+    table = docs(spark, rows).withColumn("__x", common.F.lit(1)).withColumn("judged", common.F.lit("j"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, table, str(tmp_path))
+        none = stage(spark, table.limit(0), str(tmp_path))
+        assert none.collect() == [] and none.columns == got.columns
+        kept = [(r.doc_id, r.text) for r in got.collect()] if name != "piece_coding" else []
+        if name == "piece_coding":
+            assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i, *_ in rows)
+            continue
+        assert got.columns == table.columns
+        every = [(i, t) for i, t, _ in rows]
+        if name == "quality_classifier":
+            assert set(kept) <= set(every)
+        elif name == "simhash_dedup":
+            pairs = [(i, brute_fingerprint(t)) for i, t in every if i is not None]
+            least = brute_components(pairs)
+            stay = {(i, t or "") for i, t in every if i is not None and least[brute_fingerprint(t)] == i}
+            assert sorted((i, t or "") for i, t in kept if i is not None) == sorted(stay)
+            assert sorted(t or "" for i, t in kept if i is None) == sorted(t or "" for i, t in every if i is None)
+        elif name == "decontamination":
+            assert sorted(map(str, kept)) == sorted(str(x) for x in every if x[1] != item)
+        else:
+            assert sorted(map(str, kept)) == sorted(str((i, "key [SECRET]" if i == 41 else t)) for i, t in every)
