@@ -13,7 +13,7 @@ from strandlake.llm.common import map_arrow, packed
 from strandlake.llm.piece_lattice import N_BEST, segmenter, spliced
 
 #: Texts segmented together.
-SLICE = 128
+SLICE = 512
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:

@@ -21,7 +21,8 @@ import struct
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
-from itertools import islice
+from itertools import compress, islice
+from operator import not_
 
 import numpy as np
 
@@ -29,11 +30,13 @@ UNIT = re.compile(r"\n| *[^ \n]+| +")
 SHIFT = 2.7
 SCALE = 1000
 #: Units kept in each of two generations, and the longest units (in characters) that are solved many at once.
-UNIT_STORE = 40_000
+UNIT_STORE = 200_000
 TOGETHER = 32
 #: Units of one forward pass, and edges of all of them at most.
 UNITS_AT_ONCE = 4096
 EDGES_AT_ONCE = 1 << 19
+#: A key is a score times TOGETHER plus a piece's length less one, within 32 bits; keys this low are of no edge.
+NO_EDGE = -(1 << 29)
 NEVER = 1 << 60
 #: Stands for the id where a character is spelled in bytes.
 SPELLED = 0xFFFF
@@ -156,7 +159,8 @@ class Steps:
                 score.append(-NEVER if own is None else own)
                 ids.append(own_id)
                 self.deepest = max(self.deepest, depth)
-        self.score, self.ids = np.array(score, np.int64), np.array(ids, np.int64)
+        self.edge = np.array([NO_EDGE if x == -NEVER else x * TOGETHER for x in score], np.int32)
+        self.ids = np.array(ids, np.int64)
         #: Number of each character that pieces hold, by code point; 0 for all others.
         self.letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)
         for c, k in letters.items():
@@ -204,9 +208,9 @@ def best_of_many(pieces: Pieces, units: list[str]) -> list[bytes]:
     text = np.zeros((n, longest), np.int64)
     text[inside] = points
     letter = np.where(text < len(steps.letter), steps.letter[np.minimum(text, len(steps.letter) - 1)], 0)
-    # Scores and ids of edges by length, start and unit. A character without a piece of its own is spelled.
+    # Keys and ids of edges by length, start and unit. A character without a piece of its own is spelled.
     deepest = max(1, min(steps.deepest, longest))
-    score, ids = np.full((deepest, longest, n), -NEVER, np.int64), np.zeros((deepest, longest, n), np.uint16)
+    edge, ids = np.full((deepest, longest, n), NO_EDGE, np.int32), np.zeros((deepest, longest, n), np.uint16)
     unit, start = np.nonzero(inside)
     node = np.zeros(len(unit), np.int64)
     for k in range(deepest):
@@ -215,33 +219,37 @@ def best_of_many(pieces: Pieces, units: list[str]) -> list[bytes]:
         node = steps.next(node, letter[unit, start + k])
         on = node > 0
         unit, start, node = unit[on], start[on], node[on]
-        score[k, start, unit], ids[k, start, unit] = steps.score[node], steps.ids[node]
-    lone = inside.T & (score[0] == -NEVER)
-    cost = pieces.floor * (1 + (text > 0x7F).astype(np.int64) + (text > 0x7FF) + (text > 0xFFFF)).T
-    score[0][lone], ids[0][lone] = cost[lone], SPELLED
-    best, second = np.full((longest + 1, n), -NEVER, np.int64), np.full((longest + 1, n), -NEVER, np.int64)
-    size_of, id_of = np.zeros((longest + 1, n), np.int64), np.zeros((longest + 1, n), np.uint16)
-    best[0] = 0
+        edge[k, start, unit], ids[k, start, unit] = steps.edge[node] + np.int32(k), steps.ids[node]
+    lone = inside.T & (edge[0] == NO_EDGE)
+    cost = (pieces.floor * TOGETHER) * (1 + (text > 0x7F).astype(np.int32) + (text > 0x7FF) + (text > 0xFFFF)).T
+    edge[0][lone], ids[0][lone] = cost[lone], SPELLED
+    # The best and the second best key up to every node; of equal scores the key of the longest piece is the best.
+    best, second = np.full((longest + 1, n), NO_EDGE, np.int32), np.full((longest + 1, n), 2 * NO_EDGE, np.int32)
+    at = np.zeros((longest + 1, n), np.int32)
+    key, less = np.empty(n, np.int32), np.empty(n, np.int32)
     for j in range(1, longest + 1):
-        for k in range(min(j, deepest) - 1, -1, -1):
-            v = best[j - 1 - k] + score[k, j - 1 - k]
-            more = v > best[j]
-            np.copyto(second[j], np.where(more, best[j], np.maximum(second[j], v)))
-            best[j][more], size_of[j][more], id_of[j][more] = v[more], k + 1, ids[k, j - 1 - k][more]
+        for k in range(min(j, deepest)):
+            np.add(at[j - 1 - k], edge[k, j - 1 - k], out=key)
+            np.minimum(best[j], key, out=less)
+            np.maximum(second[j], less, out=second[j])
+            np.maximum(best[j], key, out=best[j])
+        np.bitwise_and(best[j], -TOGETHER, out=at[j])
+    reached = at // TOGETHER
     # Back along the best paths of all units at once; ids fill their rows from the right.
     every = np.arange(n)
-    row, at, margin, used = np.zeros((n, longest), np.uint16), sizes.copy(), np.full(n, NEVER, np.int64), np.zeros(n, np.int64)
+    row, at_end, margin, used = np.zeros((n, longest), np.uint16), sizes.copy(), np.full(n, NEVER, np.int64), np.zeros(n, np.int64)
     while True:
-        on = np.flatnonzero(at > 0)
+        on = np.flatnonzero(at_end > 0)
         if not len(on):
             break
-        j = at[on]
-        margin[on] = np.minimum(margin[on], best[j, on] - second[j, on])
+        j = at_end[on]
+        other = second[j, on]
+        margin[on] = np.minimum(margin[on], np.where(other > NO_EDGE // 2, reached[j, on] - other // TOGETHER, np.int64(NEVER)))
         used[on] += 1
-        row[on, longest - used[on]] = id_of[j, on]
-        at[on] -= size_of[j, on]
-    margin[margin >= NEVER // 2] = NEVER
-    tail = np.stack([best[sizes, every], margin], axis=1).astype("<i8").tobytes()
+        k = best[j, on] % TOGETHER
+        row[on, longest - used[on]] = ids[k, j - 1 - k, on]
+        at_end[on] -= k + 1
+    tail = np.stack([reached[sizes, every], margin], axis=1).astype("<i8").tobytes()
     flat, width = row.astype("<u2").tobytes(), 2 * longest
     spelled = ((row == SPELLED) & (np.arange(longest) >= longest - used[:, None])).any(axis=1)
     out = [flat[(i + 1) * width - 2 * u : (i + 1) * width] + tail[16 * i : 16 * i + 16] for i, u in enumerate(used.tolist())]
@@ -364,8 +372,11 @@ class Segmenter:
             found.update(zip(part, best_of_many(self.pieces, part)))
         if len(self.new) + len(found) > self.store:
             self.old, self.new = self.new, {}
-        room = self.store - len(self.new)
-        self.new.update((u, x) for u, x in islice(found.items(), room) if len(u) <= LONGEST_KEPT)
+        if len(found) <= self.store and not any(len(u) > LONGEST_KEPT for u in found):
+            self.new.update(found)
+        else:
+            room = self.store - len(self.new)
+            self.new.update((u, x) for u, x in islice(found.items(), room) if len(u) <= LONGEST_KEPT)
         return found
 
     def alternatives(self, unit: str) -> list[tuple[int, bytes]]:
@@ -393,10 +404,13 @@ class Segmenter:
         known = self.new
         of_text = [self.units(t) for t in texts]
         of_known = [list(map(known.get, units)) for units in of_text]
-        fresh = {u for units, got in zip(of_text, of_known) if None in got for u, x in zip(units, got) if x is None}
+        fresh = set()
+        for units, got in zip(of_text, of_known):
+            fresh.update(compress(units, map(not_, got)))
         solved = self.solve(fresh) if fresh else {}
         for units, got in zip(of_text, of_known):
-            yield self._n_best(units, [x or solved[u] for u, x in zip(units, got)] if fresh else got)
+            # A unit that was known stands for itself where nothing new was solved for it.
+            yield self._n_best(units, list(map(solved.get, units, got)) if fresh else got)
 
     def _n_best(self, units: list[str], got: list[bytes]) -> tuple[bytes, np.ndarray, list[int], list[dict[int, bytes]]]:
         """The N best of a text from its units and what solves them.
