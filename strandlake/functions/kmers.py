@@ -18,7 +18,7 @@ def _check(k: int) -> None:
 
 def clean(text: Column, alphabet: str = "ACGT") -> Column:
     """Letters of ``alphabet`` only, upper-cased. Filtering comes first: upper-casing may make letters."""
-    return F.upper(F.regexp_replace(text, f"[^{alphabet}{alphabet.lower()}]", ""))
+    return F.upper(F.regexp_replace(text, f"[^{alphabet}{alphabet.lower()}]+", ""))
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -1,11 +1,13 @@
 """Numpy kernels over sequences, for Arrow batches: k-mer ids with positions, minimizers, edges, codons, log-odds.
 
-A sequence is read in blocks, so what a kernel holds doesn't grow with it.
+A sequence is read in blocks, and short ones are laid end to end in blocks, so what a kernel holds grows neither with
+a sequence nor with a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,14 @@ from pyspark.sql import DataFrame
 
 from strandlake import alphabet as ab
 
-#: Letters of a sequence that are worked on at once, and rows of one batch that a kernel gives back.
-BLOCK = 1 << 18
+#: Letters that are worked on at once, and rows of one batch that a kernel gives back.
+BLOCK = 1 << 16
 ROWS_OUT = 1 << 16
+#: Bytes of one Arrow batch; a session's own setting goes first.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_LIMIT = "2097152"
+#: The longest k-mers whose ids fit into 32 bits.
+NARROW_K = 15
 
 _AMINO = np.full(256, 255, np.uint8)
 _AMINO[np.frombuffer(ab.AMINO_ACIDS.encode(), np.uint8)] = np.arange(len(ab.AMINO_ACIDS))
@@ -28,6 +35,14 @@ def identity(seqs: DataFrame) -> list[str]:
     return [c for c in ("sample", "seq_id") if c in seqs.columns]
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, so that a Python worker's memory doesn't grow with the table."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, BATCH_LIMIT)
+    return df.mapInArrow(run, schema)
+
+
 def codes(seq: bytes) -> np.ndarray:
     """0..3 for A, C, G, T and 4 for any other letter."""
     return _TABLE[np.frombuffer(seq, np.uint8)]
@@ -38,15 +53,76 @@ def positions_and_ids(data: np.ndarray, k: int, fold: bool) -> tuple[np.ndarray,
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ids, back, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    kind = np.int32 if k <= NARROW_K else np.int64
+    bad = np.zeros(n, bool)
+    unknown = np.flatnonzero(data > 3)
+    for j in range(k):
+        near = unknown - j
+        bad[near[(near >= 0) & (near < n)]] = True
+    letters = data.astype(kind)
+    ids = np.zeros(n, kind)
     for j in range(k):
-        c = data[j : j + n].astype(np.int64)
-        bad |= c > 3
-        ids = ids * 4 + c
-        if fold:
-            back += (3 - c) << (2 * j)
+        ids <<= 2
+        ids |= letters[j : j + n] & 3
     at = np.flatnonzero(~bad)
-    return at, (np.minimum(ids, back) if fold else ids)[at]
+    ids = ids[at]
+    if fold:
+        # The other strand's id: letters in reverse order, each taken from 3.
+        back, rest = np.zeros(len(ids), kind), ~ids
+        for _ in range(k):
+            back <<= 2
+            back |= rest & 3
+            rest >>= 2
+        ids = np.minimum(ids, back)
+    return at, ids.astype(np.int64)
+
+
+@dataclass
+class Laid:
+    """Pieces of sequences laid end to end with a break after each: ``data`` are their bytes, ``rows`` the sequences they
+    are of, ``starts`` where they begin in ``data`` and ``offsets`` where in their sequence."""
+
+    data: np.ndarray
+    rows: np.ndarray
+    starts: np.ndarray
+    offsets: np.ndarray
+
+    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, positions in their sequences) of places in ``data``."""
+        piece = np.repeat(np.arange(len(self.rows)), np.diff(self.starts, append=len(self.data) + 1))[at]
+        return self.rows[piece], at - self.starts[piece] + self.offsets[piece]
+
+    def whole(self, k: int) -> np.ndarray:
+        """Places of all windows of ``k`` letters that lie in one piece, whatever the letters."""
+        lengths = np.diff(self.starts, append=len(self.data) + 1) - 1
+        fits = np.maximum(lengths - k + 1, 0)
+        return np.arange(fits.sum()) + np.repeat(self.starts - (np.cumsum(fits) - fits), fits)
+
+
+def laid(seqs: list[bytes | None], k: int) -> Iterator[Laid]:
+    """All sequences of at least ``k`` letters, in order, in blocks of about BLOCK letters.
+
+    Pieces of a long one overlap by k - 1, so that every window is in just one.
+    """
+    parts, rows, offsets, size = [], [], [], 0
+
+    def block():
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        return Laid(np.frombuffer(b"\n".join(parts), np.uint8), np.array(rows, np.int64), np.cumsum(lengths) - lengths, np.array(offsets, np.int64))
+
+    for r, seq in enumerate(seqs):
+        if seq is None:
+            continue
+        for at in range(0, len(seq) - k + 1, BLOCK):
+            parts.append(seq[at : at + BLOCK + k - 1])
+            rows.append(r)
+            offsets.append(at)
+            size += len(parts[-1])
+            if size >= BLOCK:
+                yield block()
+                parts, rows, offsets, size = [], [], [], 0
+    if parts:
+        yield block()
 
 
 def blocks(seq: bytes, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -90,15 +166,38 @@ def amino_counts(seq: bytes, k: int) -> Iterator[list]:
         yield list(np.unique(ids[~bad], return_counts=True))
 
 
-def words(seq: bytes, starts: np.ndarray, k: int) -> pa.Array:
+def words(seq: bytes | np.ndarray, starts: np.ndarray, k: int) -> pa.Array:
     """The ``k`` letters from each of ``starts`` on, as strings."""
     if not len(starts):
         return pa.array([], pa.string())
-    letters = np.lib.stride_tricks.sliding_window_view(np.frombuffer(seq, np.uint8), k)[starts]
+    data = seq if isinstance(seq, np.ndarray) else np.frombuffer(seq, np.uint8)
+    letters = np.lib.stride_tricks.sliding_window_view(data, k)[starts]
     offsets = np.arange(len(starts) + 1, dtype=np.int32) * k
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters)))
 
 
+def per_batch(seqs: DataFrame, keep: list[str], made: str, kernel: Callable[..., Iterator[tuple[np.ndarray, list]]], more: list[str] = ()) -> DataFrame:
+    """Rows (*keep, made): what ``kernel(seqs, *more)`` gives for the sequences of a batch, as (rows, equally long arrays).
+
+    The kernel gets lists, with null sequences as None; ``rows`` say which sequence's ``keep`` columns a result has.
+    """
+    kinds = dict(seqs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), made])
+    names = [*keep, *(part.split()[0] for part in made.split(", "))]
+    width = len(keep)
+
+    def run(batches):
+        for b in batches:
+            own = [b.column(i) for i in range(width)]
+            extra = [b.column(width + 1 + i).to_pylist() for i in range(len(more))]
+            for rows, arrays in kernel(b.column(width).cast(pa.binary()).to_pylist(), *extra):
+                for i in range(0, len(rows), ROWS_OUT):
+                    cut = pa.array(rows[i : i + ROWS_OUT])
+                    yield pa.RecordBatch.from_arrays([*(c.take(cut) for c in own), *(_arrow(x[i : i + ROWS_OUT]) for x in arrays)], names)
+
+    return map_arrow(seqs.select(*keep, "seq", *more), run, schema)
+
+
 def per_sequence(seqs: DataFrame, keep: list[str], made: str, kernel: Callable[..., Iterator[list]], more: list[str] = ()) -> DataFrame:
     """Rows (*keep, made): what ``kernel(seq, *more)`` gives for every sequence, as lists of equally long arrays.
 
@@ -136,7 +235,7 @@ def per_sequence(seqs: DataFrame, keep: list[str], made: str, kernel: Callable[.
             if parts:
                 yield flush()
 
-    return seqs.select(*keep, "seq", *more).mapInArrow(run, schema)
+    return map_arrow(seqs.select(*keep, "seq", *more), run, schema)
 
 
 def _arrow(x) -> pa.Array:

@@ -1,23 +1,26 @@
 """Sequences to k-mer occurrences and profiles.
 
-Sequences are rows (sample, seq_id, seq). Two plans make profiles: the
-expression plan, which groups k-mer strings and encodes distinct ones only, and
-the Arrow plan, whose kernel counts encoded k-mers of a batch before the shuffle.
+Sequences are rows (sample, seq_id, seq). Kernels cut windows and count them before
+the shuffle, as ids or, where ambiguity codes are expanded, as words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake import alphabet as ab
 from strandlake.functions import kmers as fn
 from strandlake.operators import kernels
 
 #: Up to this k a task counts in dense vectors, of so many cells together; above it a batch is counted by sorting.
 DENSE_K = 10
 DENSE_CELLS = 1 << 23
+#: Up to so many possible words a task counts words in dense vectors.
+DENSE_WORDS = 1 << 16
 
 
 def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sample", "seq_id")) -> DataFrame:
@@ -50,6 +53,69 @@ def occurrences(seqs: DataFrame, k: int, ambiguous: str = "expand", fold: bool =
     return rows.withColumn("kmer_id", (fn.canonical if fold else fn.encode)(F.col("kmer")))
 
 
+def word_counts(seqs: DataFrame, k: int, letters: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*by, kmer, n): how often each window of ``k`` of the ASCII ``letters`` is there.
+
+    Few possible words are counted in dense vectors that last for the task, others block by block.
+    """
+    table = np.full(256, 255, np.uint8)
+    table[np.frombuffer(letters.encode(), np.uint8)] = np.arange(len(letters))
+    size, cells = len(letters), len(letters) ** k
+
+    def word(i: int) -> str:
+        return "".join(letters[i // size**j % size] for j in reversed(range(k)))
+
+    def run(batches):
+        dense: dict[tuple, np.ndarray] = {}
+        types = [None] * len(by)
+
+        def rows(key, found, counts):
+            return pa.RecordBatch.from_arrays([*(pa.array([v] * len(found), t) for v, t in zip(key, types)), found, pa.array(counts, pa.int64())], [*by, "kmer", "n"])
+
+        def emptied():
+            for key, total in dense.items():
+                found = np.flatnonzero(total)
+                yield rows(key, pa.array([word(int(i)) for i in found], pa.string()), total[found])
+            dense.clear()
+
+        for b in batches:
+            types = [b.schema.field(i).type for i in range(len(by))]
+            for key, own in _grouped(b, len(by)):
+                for block in kernels.laid(own, k):
+                    codes = table[block.data]
+                    n = len(codes) - k + 1
+                    ids, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+                    for j in range(k):
+                        bad |= codes[j : j + n] == 255
+                        if cells <= DENSE_WORDS:
+                            ids = ids * size + codes[j : j + n]
+                    if cells > DENSE_WORDS:
+                        met = pc.value_counts(kernels.words(block.data, np.flatnonzero(~bad), k))
+                        yield rows(key, met.field("values"), met.field("counts"))
+                        continue
+                    if key not in dense:
+                        if (len(dense) + 1) * cells > DENSE_CELLS:
+                            yield from emptied()
+                        dense[key] = np.zeros(cells, np.int64)
+                    dense[key] += np.bincount(ids[~bad], minlength=cells)
+        yield from emptied()
+
+    kinds = dict(seqs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "kmer string, n long"])
+    return kernels.map_arrow(seqs.select(*by, "seq"), run, schema).groupBy(*by, "kmer").agg(F.sum("n").alias("n"))
+
+
+def _grouped(batch: pa.RecordBatch, width: int) -> list[tuple[tuple, list[bytes]]]:
+    """The sequences in the column after ``width`` key columns, by key."""
+    groups: dict[tuple, list[bytes]] = {}
+    seqs = batch.column(width).cast(pa.binary()).to_pylist()
+    keys = list(zip(*(batch.column(i).to_pylist() for i in range(width)))) if width else [()] * len(seqs)
+    for key, s in zip(keys, seqs):
+        if s is not None:
+            groups.setdefault(key, []).append(s)
+    return list(groups.items())
+
+
 def profile(seqs: DataFrame, k: int, ambiguous: str = "expand", fold: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows (*by, kmer_id, count): strings are counted first, so only distinct ones are expanded and encoded."""
     counted = windows(seqs, k, by).groupBy(*by, "kmer").agg(F.count("*").alias("n"))

@@ -45,7 +45,7 @@ def tidy(value: Column | str, digits: int = 6) -> Column:
 
 
 def distinct_kmers(spark: SparkSession, sf_dir: str, k: int = K_SMALL) -> DataFrame:
-    return shred.windows(seqs(spark, sf_dir), k, ()).select("kmer").distinct()
+    return shred.word_counts(seqs(spark, sf_dir), k, ab.BASES).select("kmer")
 
 
 def whole_profile(spark: SparkSession, sf_dir: str, k: int = K_PROFILE, fold: bool = True) -> DataFrame:
@@ -101,7 +101,7 @@ def revcomp(spark, sf_dir):
 @query
 def are_neighbors(spark, sf_dir):
     """K-mers two apart against each other and consecutive ones: some neighbours, some not."""
-    w = shred.windows(seqs(spark, sf_dir), K_SMALL + 2, ()).select("kmer").distinct()
+    w = distinct_kmers(spark, sf_dir, K_SMALL + 2)
     a = F.substring("kmer", 1, K_SMALL)
     pairs = w.select(a.alias("kmer1"), F.col("kmer").substr(2, K_SMALL).alias("kmer2")).union(w.select(a.alias("kmer1"), F.col("kmer").substr(3, K_SMALL).alias("kmer2"))).distinct()
     x, y = F.col("kmer1"), F.col("kmer2")
@@ -209,7 +209,7 @@ def amino_profile(spark, sf_dir):
 
 @query
 def amino_encode(spark, sf_dir):
-    rows = shred.windows(from_documents(documents(spark, sf_dir), ab.AMINO_ACIDS), 2, ()).select("kmer").distinct()
+    rows = shred.word_counts(from_documents(documents(spark, sf_dir), ab.AMINO_ACIDS), 2, ab.AMINO_ACIDS).select("kmer")
     return rows.select("kmer", fn.encode_amino(F.col("kmer")).alias("kmer_id"))
 
 

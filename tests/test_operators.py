@@ -303,3 +303,24 @@ def test_amino_profile(spark):
 
     code_of = lambda w: sum(ab.AMINO_ACIDS.index(c) << 5 * (len(w) - 1 - i) for i, c in enumerate(w))
     assert counted(shred.amino_profile(rows, 2)) == {code_of("MK"): 1, code_of("KV"): 3, code_of("VL"): 1, code_of("LA"): 1}
+
+
+def test_words_of_any_letters_are_counted_in_blocks(spark):
+    from strandlake import alphabet as ab
+
+    seq = "".join(random.Random(3).choice(ab.AMINO_ACIDS) for _ in range(2 * kernels.BLOCK + 50))
+    rows = table(spark, [("a", 1, seq), ("b", 2, "MKxVé"), ("a", 3, None), ("b", 4, "M")])
+    want = Counter(seq[i : i + 2] for i in range(len(seq) - 1)) + Counter(["MK"])
+    counts = shred.word_counts(rows, 2, ab.AMINO_ACIDS)
+    assert {r.kmer: r.n for r in counts.collect()} == dict(want)
+    # Sequences are neither cut to substrings in the JVM, at a cost of their length squared, nor exploded.
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    by = {(r["sample"], r.kmer): r.n for r in shred.word_counts(table(spark), 6, "ACGT", ("sample",)).collect()}
+    assert by == dict(Counter((x, s[i : i + 6]) for x, _, s in SEQS for i in range(len(s or "") - 5) if set(s[i : i + 6]) <= set("ACGT")))
+
+
+def test_no_query_on_distinct_words_explodes_windows(spark):
+    from strandlake.plans.queries import QUERIES
+
+    for name in ["amino_encode", "kmer_encode"]:
+        assert "posexplode" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
