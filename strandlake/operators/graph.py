@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,49 @@ def degrees(weighted: DataFrame) -> DataFrame:
     return ends.groupBy("kmer_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") + F.col("o")).alias("degree"))
 
 
+def nodes_of(seqs: DataFrame, k: int, fold: bool = True) -> DataFrame:
+    """``nodes(edges(seqs, k))`` without the edges: of each batch only where its nodes first show is shuffled."""
+    keep = kernels.identity(seqs)
+    own = sorted(keep, reverse=True)
+    if not {t for c, t in seqs.dtypes if c in keep} <= {"string", "tinyint", "smallint", "int", "bigint"}:
+        return nodes(edges(seqs, k, fold=fold))
+
+    def run(batches):
+        for b in batches:
+            keys = pa.Table.from_batches([b]).select(own)
+            # In order of identity, nulls first, as Spark compares; a repeated identity has a turn of its own.
+            order = pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in own], null_placement="at_start").to_pylist()
+            listed = list(zip(*(keys.column(c).to_pylist() for c in own)))
+            seqs, turns, times = b.column(len(keep)).cast(pa.binary()).to_pylist(), {}, {}
+            for r in order:
+                times[listed[r]] = times.get(listed[r], -1) + 1
+                turns.setdefault(times[listed[r]], []).append(r)
+            for turn in turns.values():
+                yield from firsts(b, np.array(turn), [seqs[r] for r in turn])
+
+    def firsts(b, turn, seqs):
+        seen = np.zeros(0, np.int64)
+        for block in kernels.laid(seqs, k + 1):
+            data = kernels.codes(block.data)
+            edge, _ = kernels.positions_and_ids(data, k + 1, False)
+            met = np.zeros(len(data) + 1, bool)
+            met[edge] = met[edge + 1] = True
+            at, ids = kernels.positions_and_ids(data, k, fold)
+            at, ids = at[met[at]], ids[met[at]]
+            found, first = np.unique(ids, return_index=True)
+            new = ~np.isin(found, seen, assume_unique=True)
+            found, at = found[new], at[first[new]]
+            seen = np.union1d(seen, found)
+            rows, pos = block.place(at)
+            rows = pa.array(turn[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(b.column(i).take(rows) for i in range(len(keep))), pa.array(pos.astype(np.int32)), kernels.words(block.data, at, k)], names)
+
+    names = ["kmer_id", *keep, "pos", "kmer"]
+    kinds = dict(seqs.dtypes)
+    found = kernels.map_arrow(seqs.select(*keep, "seq"), run, ", ".join(["kmer_id long", *(f"{c} {kinds[c]}" for c in keep), "pos int, kmer string"]))
+    return found.groupBy("kmer_id").agg(F.min(F.struct(*own, "pos", "kmer")).alias("at")).select("kmer_id", "at.*")
+
+
 def smallest_degree(degree_rows: DataFrame) -> DataFrame:
     """One row: the least id among nodes of least degree."""
     return degree_rows.agg(F.min(F.struct("degree", "kmer_id")).alias("m")).select("m.kmer_id", "m.degree")

@@ -381,7 +381,7 @@ def distinct_edges(spark, sf_dir):
 
 @query
 def nodes(spark, sf_dir):
-    return graph.nodes(graph.edges(seqs(spark, sf_dir), K_EDGES)).drop("sample")
+    return graph.nodes_of(seqs(spark, sf_dir), K_EDGES).drop("sample")
 
 
 @query

@@ -324,3 +324,18 @@ def test_no_query_on_distinct_words_explodes_windows(spark):
 
     for name in ["amino_encode", "kmer_encode"]:
         assert "posexplode" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_nodes_without_edges(spark):
+    rng = random.Random(12)
+    seq = lambda n: "".join(rng.choice("ACGT" * 5 + "N") for _ in range(n))
+    for ids in ("long", "string"):
+        rows = [(rng.choice(["x", "y", None]), rng.choice([None, *range(-5, 12)]), seq(rng.randint(0, 60))) for _ in range(60)] + [("x", 3, seq(100_000))]
+        rows = [(a, i if ids == "long" or i is None else f"é{i}", s) for a, i, s in rows]
+        t = spark.createDataFrame(rows, f"sample string, seq_id {ids}, seq string").repartition(3)
+        for k in (3, 5):
+            assert sorted(map(str, graph.nodes_of(t, k).collect())) == sorted(map(str, graph.nodes(graph.edges(t, k)).collect()))
+    few = "/root/testdata/sf0.001"
+    from strandlake.plans.queries import QUERIES
+
+    assert "kmer_id2" not in QUERIES["nodes"](spark, few)._jdf.queryExecution().optimizedPlan().toString()
