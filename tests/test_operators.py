@@ -339,3 +339,32 @@ def test_nodes_without_edges(spark):
     from strandlake.plans.queries import QUERIES
 
     assert "kmer_id2" not in QUERIES["nodes"](spark, few)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_seed_matches_need_no_join(spark, monkeypatch):
+    rng = random.Random(21)
+    seq = lambda n: "".join(rng.choice("ACGT" * 8 + "N") for _ in range(n))
+    make = lambda rows: spark.createDataFrame(rows, "sample string, seq_id long, seq string")
+    query = [(rng.choice("xy"), i, seq(rng.randint(0, 300))) for i in range(40)] + [("x", 90, None), (None, 91, seq(70_000))]
+    items = make([(rng.choice(["p", None]), i % 15, seq(80)) for i in range(20)])
+    rows = lambda q, r: sorted(map(str, minimizers.seed_matches(q, r, 4, 3).collect()))
+    for q in (make(query), make(query + [("x", 3, seq(50)), query[5]])):
+        for a, b in ((q, items), (q.drop("sample"), items.drop("sample"))):
+            got = rows(a, b)
+            with monkeypatch.context() as m:
+                m.setattr(minimizers, "SEED_ROWS", 3)
+                assert got == rows(a, b) and len(got) > 100
+    plan = minimizers.seed_matches(make(query), items, 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert minimizers.seed_matches(make(query), items.where("false"), 4, 3).collect() == []
+
+
+def test_seed_pairs_are_counted_some_at_a_time(monkeypatch):
+    index = np.array([1, 1, 2, 5, 5, 5]), np.array([0, 1, 0, 0, 1, 2]), [kernels.pa.array(["a", "b", "c"])]
+    rows, ids = np.array([0, 0, 2, 2, 3]), np.array([1, 5, 2, 7, 5])
+    found = lambda: [(int(r), c.as_py(), int(n)) for rs, (names, ns) in minimizers._matches(index, rows, ids) for r, c, n in zip(rs, names, ns)]
+    want = [(0, "a", 2), (0, "b", 2), (0, "c", 1), (2, "a", 1), (3, "a", 1), (3, "b", 1), (3, "c", 1)]
+    assert found() == want
+    for most in (1, 4, 6):
+        monkeypatch.setattr(minimizers, "MEETINGS", most)
+        assert found() == want
