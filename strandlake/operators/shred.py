@@ -25,9 +25,22 @@ DENSE_WORDS = 1 << 16
 
 def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sample", "seq_id")) -> DataFrame:
     """Rows (*keep, pos, kmer): every window of ``k`` letters, positions from 0. Shorter sequences give none."""
-    n = F.length("seq") - k
-    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.col("seq").substr(i + 1, F.lit(k)))
-    return seqs.where(F.length("seq") >= k).select(*keep, F.posexplode(F.when(n >= 0, cut)).alias("pos", "kmer"))
+
+    def kernel(seqs):
+        for block in kernels.laid([s if s is not None and s.isascii() else None for s in seqs], k):
+            at = block.whole(k)
+            rows, pos = block.place(at)
+            yield rows, [pos.astype(np.int32), kernels.words(block.data, at, k)]
+        for r, seq in enumerate(seqs):
+            # Letters of more than one byte: positions count letters.
+            if seq is None or seq.isascii():
+                continue
+            seq = seq.decode()
+            for at in range(0, len(seq) - k + 1, kernels.BLOCK):
+                pos = np.arange(at, min(at + kernels.BLOCK, len(seq) - k + 1), dtype=np.int32)
+                yield np.full(len(pos), r), [pos, pa.array([seq[i : i + k] for i in pos.tolist()], pa.string())]
+
+    return kernels.per_batch(seqs, list(keep), "pos int, kmer string", kernel)
 
 
 def occurrences(seqs: DataFrame, k: int, ambiguous: str = "expand", fold: bool = True, strict: bool = False) -> DataFrame:
@@ -43,16 +56,28 @@ def occurrences(seqs: DataFrame, k: int, ambiguous: str = "expand", fold: bool =
     if strict:
         wrong = (F.length("seq") < k) | ~fn.is_nucleotide(F.col("seq"))
         seqs = seqs.withColumn("seq", F.when(wrong, F.raise_error(F.concat(F.lit("unfit sequence "), F.col("seq_id").cast("string")))).otherwise(F.col("seq")))
-    rows = windows(seqs, k)
-    plain = F.col("kmer").rlike("^[ACGT]+$")
     if ambiguous == "drop":
-        rows = rows.where(plain)
-    else:
-        own = F.when(plain, F.array("kmer")).otherwise(fn.expand(F.col("kmer")))
-        rows = rows.withColumn("kmer", F.explode(own))
+        return _known(seqs, k, fold)
+    rows = windows(seqs, k)
+    own = F.when(F.col("kmer").rlike("^[ACGT]+$"), F.array("kmer")).otherwise(fn.expand(F.col("kmer")))
+    rows = rows.withColumn("kmer", F.explode(own))
     return rows.withColumn("kmer_id", (fn.canonical if fold else fn.encode)(F.col("kmer")))
 
 
+def _known(seqs: DataFrame, k: int, fold: bool) -> DataFrame:
+    """Rows (sample, seq_id, pos, kmer, kmer_id) of the k-mers of ACGT only; positions count letters."""
+
+    def kernel(seqs):
+        # A letter of several bytes is put down as one unknown byte, so that places are positions.
+        seqs = [s if s is None or s.isascii() else s.decode().encode("ascii", "replace") for s in seqs]
+        for block in kernels.laid(seqs, k):
+            at, ids = kernels.positions_and_ids(kernels.codes(block.data), k, fold)
+            rows, pos = block.place(at)
+            yield rows, [pos.astype(np.int32), kernels.words(block.data, at, k), ids]
+
+    return kernels.per_batch(seqs, ["sample", "seq_id"], "pos int, kmer string, kmer_id long", kernel)
+
+
 def word_counts(seqs: DataFrame, k: int, letters: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows (*by, kmer, n): how often each window of ``k`` of the ASCII ``letters`` is there.
 

@@ -368,3 +368,16 @@ def test_seed_pairs_are_counted_some_at_a_time(monkeypatch):
     for most in (1, 4, 6):
         monkeypatch.setattr(minimizers, "MEETINGS", most)
         assert found() == want
+
+
+def test_windows_and_occurrences_of_long_and_foreign_texts(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("ACGT" * 9 + "N") for _ in range(kernels.BLOCK + 500))
+    rows = table(spark, [("a", 1, "ACGTéACG\nTAC"), ("a", 2, long), ("b", 3, None), (None, 4, "AC"), ("b", None, "𝔸CGTA")])
+    text = {r.seq_id: r.seq for r in rows.collect() if r.seq}
+    got = shred.windows(rows, 3)
+    cut = {(i, p, s[p : p + 3]) for i, s in text.items() for p in range(len(s) - 2)}
+    assert {(r.seq_id, r.pos, r.kmer) for r in got.collect()} == cut and got.count() == len(cut)
+    known = shred.occurrences(rows, 3, "drop")
+    assert {(r.seq_id, r.pos, r.kmer, r.kmer_id) for r in known.collect()} == {(i, p, w, min(code(w), code(rc(w)))) for i, p, w in cut if set(w) <= set("ACGT")}
+    assert all("posexplode" not in x._jdf.queryExecution().executedPlan().toString() for x in (got, known))
