@@ -156,8 +156,8 @@ def profile(seqs: DataFrame, k: int, ambiguous: str = "expand", fold: bool = Tru
 def _counted(seqs: DataFrame, ks: list[int], fold: bool, by: tuple[str, ...]) -> DataFrame:
     """Partial rows (*by, k, kmer_id, n) of every k, from one pass over the sequences.
 
-    Sequences of a batch are laid end to end with breaks between, so a window
-    never crosses them. Small k are counted in dense vectors that last for the
+    Sequences of a batch are laid end to end in blocks, with breaks between, so a
+    window never crosses them. Small k are counted in dense vectors that last for the
     task, so a task gives each id of a group about once.
     """
 
@@ -177,15 +177,9 @@ def _counted(seqs: DataFrame, ks: list[int], fold: bool, by: tuple[str, ...]) ->
 
         for b in batches:
             types = [b.schema.field(i).type for i in range(len(by))]
-            groups: dict[tuple, list[bytes]] = {}
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by))))) if by else [()] * b.num_rows
-            for key, s in zip(keys, b.column(len(by)).cast(pa.binary()).to_pylist()):
-                if s is not None:
-                    groups.setdefault(key, []).append(s)
-            for key, parts in groups.items():
-                data = kernels.codes(b"\n".join(parts))
-                for k in ks:
-                    ids = kernels.positions_and_ids(data, k, fold)[1]
+            for key, own in _grouped(b, len(by)):
+                for k, block in ((k, block) for k in ks for block in kernels.laid(own, k)):
+                    ids = kernels.positions_and_ids(kernels.codes(block.data), k, fold)[1]
                     if k > DENSE_K:
                         yield rows(key, k, *np.unique(ids, return_counts=True))
                         continue
@@ -195,12 +189,15 @@ def _counted(seqs: DataFrame, ks: list[int], fold: bool, by: tuple[str, ...]) ->
                             held = 0
                         dense[key, k] = np.zeros(4**k, np.int64)
                         held += 4**k
-                    dense[key, k] += np.bincount(ids, minlength=4**k)
+                    if 4**k > kernels.BLOCK:
+                        np.add.at(dense[key, k], ids, 1)
+                    else:
+                        dense[key, k] += np.bincount(ids, minlength=4**k)
         yield from emptied()
 
     kinds = dict(seqs.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "k int, kmer_id long, n long"])
-    return seqs.select(*by, "seq").mapInArrow(run, schema)
+    return kernels.map_arrow(seqs.select(*by, "seq"), run, schema)
 
 
 def profile_fast(seqs: DataFrame, k: int, fold: bool = True, by: tuple[str, ...] = ()) -> DataFrame:

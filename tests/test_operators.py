@@ -381,3 +381,17 @@ def test_windows_and_occurrences_of_long_and_foreign_texts(spark):
     known = shred.occurrences(rows, 3, "drop")
     assert {(r.seq_id, r.pos, r.kmer, r.kmer_id) for r in known.collect()} == {(i, p, w, min(code(w), code(rc(w)))) for i, p, w in cut if set(w) <= set("ACGT")}
     assert all("posexplode" not in x._jdf.queryExecution().executedPlan().toString() for x in (got, known))
+
+
+def test_a_kernel_holds_blocks_not_batches(spark):
+    rng = random.Random(6)
+    seqs = [None, b"", *("".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 3000))).encode() for _ in range(200)), b"ACGTT" * kernels.BLOCK]
+    whole = list(kernels.laid(seqs, 4))
+    assert max(len(b.data) for b in whole) <= 2 * kernels.BLOCK + 3
+    met = [(int(r), int(p)) for b in whole for r, p in zip(*b.place(b.whole(4)))]
+    assert met == [(r, p) for r, s in enumerate(seqs) for p in range(len(s or b"") - 3)]
+    shred.profile_fast(table(spark), 4)
+    assert int(spark.conf.get(kernels.BATCH_BYTES).rstrip("b")) <= 2 << 20
+    long = [("a", 1, "GATTACAN" * 20_000), ("a", 2, "ACGT")]
+    got = {(r.k, r.kmer_id): r["count"] for r in shred.multi_k(table(spark, long), [2, 11]).collect()}
+    assert got == {(k, i): n for k in (2, 11) for i, n in brute(k, seqs=long).items()}
