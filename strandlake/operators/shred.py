@@ -142,12 +142,12 @@ def _grouped(batch: pa.RecordBatch, width: int) -> list[tuple[tuple, list[bytes]
 
 
 def profile(seqs: DataFrame, k: int, ambiguous: str = "expand", fold: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (*by, kmer_id, count): strings are counted first, so only distinct ones are expanded and encoded."""
-    counted = windows(seqs, k, by).groupBy(*by, "kmer").agg(F.count("*").alias("n"))
-    plain = F.col("kmer").rlike("^[ACGT]+$")
+    """Rows (*by, kmer_id, count): words are counted first, so only distinct ones are expanded and encoded."""
     if ambiguous == "drop":
-        counted = counted.where(plain)
+        counted = windows(seqs, k, by).where(F.col("kmer").rlike("^[ACGT]+$")).groupBy(*by, "kmer").agg(F.count("*").alias("n"))
     else:
+        counted = word_counts(seqs, k, "".join(ab.IUPAC), by)
+        plain = F.col("kmer").rlike("^[ACGT]+$")
         counted = counted.withColumn("kmer", F.explode(F.when(plain, F.array("kmer")).otherwise(fn.expand(F.col("kmer")))))
     coded = counted.withColumn("kmer_id", (fn.canonical if fold else fn.encode)(F.col("kmer")))
     return coded.groupBy(*by, "kmer_id").agg(F.sum("n").alias("count"))

@@ -395,3 +395,17 @@ def test_a_kernel_holds_blocks_not_batches(spark):
     long = [("a", 1, "GATTACAN" * 20_000), ("a", 2, "ACGT")]
     got = {(r.k, r.kmer_id): r["count"] for r in shred.multi_k(table(spark, long), [2, 11]).collect()}
     assert got == {(k, i): n for k in (2, 11) for i, n in brute(k, seqs=long).items()}
+
+
+def test_expanding_profile_has_no_windows_in_rows(spark):
+    rows = [("a", 1, "ARANNTé" + "GATTACA" * 20), ("b", 2, "acgt"), ("b", 3, None)]
+    got = shred.profile(table(spark, rows), 3, "expand", False)
+    want = Counter()
+    from strandlake import alphabet as ab
+
+    for _, _, s in rows:
+        for i in range(len(s or "") - 2):
+            if all(c in ab.IUPAC for c in s[i : i + 3]):
+                want.update(code("".join(w)) for w in itertools.product(*(ab.IUPAC[c] for c in s[i : i + 3])))
+    assert counted(got) == dict(want)
+    assert "posexplode" not in got._jdf.queryExecution().executedPlan().toString()
