@@ -153,7 +153,7 @@ def neighbors(spark, sf_dir):
 
 @query
 def iupac_expand(spark, sf_dir):
-    rows = shred.windows(seqs(spark, sf_dir, "iupac"), 3, ()).select("kmer").distinct()
+    rows = shred.word_counts(seqs(spark, sf_dir, "iupac"), 3, ALPHABETS["iupac"]).select("kmer")
     return rows.select("kmer", F.explode(fn.expand(F.col("kmer"))).alias("expansion"))
 
 

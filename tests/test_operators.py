@@ -409,3 +409,10 @@ def test_expanding_profile_has_no_windows_in_rows(spark):
                 want.update(code("".join(w)) for w in itertools.product(*(ab.IUPAC[c] for c in s[i : i + 3])))
     assert counted(got) == dict(want)
     assert "posexplode" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ambiguous_words_are_counted_before_they_are_expanded(spark):
+    from strandlake.plans.queries import QUERIES
+
+    plan = QUERIES["iupac_expand"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "MapInArrow" in plan
