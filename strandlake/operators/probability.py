@@ -46,19 +46,25 @@ def _by_table(seqs: DataFrame, keep: list[str], profile: DataFrame, bases: DataF
     base[single == 0] = np.nan
     tables = seqs.sparkSession.sparkContext.broadcast((step, start, base))
 
-    def kernel(seq):
+    def summed(worth, rows, n):
+        known = ~np.isnan(worth)
+        return np.bincount(rows[known], worth[known], n), np.bincount(rows[known], minlength=n)
+
+    def kernel(seqs):
         step, start, base = tables.value
-        p, q, met, seen = 0.0, 0.0, 0, 0
-        for at, data in kernels.blocks(seq, k):
-            pos, ids = kernels.positions_and_ids(data, k, False)
-            worth = step[ids]
-            if at == 0 and len(pos) and pos[0] == 0:
-                worth[0] = start[ids[0]]
-            p, met = p + np.nansum(worth), met + int((~np.isnan(worth)).sum())
-        for at, data in kernels.blocks(seq, 1):
-            worth = base[data[data < 4]]
-            q, seen = q + np.nansum(worth), seen + int((~np.isnan(worth)).sum())
-        if met and seen:
-            yield [np.array([p]), np.array([q]), np.array([p - q])]
+        n = len(seqs)
+        p, q, met, seen = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for block in kernels.laid(seqs, k):
+            at, ids = kernels.positions_and_ids(kernels.codes(block.data), k, False)
+            rows, pos = block.place(at)
+            more, times = summed(np.where(pos == 0, start[ids], step[ids]), rows, n)
+            p, met = p + more, met + times
+        for block in kernels.laid(seqs, 1):
+            data = kernels.codes(block.data)
+            at = np.flatnonzero(data < 4)
+            more, times = summed(base[data[at]], block.place(at)[0], n)
+            q, seen = q + more, seen + times
+        found = np.flatnonzero((met > 0) & (seen > 0))
+        yield found, [p[found], q[found], (p - q)[found]]
 
-    return kernels.per_sequence(seqs, keep, "log_p double, log_null double, log_odds double", kernel)
+    return kernels.per_batch(seqs, keep, "log_p double, log_null double, log_odds double", kernel)

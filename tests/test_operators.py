@@ -416,3 +416,22 @@ def test_ambiguous_words_are_counted_before_they_are_expanded(spark):
 
     plan = QUERIES["iupac_expand"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "MapInArrow" in plan
+
+
+def test_log_odds_of_long_and_short_sequences(spark):
+    rng = random.Random(14)
+    rows = [("a", i, "".join(rng.choice("ACGT" * 9 + "N") for _ in range(n))) for i, n in enumerate([0, 2, 3, 5, 80_000, 150_000, 40])] + [("a", 9, None)]
+    t = table(spark, rows)
+    spark.conf.unset(kernels.BATCH_BYTES)
+    got = {r.seq_id: r for r in probability.markov_log_odds(t, shred.profile_fast(t, 3, False), shred.profile_fast(t, 1, False), 3).collect()}
+    count, base = brute(3, False, rows), brute(1, False, rows)
+    for _, i, s in rows:
+        ids = [(p, code(s[p : p + 3])) for p in range(len(s or "") - 2) if "N" not in s[p : p + 3]]
+        if not ids:
+            assert i not in got
+            continue
+        p = sum(np.log(count[j] / (sum(count.values()) if at == 0 else sum(count.get(j // 4 * 4 + x, 0) for x in range(4)))) for at, j in ids)
+        q = sum(np.log(base[code(c)] / sum(base.values())) for c in s if c != "N")
+        assert got[i].log_p == pytest.approx(p, rel=1e-9) and got[i].log_null == pytest.approx(q, rel=1e-9) and got[i].log_odds == pytest.approx(p - q, rel=1e-6)
+    # A worker gets batches of bounded bytes.
+    assert int(spark.conf.get(kernels.BATCH_BYTES).rstrip("b")) <= 2 << 20
