@@ -435,3 +435,8 @@ def test_log_odds_of_long_and_short_sequences(spark):
         assert got[i].log_p == pytest.approx(p, rel=1e-9) and got[i].log_null == pytest.approx(q, rel=1e-9) and got[i].log_odds == pytest.approx(p - q, rel=1e-6)
     # A worker gets batches of bounded bytes.
     assert int(spark.conf.get(kernels.BATCH_BYTES).rstrip("b")) <= 2 << 20
+
+
+def test_dropping_profile_counts_in_kernels(spark):
+    got = shred.profile(table(spark), 3, "drop")
+    assert counted(got) == brute(3) and "Generate" not in got._jdf.queryExecution().executedPlan().toString()
