@@ -17,18 +17,24 @@ EDGE = "pos1 int, kmer_id1 long, kmer1 string, pos2 int, kmer_id2 long, kmer2 st
 
 
 def _edge_kernel(k: int, fold: bool, with_rank: bool):
-    """Edges of a sequence block by block; with ``with_rank`` each with its rank in the sequence, from ``first`` on."""
+    """Edges of the sequences of a batch; with ``with_rank`` each with its rank in its sequence, from ``first`` on."""
 
-    def kernel(seq, first=0):
-        for at, data in kernels.blocks(seq, k + 1):
-            pos, ids = kernels.positions_and_ids(data, k + 1, False)
+    def kernel(seqs, first=()):
+        begin, last, passed = np.array(first, np.int64), -1, 0
+        for block in kernels.laid(seqs, k + 1):
+            data = kernels.codes(block.data)
+            at, _ = kernels.positions_and_ids(data, k + 1, False)
             # Both ends are windows of the block; those without an edge are passed over.
             of, ends = kernels.positions_and_ids(data, k, fold)
-            near = np.searchsorted(of, pos)
-            start = pos + at
-            rank = [np.arange(first, first + len(pos))] if with_rank else []
-            yield [*rank, start.astype("int32"), ends[near], kernels.words(seq, start, k), (start + 1).astype("int32"), ends[near + 1] if len(pos) else ids, kernels.words(seq, start + 1, k)]
-            first += len(pos)
+            near = np.searchsorted(of, at)
+            rows, start = block.place(at)
+            rank = []
+            if with_rank:
+                # Rows rise, so edges of a sequence are neighbours; those of its earlier blocks have been passed.
+                rank = [begin[rows] + np.arange(len(at)) - np.searchsorted(rows, rows) + np.where(rows == last, passed, 0)]
+                end = block.rows[-1]
+                last, passed = end, int((rows == end).sum()) + (passed if end == last else 0)
+            yield rows, [*rank, start.astype(np.int32), ends[near], kernels.words(block.data, at, k), (start + 1).astype(np.int32), ends[near + 1] if len(at) else at, kernels.words(block.data, at + 1, k)]
 
     return kernel
 
@@ -42,7 +48,7 @@ def edges(seqs: DataFrame, k: int, ambiguous: str = "drop", fold: bool = True) -
     """
     keep = kernels.identity(seqs)
     if ambiguous == "drop":
-        return kernels.per_sequence(seqs, keep, EDGE, _edge_kernel(k, fold, False))
+        return kernels.per_batch(seqs, keep, EDGE, _edge_kernel(k, fold, False))
     pairs = shred.windows(seqs, k + 1, tuple(keep)).select(*keep, F.col("pos").alias("pos1"), (F.col("pos") + 1).alias("pos2"), "kmer")
     own = F.when(F.col("kmer").rlike("^[ACGT]+$"), F.array("kmer")).otherwise(fn.expand(F.col("kmer")))
     pairs = pairs.withColumn("kmer", F.explode(own)).withColumn("kmer1", F.substring("kmer", 1, k)).withColumn("kmer2", F.col("kmer").substr(2, k))
@@ -60,20 +66,23 @@ def indexed_edges(seqs: DataFrame, k: int, fold: bool = True) -> DataFrame:
     keep = kernels.identity(seqs)
     order = sorted(keep, reverse=True)
 
-    def counted(seq):
-        n = 0
-        for _, data in kernels.blocks(seq, k + 1):
-            bad = np.concatenate([[0], np.cumsum(data > 3)])
-            n += int((bad[k + 1 :] == bad[: -k - 1]).sum()) if len(data) > k else 0
-        yield [np.array([n])]
+    def counted(seqs):
+        total = np.zeros(len(seqs), np.int64)
+        for block in kernels.laid(seqs, k + 1):
+            bad = np.concatenate([[0], np.cumsum(kernels.codes(block.data) > 3)])
+            total += np.bincount(block.place(np.flatnonzero(bad[k + 1 :] == bad[: -k - 1]))[0], minlength=len(seqs))
+        found = np.flatnonzero(total)
+        yield found, [total[found]]
 
-    sizes = kernels.per_sequence(seqs, keep, "n long", counted).groupBy(*keep).agg(F.sum("n").alias("n"), F.count("*").alias("times"))
+    # Read several times below: one short row a sequence, kept so that the sequences are read once for it.
+    sizes = kernels.per_batch(seqs, keep, "n long", counted).groupBy(*keep).agg(F.sum("n").alias("n"), F.count("*").alias("times")).persist()
     if sizes.where("times > 1").limit(1).count():
+        sizes.unpersist()
         return with_index(edges(seqs, k, fold=fold), order[0], [*order[1:], "pos1"])
     first = running_sum(sizes.drop("times"), order, "n", "first").select(*keep, "first")
     on = [seqs[c].eqNullSafe(first[c]) for c in keep]
     placed = seqs.join(first, on, "inner").select(*[seqs[c] for c in keep], seqs["seq"], "first")
-    return kernels.per_sequence(placed, keep, f"idx long, {EDGE}", _edge_kernel(k, fold, True), ["first"])
+    return kernels.per_batch(placed, keep, f"idx long, {EDGE}", _edge_kernel(k, fold, True), ["first"])
 
 
 def weighted_edges(seqs: DataFrame, k: int, ambiguous: str = "drop", fold: bool = True) -> DataFrame:
@@ -103,12 +112,6 @@ def nodes(edge_rows: DataFrame) -> DataFrame:
     return end(1).union(end(2)).groupBy("kmer_id").agg(F.min("at").alias("at")).select("kmer_id", "at.*")
 
 
-def degrees(weighted: DataFrame) -> DataFrame:
-    """Rows (kmer_id, in_degree, out_degree, degree) of distinct edges; a loop counts on both sides."""
-    ends = weighted.select(F.col("kmer_id1").alias("kmer_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(weighted.select(F.col("kmer_id2").alias("kmer_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    return ends.groupBy("kmer_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") + F.col("o")).alias("degree"))
-
-
 def nodes_of(seqs: DataFrame, k: int, fold: bool = True) -> DataFrame:
     """``nodes(edges(seqs, k))`` without the edges: of each batch only where its nodes first show is shuffled."""
     keep = kernels.identity(seqs)
@@ -152,6 +155,12 @@ def nodes_of(seqs: DataFrame, k: int, fold: bool = True) -> DataFrame:
     return found.groupBy("kmer_id").agg(F.min(F.struct(*own, "pos", "kmer")).alias("at")).select("kmer_id", "at.*")
 
 
+def degrees(weighted: DataFrame) -> DataFrame:
+    """Rows (kmer_id, in_degree, out_degree, degree) of distinct edges; a loop counts on both sides."""
+    ends = weighted.select(F.col("kmer_id1").alias("kmer_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(weighted.select(F.col("kmer_id2").alias("kmer_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return ends.groupBy("kmer_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") + F.col("o")).alias("degree"))
+
+
 def smallest_degree(degree_rows: DataFrame) -> DataFrame:
     """One row: the least id among nodes of least degree."""
     return degree_rows.agg(F.min(F.struct("degree", "kmer_id")).alias("m")).select("m.kmer_id", "m.degree")

@@ -440,3 +440,13 @@ def test_log_odds_of_long_and_short_sequences(spark):
 def test_dropping_profile_counts_in_kernels(spark):
     got = shred.profile(table(spark), 3, "drop")
     assert counted(got) == brute(3) and "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indexed_edges_number_through_blocks_and_read_sequences_twice(spark):
+    rng = random.Random(17)
+    rows = [("a", i, "".join(rng.choice("ACGT" * 9 + "N") for _ in range(n))) for i, n in enumerate([0, 7, 150_000, 3, 70_000, 12])]
+    got = [(r.idx, r.seq_id, r.pos1) for r in graph.indexed_edges(table(spark, rows), 6).orderBy("idx").collect()]
+    want = [(i, p) for _, i, s in rows for p in range(len(s) - 6) if "N" not in s[p : p + 7]]
+    assert got == [(n, *x) for n, x in enumerate(want)]
+    plan = graph.indexed_edges(table(spark, rows), 6)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan
