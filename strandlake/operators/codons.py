@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,29 @@ from strandlake.operators import kernels
 
 def coding(seqs: DataFrame, ignore_invalid: bool = True, include_noncanonical: bool = False) -> DataFrame:
     """Sequences that are coding ones; invalid ones are left out, or an error if not ``ignore_invalid``."""
-    fit = fn.is_cds(F.col("seq"), include_noncanonical)
     if ignore_invalid:
-        return seqs.where(fit)
+        return _coding_only(seqs, include_noncanonical)
+    fit = fn.is_cds(F.col("seq"), include_noncanonical)
     return seqs.withColumn("seq", F.when(fit, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("not a coding sequence: "), F.col("seq_id").cast("string")))))
 
 
+def _coding_only(seqs: DataFrame, include_noncanonical: bool) -> DataFrame:
+    """Rows that ``is_cds`` is true of. A filter would be pushed below what makes the sequences, and make them anew for each mention."""
+    at = seqs.columns.index("seq")
+
+    def run(batches):
+        for b in batches:
+            seq = b.column(at)
+            length = pc.utf8_length(seq)
+            fit = pc.and_(pc.equal(pc.multiply(pc.divide(length, 3), 3), length), pc.greater_equal(length, 3))
+            if not include_noncanonical:
+                for start, stop, codons in ((0, 3, ab.STARTS), (-3, None, ab.STOPS)):
+                    fit = pc.and_(fit, pc.is_in(pc.utf8_slice_codeunits(seq, start, stop), value_set=pa.array(codons, seq.type)))
+            yield b.filter(fit)
+
+    return kernels.map_arrow(seqs, run, seqs.schema)
+
+
 def counts(seqs: DataFrame, include_start: bool = True, include_stop: bool = True) -> DataFrame:
     """Rows (sample, seq_id, codon, codon_id, aa, count). Codons with other letters than ACGT are left out.
 
@@ -31,17 +50,18 @@ def counts(seqs: DataFrame, include_start: bool = True, include_stop: bool = Tru
     """
     keep = kernels.identity(seqs)
 
-    def kernel(seq):
-        first, last = 0 if include_start else 1, len(seq) // 3 - (0 if include_stop else 1)
-        total = np.zeros(64, np.int64)
-        for at in range(3 * first, 3 * last, 3 * kernels.BLOCK):
-            three = kernels.codes(seq[at : min(3 * last, at + 3 * kernels.BLOCK)]).reshape(-1, 3).astype(np.int64)
-            three = three[(three < 4).all(axis=1)]
-            total += np.bincount(three @ np.array([16, 4, 1]), minlength=64)
+    def kernel(seqs):
+        total = np.zeros(64 * len(seqs), np.int64)
+        last = np.array([3 * (len(s or b"") // 3 - (0 if include_stop else 1)) for s in seqs], np.int64)
+        for block in kernels.laid(seqs, 3):
+            at, ids = kernels.positions_and_ids(kernels.codes(block.data), 3, False)
+            rows, pos = block.place(at)
+            own = (pos % 3 == 0) & (pos >= (0 if include_start else 3)) & (pos < last[rows])
+            total += np.bincount(64 * rows[own] + ids[own], minlength=len(total))
         found = np.flatnonzero(total)
-        yield [found.astype(np.int32), total[found]]
+        yield found // 64, [(found % 64).astype(np.int32), total[found]]
 
-    counted = kernels.per_sequence(seqs, keep, "codon_id int, n long", kernel).groupBy(*keep, "codon_id").agg(F.sum("n").alias("count"))
+    counted = kernels.per_batch(seqs, keep, "codon_id int, n long", kernel).groupBy(*keep, "codon_id").agg(F.sum("n").alias("count"))
     codon = F.array(*map(F.lit, ab.CODONS))[F.col("codon_id")]
     return counted.withColumn("codon", codon).select(*keep, "codon", "codon_id", fn.amino(F.col("codon")).alias("aa"), "count")
 

@@ -450,3 +450,25 @@ def test_indexed_edges_number_through_blocks_and_read_sequences_twice(spark):
     assert got == [(n, *x) for n, x in enumerate(want)]
     plan = graph.indexed_edges(table(spark, rows), 6)._jdf.queryExecution().withCachedData().toString()
     assert "InMemoryRelation" in plan
+
+
+def test_coding_sequences_are_cleaned_once(spark):
+    from strandlake.functions import kmers as fn
+    from strandlake.plans.queries import QUERIES
+
+    plan = QUERIES["codon_counts_cds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("regexp_replace(") == 1
+    texts = ["ATGTAA", "GTGAAATAG", "ATGAAA", "ATGTA", "AT", "", None, "CTGTAA", "ATGéééTGA", "TTG", "ATGAATAA"]
+    rows = table(spark, [("a", i, s) for i, s in enumerate(texts)])
+    for every in (False, True):
+        assert sorted(r.seq_id for r in codons.coding(rows, include_noncanonical=every).collect()) == sorted(r.seq_id for r in rows.where(fn.is_cds(spark_col("seq"), every)).collect())
+    long = "".join(random.Random(4).choice("ACGT" * 9 + "N") for _ in range(200_000))
+    got = {r.codon: r["count"] for r in codons.counts(table(spark, [("a", 1, long)]), False, False).collect()}
+    want = Counter(long[i : i + 3] for i in range(3, len(long) // 3 * 3 - 3, 3))
+    assert got == {c: n for c, n in want.items() if "N" not in c}
+
+
+def spark_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
